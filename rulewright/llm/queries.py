@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, chat, langid, minhash, packing, secrets
+from rulewright.llm import bpe, chat, forest, langid, minhash, packing, secrets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,10 +25,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_read(spark, sf_dir, "documents")))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_read(spark, sf_dir, "embeddings"), query_of="id % 50 = 0")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -52,7 +60,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_secret_scan, op5_language_id, op7_packing, op8_chat_formatting, op9_bpe)}
+    found = (
+        op1_minhash_near_dedup,
+        op3_secret_scan,
+        op4_nearest_neighbours,
+        op5_language_id,
+        op6_embedding_near_dedup,
+        op7_packing,
+        op8_chat_formatting,
+        op9_bpe,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
