@@ -1,15 +1,61 @@
-"""A corpus cleaning pipeline over ``documents``, stage by stage."""
+"""A corpus cleaning pipeline over ``documents``, stage by stage.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from rulewright.llm import langid, lines, minhash, packing, secrets
+from rulewright.storage import Workspace
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter or with no language of probability 0.5."""
+    return langid.keep_identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one line of each group of alike lines; documents that lose all their text go."""
+    return lines.drop_repeated_documents(docs)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    return minhash.keep_first(docs, width=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets; every document stays."""
+    return secrets.mask_documents(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all documents into token sequences, sources in proportion."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("minhash_dedup", minhash_dedup),
+    ("secret_scan", secret_scan),
+    ("packing", pack_tokens),
+]
 
-#: SQL cannot express the classifier and tokenizer stages; tests hold run() against a brute-force version.
+#: SQL cannot express the classifier and tokenizer stages; tests hold run() against a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    raise NotImplementedError
+    """Apply the stages to ``documents``; each result is written and read again."""
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, chat, forest, langid, minhash, packing, secrets
+from rulewright.llm import bpe, chat, forest, langid, lines, minhash, packing, secrets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -59,6 +59,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_repeated(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_minhash_near_dedup,
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_packing,
         op8_chat_formatting,
         op9_bpe,
+        op10_line_dedup,
     )
     return {f.__name__: f for f in found}
 
