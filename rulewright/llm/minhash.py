@@ -11,10 +11,11 @@ similarity 0.8 shares no band with probability (1 - 0.8**5)**24 = 7e-5.
 
 Plan: one pass computes set digests and band keys. Documents with equal sets
 collapse to their smallest id. In each band bucket every member is confirmed
-against the bucket's smallest id on full sets; the confirmed links are united;
-then only buckets that still hold several components are looked at again, until
-each pair of different components that share a bucket has been compared. Thus
-no bucket emits all its pairs, and no candidate is dropped.
+against the bucket's smallest id on full sets, and the confirmed links are
+united. Then buckets that still hold several components are opened again: their
+members meet in groups of bounded size, where the set sizes of all pairs of
+different components are counted. Only links that unite components leave a
+group, so no bucket emits all its pairs, and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -81,12 +82,10 @@ def signatures(docs: DataFrame, width: int = 4, permutations: int = 60, rows: in
     return docs.select(F.col("id").cast("long"), "text").mapInArrow(sign, SIGNATURE)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, width: int, percent: int) -> DataFrame:
+def _pair_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets meet the similarity, by exact set sizes."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = ws.save(docs.join(ids, "id", "left_semi").select("id", "text"), f"{name}-texts")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +93,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, width:
             for id_at, text_at in ((0, 1), (2, 3)):
                 ids = batch.column(id_at).to_numpy(zero_copy_only=False)
                 _, once, back = np.unique(ids, return_index=True, return_inverse=True)
-                texts = _texts(batch.column(text_at).take(pa.array(once)))
-                sets: list[np.ndarray] = []
-                for _, offsets, values in shingle_sets(texts, width):
-                    sets += [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-                sides.append((ids, sets, back))
+                parts = _texts(batch.column(text_at).take(pa.array(once)))
+                sides.append((ids, [v for _, o, values in shingle_sets(parts, width) for v in np.split(values, o[1:-1])], back))
             (ids_a, sets_a, at_a), (ids_b, sets_b, at_b) = sides
             good = np.zeros(len(ids_a), bool)
             for i, (p, q) in enumerate(zip(at_a.tolist(), at_b.tolist(), strict=True)):
@@ -114,6 +110,86 @@ def confirm(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, width:
     return joined.mapInArrow(compare, "a long, b long")
 
 
+#: Members of an opened bucket that meet in one group; larger buckets are cut into blocks that meet in pairs.
+BLOCK_ROWS = 1024
+
+
+def _bucket_links(opened: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components of a bucket, ``opened(key, id, part)``; enough of them to unite all."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [v.tobytes() for _, o, values in shingle_sets(_texts(batch.column(1)), width) for v in np.split(values, o[1:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            a, b = _group_links(*(group.column(i).to_numpy() for i in (1, 2, 3, 4, 5)), group.column(6).to_pylist(), percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    ids = opened.select("id").distinct()
+    sets = texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(sets_of, "id long, shingles binary")
+    sizes = opened.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("blocks"))
+    rows = opened.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "part", "block")
+    rows = rows.join(sets.hint("merge"), "id").select("key", "low", "high", "id", "part", "block", "shingles")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(unite, "a long, b long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows of equal first columns, across batch borders."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        edges = np.zeros(max(0, held.num_rows - 1), bool)
+        for i in range(keys):
+            values = held.column(i).to_numpy()
+            edges |= values[1:] != values[:-1]
+        cuts = [0, *(np.flatnonzero(edges) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield held.slice(a, b - a)
+        held = held.slice(cuts[-1]).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _group_links(low: np.ndarray, high: np.ndarray, ids: np.ndarray, part: np.ndarray, block: np.ndarray, sets: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between different parts of one group, each uniting two parts that were apart.
+
+    A row's shared sizes with all others come from one count over the holders
+    of its shingles. Of two different blocks only pairs across are compared.
+    """
+    values = [np.frombuffer(s, np.uint64) for s in sets]
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    flat = np.concatenate(values)
+    owner = np.repeat(np.arange(len(values)), size)
+    order = np.argsort(flat, kind="stable")
+    _, first, back, count = np.unique(flat[order], return_index=True, return_inverse=True, return_counts=True)
+    term = np.empty(len(flat), np.int64)
+    term[order] = back
+    holder, begin = owner[order], np.concatenate(([0], np.cumsum(size)))
+    _, root = np.unique(part, return_inverse=True)
+    a, b = [], []
+    for i in range(len(values)):
+        mine = term[begin[i] : begin[i + 1]]
+        mine = mine[count[mine] > 1]
+        reach = count[mine]
+        at = np.repeat(first[mine] - np.concatenate(([0], np.cumsum(reach)[:-1])), reach) + np.arange(reach.sum())
+        common = np.bincount(holder[at], minlength=len(values))
+        near = (100 * common >= percent * (size[i] + size - common)) & (root != root[i])
+        if low[0] != high[0]:
+            near &= block != block[i]
+        for j in np.flatnonzero(near).tolist():
+            if root[j] != root[i]:
+                a.append(ids[i])
+                b.append(ids[j])
+                root[root == root[j]] = root[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 60, rows: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -130,63 +206,39 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = ws.save(signatures(docs, width, permutations, rows), "signatures")
     live = sig.where("n_shingles > 0 and id is not null")
-    reps = ws.save(live.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size")), "reps")
+    reps = ws.save(live.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "reps")
     one = live.join(reps, ["k1", "k2"]).where("id = rep").dropDuplicates(["k1", "k2"])
-    keyed = one.select("id", "size", F.explode("bands").alias("key"))
+    keyed = one.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot != last")
-    members = ws.save(keyed.join(shared.select("key", "pivot"), "key").distinct(), "members")
+    members = ws.save(keyed.join(shared.select("key", "pivot"), "key"), "members")
+    texts = ws.save(docs.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
 
     pairs = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    tried = ws.save(pairs, "tried-0")
-    links = ws.save(confirm(tried, docs, ws, "confirm-0", width, percent), "links-0")
-    ws.drop("confirm-0-texts")
-    labels = ws.save(connected_components(links, ws, "cc-0"), "labels-0")
-    step = 0
-    while True:
-        step += 1
-        marked = members.join(labels, members["id"] == labels["node"], "left").select("key", "id", "size", F.coalesce("component", "id").alias("part"))
-        parts = marked.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
-        left = ws.save(marked.join(parts, "key"), f"open-{step}")
-        todo = _across(left, tried, percent)
-        todo = ws.save(todo, f"todo-{step}")
-        if todo.isEmpty():
-            break
-        tried = ws.save(tried.unionByName(todo), f"tried-{step}")
-        links = ws.save(links.unionByName(confirm(todo, docs, ws, f"confirm-{step}", width, percent)), f"links-{step}")
-        ws.drop(f"tried-{step - 1}", f"links-{step - 1}", f"open-{step}", f"confirm-{step}-texts")
-        labels = ws.save(connected_components(links, ws, f"cc-{step}"), f"labels-{step}")
-    joined = sig.select("id", "n_shingles", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left")
+    links = ws.save(_pair_links(pairs, texts, width, percent), "pair-links")
+    labels = ws.save(connected_components(links, ws, "pair-cc"), "pair-labels")
+    marked = members.join(labels, members["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    open_keys = marked.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
+    opened = ws.save(marked.join(open_keys, "key").dropDuplicates(["key", "id"]), "opened")
+    more = ws.save(_bucket_links(opened, texts, width, percent), "bucket-links")
+    ws.drop("texts", "members", "opened")
+    both = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    labels = ws.save(connected_components(both, ws, "all-cc"), "labels")
+
+    joined = sig.select("id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left")
     joined = joined.join(labels, joined["rep"] == labels["node"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
     out = joined.select("id", "n_shingles", component.alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-#: Pairs of one round per open bucket member; beyond it a round compares with component leaders only.
-ROUND_FACTOR = 4
+#: Ids of dropped documents up to this number are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
-def _across(left: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket in different components that were not yet compared.
-
-    While a bucket's components are large, each member is compared with the
-    smallest member of every other component first, because most components
-    then unite and their remaining pairs need no comparison. Once the leaders
-    have all been tried, every remaining pair is taken. Sets whose sizes differ
-    by more than the similarity allows cannot link and are not compared.
-    """
-    lead = left.groupBy("key", "part").agg(F.min_by(F.struct("id", "size"), "id").alias("lead"))
-    lead = lead.select("key", F.col("part").alias("other"), F.col("lead.id").alias("lead"), F.col("lead.size").alias("lead_size"))
-    near = f"100 * least(size, lead_size) >= {percent} * greatest(size, lead_size)"
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).where("a != b").distinct()
-        return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-
-    led = fresh(left.join(lead, "key").where(f"part != other and {near}"))
-    every = left.select("key", F.col("part").alias("other"), F.col("id").alias("lead"), F.col("size").alias("lead_size"))
-    sizes = left.groupBy("key", "part").count().groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.col("count") * F.col("count"))).alias("pairs"), F.sum("count").alias("n"))
-    total = sizes.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-    if total["pairs"] and total["pairs"] / 2 > ROUND_FACTOR * total["n"] and not led.isEmpty():
-        return led
-    return fresh(left.join(every, "key").where(f"part < other and {near}"))
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that have a smaller id in their component; all columns stay."""
+    ws = Workspace(docs.sparkSession, "minhash-keep")
+    found = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col)
+    gone = ws.save(found.where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
