@@ -1 +1,6 @@
+"""The registered queries, by family."""
 
+from rulewright.plans import label_queries, retrieval_queries, rule_queries  # noqa: F401
+from rulewright.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
