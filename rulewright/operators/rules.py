@@ -162,3 +162,24 @@ def piecewise(values: DataFrame, bins: DataFrame, keys: list[str], value: str) -
     inside = (F.col("__x") >= F.col("lo")) & ((F.col("__x") < F.col("hi")) | ((F.col("__x") == F.col("__max")) & (F.col("hi") == F.col("__max"))))
     joined = clamped.join(rules_side(side), [*same, inside])
     return joined.withColumn("fitted", F.col("a") * F.col("__x") + F.col("b")).drop(*(f"__{k}" for k in keys), "__min", "__max", "__x", "lo", "hi", "a", "b")
+
+
+def contribution_edges(cases: DataFrame, rules: DataFrame, keys: list[str], case_id: str = "case_id", rule_id: str = "rule_id") -> DataFrame:
+    """An edge from each matched rule to its case, with the feature and the score; repeated edges once."""
+    joined = cases.join(rules.select(*keys, rule_id), keys)
+    return joined.select(F.col(rule_id).alias("source_id"), F.col(case_id).alias("target_id"), "feature_name", "score").dropDuplicates(["source_id", "target_id", "feature_name"])
+
+
+def lookup_code(subjects: DataFrame, sheet: DataFrame, keys: list[str], on: list[str], ordinal: str) -> DataFrame:
+    """The first sheet row of (age group, code, ..) for each subject."""
+    return first_match(subjects.join(rules_side(sheet), on), keys, ordinal)
+
+
+def landmark_slopes(points: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``atan2(dy, dx)`` of each landmark pair; null where a landmark is missing."""
+    side = rules_side(pairs)
+    a = points.select(*keys, F.col("index").alias("i"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    b = points.select(*keys, F.col("index").alias("j"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    wanted = points.select(*keys).distinct().join(side, F.col("i") >= 0)
+    joined = wanted.join(a, [*keys, "i"], "left").join(b, [*keys, "j"], "left")
+    return joined.select(*keys, "i", "j", scores.slope(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")).alias("slope"))

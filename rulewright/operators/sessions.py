@@ -46,3 +46,11 @@ def after_offset(df: DataFrame, keys: list[str], order: str, offset: int) -> Dat
 def keep_best(df: DataFrame, keys: list[str], metric: str, tie: str, k: int) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(metric, tie))
     return df.withColumn("rank", rn).where(F.col("rank") <= k)
+
+
+def stages_done(scores: Column, recommendations: Column, evidence: Column) -> Column:
+    """Which stages have results, and whether they suffice: scores, and recommendations or evidence."""
+    held = {"scores": scores, "recommendations": recommendations, "evidence": evidence}
+    has = {k: F.coalesce(F.size(v), F.lit(0)) > 0 for k, v in held.items()}
+    done = F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in has.items()))), ",")
+    return F.struct(done.alias("done"), (has["scores"] & (has["recommendations"] | has["evidence"])).alias("sufficient"))

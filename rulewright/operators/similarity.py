@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions import scores, text
+from rulewright.operators.batchfn import batch_score
 
 #: Query sides of a similarity join up to this many rows are broadcast.
 BROADCAST_ROWS = 10_000
@@ -94,3 +98,14 @@ def matched_or_nearest(subjects: DataFrame, matched: DataFrame, items: DataFrame
     near = knn_prefiltered(rest.withColumn("query_id", F.struct(*keys)), items, category, 1)
     nearest = near.select(*(F.col(f"query_id.{k}").alias(k) for k in keys), "item_id", F.lit("nearest").alias("matched_by"))
     return matched.select(*keys, "item_id", F.lit("rule").alias("matched_by")).unionByName(nearest)
+
+
+def embed_missing(texts: DataFrame, cache: DataFrame, column: str, embed: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
+    """Vectors of all texts: cached ones by content hash, the distinct rest through a user's model in batches.
+
+    ``cache(content_key, vector)``; the model gets batches with ``content`` and returns ``vector``.
+    """
+    _, misses = cache_split(texts, cache, column)
+    made = batch_score(misses, embed, "vector array<double>").where("status = 'success'").select("content_key", "vector")
+    keyed = texts.withColumn("content_key", text.content_key(text.hash_text(F.col(column))))
+    return keyed.join(cache.select("content_key", "vector").unionByName(made), "content_key", "left")
