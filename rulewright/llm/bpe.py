@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -75,6 +76,7 @@ class Codec:
         self.words = regex.compile(WORDS)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.unsure = _newer_letters()
+        self.beyond = re.compile(f"[{re.escape(min(self.unsure))}-{chr(0x10FFFF)}]" if self.unsure else r"(?!)")
 
     def encode(self, text: str) -> list[int]:
         if not self.plain:
@@ -90,7 +92,7 @@ class Codec:
         return self._split(text)
 
     def _split(self, text: str) -> list[str]:
-        if not text.isascii() and self.unsure.search(text):
+        if not text.isascii() and self.beyond.search(text) and not self.unsure.isdisjoint(text):
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return self.words.findall(text)
 
@@ -108,11 +110,10 @@ def _is_byte_level(spec: dict) -> bool:
     return ids == sorted(ids) and all(c in model["vocab"] for c in _byte_of_letter())
 
 
-def _newer_letters() -> regex.Pattern:
+def _newer_letters() -> frozenset[str]:
     """Letters and numbers that newer character tables know; the library decides on texts that hold one."""
     unassigned = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
-    newer = regex.findall(r"[\p{L}\p{N}\s]", unassigned)
-    return regex.compile("[" + "".join(newer) + "]") if newer else regex.compile(r"(?!)")
+    return frozenset(regex.findall(r"[\p{L}\p{N}\s]", unassigned))
 
 
 @lru_cache(maxsize=2)
