@@ -117,7 +117,7 @@ def test_op10_equals_brute_force(spark):
 
 
 def test_op10_edges(docs, empty):
-    long_line = "the quick brown fox jumps over the lazy dog and then it runs home again to sleep"
+    long_line = "the quick brown fox jumps over the lazy dog and then it runs home again to sleep under the old oak tree by the river bank"
     rows = [(2, f"{long_line}\n\nown line here"), (1, f"  {long_line.upper()}\r\nother"), (3, None), (4, ""), (5, f"x\n{long_line}!"), (6, "語" * 200), (7, "語" * 199 + "x"), (None, long_line), (8, "a" * 100_000)]
     df = docs(rows).withColumn("line", F.lit(1)).withColumn("n_lines", F.lit("x"))
     got = {r["doc_id"]: r for r in lines.drop_repeated(df).collect()}
