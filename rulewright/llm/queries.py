@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, chat, forest, langid, lines, minhash, packing, secrets
+from rulewright.llm import bpe, chat, forest, langid, lines, minhash, packing, secrets, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,6 +21,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_read(spark, sf_dir, "documents")))
 
@@ -67,6 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_minhash_near_dedup,
+        op2_toxicity,
         op3_secret_scan,
         op4_nearest_neighbours,
         op5_language_id,

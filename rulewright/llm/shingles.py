@@ -60,17 +60,26 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of a buffer."""
+def word_bounds(data: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of a buffer."""
     blank = np.ones(len(data) + 2, bool)
-    blank[1:-1] = _SPACE[data]
-    edge = blank[1:] != blank[:-1]
-    marks = np.flatnonzero(edge)
-    start, end = marks[0::2], marks[1::2]
+    blank[1:-1] = separators[data]
+    marks = np.flatnonzero(blank[1:] != blank[:-1])
+    return marks[0::2], marks[1::2]
+
+
+def span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Hashes of byte spans of one buffer; equal bytes give equal hashes wherever they lie."""
     up, down = _Powers.of(len(data) + 1)
     total = np.zeros(len(data) + 1, _U)
     np.cumsum(_VALUE[data] * up[: len(data)], out=total[1:])
-    return start, mix((total[end] - total[start]) * down[start])
+    return [mix((total[end] - total[start]) * down[start]) for start, end in spans]
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of a buffer."""
+    start, end = word_bounds(data)
+    return start, span_hashes(data, [(start, end)])[0]
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
