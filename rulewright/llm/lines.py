@@ -1,9 +1,9 @@
 """Fuzzy duplicate lines, with DataFrame expressions only.
 
 A line is compared trimmed and in lower case. Its shingles are the runs of up
-to ``WIDTH`` characters that start at a word, and at every character after
-``WIDTH`` without a space, so a text without spaces has all its character
-shingles. Each hash of the shingles is read for its minimum and its maximum
+to ``WIDTH`` characters that start at a word, and at every character of a word
+that has more than ``WIDTH`` characters left, so a text without spaces has all
+its character shingles. Each hash of the shingles is read for its minimum and its maximum
 under ``EVALUATIONS`` bit masks: 36 signature values in 12 bands of 3, which
 miss a pair of similarity 0.8 with probability (1 - 0.8**3)**12 = 2e-4.
 
@@ -30,7 +30,7 @@ BLOCK_ROWS = 128
 #: A table of removed or candidate lines up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
-_STARTS = rf"(?s)(?:(?<![^ ])|(?<=[^ ]{{{WIDTH}}}))(?=(.{{1,{WIDTH}}}))"
+_STARTS = rf"(?s)(?=(.{{1,{WIDTH}}}))(?:[^ ]{{1,{WIDTH}}}+(?: ++|\z)|[^ ])"
 #: Fixed value: an odd 64-bit multiplier from which the bit masks follow.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -51,8 +51,8 @@ def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = _split(docs, id_col, text_col).select("id", "pos", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(17)).alias("k2"), _shingles(F.col("line")).alias("sh"))
-    masked = [_mask(i) for i in range(EVALUATIONS)]
-    lines = lines.select("id", "pos", "k1", "k2", *(f(m).alias(f"v{i + EVALUATIONS * (f is F.array_max)}") for i, m in enumerate(masked) for f in (F.array_min, F.array_max)))
+    ends = [f(_mask(i)).alias(f"v{i + at}") for f, at in ((F.array_min, 0), (F.array_max, EVALUATIONS)) for i in range(EVALUATIONS)]
+    lines = lines.select("id", "pos", "k1", "k2", *ends)
     bands = [F.xxhash64(F.lit(b), *(F.col(f"v{ROWS * b + r}") for r in range(ROWS))) for b in range(2 * EVALUATIONS // ROWS)]
     return lines.select(F.monotonically_increasing_id().alias("line"), "id", "pos", "k1", "k2", F.array(*bands).alias("bands"))
 
@@ -67,8 +67,8 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _alike(x: str, y: str, percent: int) -> str:
-    """100 * shared >= percent * united, as a condition on two shingle arrays."""
-    return f"{100 + percent} * size(array_intersect({x}.sh, {y}.sh)) >= {percent} * (size({x}.sh) + size({y}.sh))"
+    """100 * shared >= percent * united, as a condition on two shingle arrays; sizes too far apart are told first."""
+    return f"100 * least(size({x}.sh), size({y}.sh)) >= {percent} * greatest(size({x}.sh), size({y}.sh)) and {100 + percent} * size(array_intersect({x}.sh, {y}.sh)) >= {percent} * (size({x}.sh) + size({y}.sh))"
 
 
 def _components(docs: DataFrame, signed: DataFrame, ws: Workspace, id_col: str, text_col: str, percent: int) -> DataFrame:
