@@ -138,6 +138,19 @@ def _unpack(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, id, text) to one row for each block of a batch: its ids, and its texts compressed together."""
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        names, begin = np.unique(block[order], return_index=True)
+        ends = np.append(begin, len(order))
+        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), batch.column(1).take(pa.array(order)))
+        texts = [x.encode() for x in batch.column(2).to_pylist()]
+        packed = [_pack([texts[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(names), ids, pa.array(packed, pa.binary())], names=["block", "ids", "texts"])
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row per input row: the id and ``ids``, the token ids of the whole text.
 
@@ -148,13 +161,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema["id"].dataType.simpleString()
     blocks = max(1, math.ceil(docs.count() / block_docs))
     keyed = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
+    keyed = keyed.mapInArrow(_bundle, f"block long, ids array<{kind}>, texts binary")
 
     def ask(table: pa.Table) -> pa.Table:
         book = codec(path)
         words: set[str] = set()
-        for chunk in table.column("text").chunks:
-            for text in chunk.to_pylist():
-                words.update(book.split(text))
+        for packed in table.column("texts").to_pylist():
+            for text in _unpack(packed):
+                words.update(book.split(text.decode()))
         buckets: dict[int, list[bytes]] = {}
         for word in sorted(words):
             raw = word.encode()
@@ -182,14 +196,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for packed, codes in zip(answers.column("words").to_pylist(), answers.column("codes").to_pylist(), strict=True):
             code.update((w.decode(), c) for w, c in zip(_unpack(packed), _unpack(codes), strict=True))
         rows = []
-        for chunk in table.column("text").chunks:
-            for text in chunk.to_pylist():
-                rows.append(b"".join([code[w] for w in book.split(text)]))
+        for packed in table.column("texts").to_pylist():
+            for text in _unpack(packed):
+                rows.append(b"".join([code[w] for w in book.split(text.decode())]))
         step = np.dtype(kind).itemsize
         ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) // step)))
         flat = np.frombuffer(b"".join(rows), kind).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-        return pa.table({"id": table.column("id"), "ids": ids})
+        tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+        return pa.table({"id": table.column("ids").combine_chunks().flatten(), "ids": tokens})
 
     asked = keyed.groupBy("block").applyInArrow(ask, "block long, bucket long, words binary")
     answered = asked.groupBy("bucket").applyInArrow(answer, "block long, words binary, codes binary")
