@@ -278,32 +278,31 @@ def near_duplicates(
         length = np.sqrt((x * x).sum(1))
         ids, copies, block = (table.column(c).to_numpy() for c in ("id", "copies", "block"))
         codes = table.column("codes").combine_chunks()
-        held = np.full((len(ids), int(codes.value_lengths().to_numpy().max())), -1, np.int64)
-        sizes = codes.value_lengths().to_numpy()
-        held[np.repeat(np.arange(len(ids)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = codes.flatten().to_numpy()
+        owner, flat = np.repeat(np.arange(len(ids)), codes.value_lengths().to_numpy()), codes.flatten().to_numpy()
+        owner, flat = owner[flat < here], flat[flat < here]
+        # Which rows lie in which earlier leaf: two rows that share one were counted there.
+        _, leaf = np.unique(flat, return_inverse=True)
+        earlier = np.zeros((len(ids), int(leaf.max(initial=-1)) + 1), np.float32)
+        earlier[owner, leaf] = 1
         left = np.flatnonzero(block == low)
         right = np.flatnonzero(block == high)
-        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        links, root = np.zeros(len(ids)), np.arange(len(ids))
         for at in range(0, len(left), 512):
             part = left[at : at + 512]
             near = x[part] @ x[right].T / (length[part][:, None] * length[right]) >= cosine
             if low == high:
                 near &= part[:, None] < right
-            i, j = np.nonzero(near)
-            i, j = part[i], right[j]
-            for a in range(0, len(i), 1 << 14):
-                p, q = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
-                earlier = np.zeros(len(p), bool)
-                for c in range(held.shape[1]):
-                    code = held[p, c]
-                    earlier |= (code >= 0) & (code < here) & (held[q] == code[:, None]).any(1)
-                np.add.at(links, p[~earlier], copies[q[~earlier]])
-                np.add.at(links, q[~earlier], copies[p[~earlier]])
-            root = _unite(root, i, j)
+            if not near.any():
+                continue
+            fresh = (near & (earlier[part] @ earlier[right].T == 0)).astype(np.float64)
+            links[part] += fresh @ copies[right]
+            links[right] += copies[part] @ fresh
+            i, j = np.nonzero(near & (root[part][:, None] != root[right]))
+            root = _unite(root, part[i], right[j])
         some = (links > 0) | (root != np.arange(len(ids)))
         lowest = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(lowest, root, ids)
-        return pa.table({"id": ids[some], "links": links[some], "root": lowest[root[some]]})
+        return pa.table({"id": ids[some], "links": links[some].astype(np.int64), "root": lowest[root[some]]})
 
     leaves = ws.save(entries.select("id", "v", "copies").mapInArrow(spread, _with_vector(entries, "code long, id long, v array<float>, copies long, codes array<long>")), "leaves")
     blocks = leaves.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).alias("blocks"))
