@@ -1,11 +1,14 @@
 """Fuzzy duplicate lines, with DataFrame expressions only.
 
-A line is compared trimmed and in lower case. Its shingles are the runs of up
-to ``WIDTH`` characters that start at a word, and at every character of a word
-that has more than ``WIDTH`` characters left, so a text without spaces has all
-its character shingles. Each hash of the shingles is read for its minimum and its maximum
-under ``EVALUATIONS`` bit masks: 36 signature values in 12 bands of 3, which
-miss a pair of similarity 0.8 with probability (1 - 0.8**3)**12 = 2e-4.
+A line is compared trimmed and in lower case. Its shingles are the runs of
+``WIDTH`` characters that start at every character; a shorter line is one
+shingle. Each shingle hash is mixed anew for each of ``EVALUATIONS``
+permutations, which are read for their minimum and their maximum: 110 signature
+values in 22 bands of 5, which miss a pair of similarity 0.8 with probability
+(1 - 0.8**5)**22 = 1.6e-4. Shingles are rows while they are hashed, grouped
+again in the task that holds the document. One bit of each value is kept as a
+sketch; pairs whose sketches differ by ``DEVIATIONS`` standard deviations more
+than those of a pair at the threshold are told apart by it.
 
 Equal lines collapse first. Members of a band bucket are verified against the
 bucket's first line by exact Jaccard similarity and united; buckets that still
@@ -22,43 +25,50 @@ from pyspark.sql import functions as F
 from rulewright.llm.components import connected_components
 from rulewright.storage import Workspace
 
-WIDTH = 12
-EVALUATIONS = 18
-ROWS = 3
+WIDTH = 5
+EVALUATIONS = 55
+ROWS = 5
+#: Standard deviations by which the sketches of two lines may differ more than expected at the threshold (a miss of about 1e-9).
+DEVIATIONS = 7
 #: Lines of an opened bucket that meet in one group; larger buckets are cut into blocks that meet in pairs.
 BLOCK_ROWS = 128
 #: A table of removed or candidate lines up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
-_STARTS = rf"(?s)(?=(.{{1,{WIDTH}}}))(?:[^ ]{{1,{WIDTH}}}+(?: ++|\z)|[^ ])"
-#: Fixed value: an odd 64-bit multiplier from which the bit masks follow.
-_STEP = 0x9E3779B97F4A7C15
-
-
-def _signed(x: int) -> int:
-    x &= (1 << 64) - 1
-    return x - (1 << 64) if x >> 63 else x
+_STARTS = rf"(?s)(?=(.{{{WIDTH}}}|\A.{{1,{WIDTH - 1}}}\z))."
 
 
 def _shingles(line: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_STARTS), F.lit(1)), lambda s: F.xxhash64(s)))
 
 
-def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return lines.select("id", "pos", F.lower(F.btrim("line", F.lit(" \t\r"))).alias("line")).where("line != ''")
+def _split(docs: DataFrame, id_col: str, text_col: str, *kept: str) -> DataFrame:
+    lines = docs.select(*kept, F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    return lines.select(*kept, "id", "pos", F.lower(F.btrim("line", F.lit(" \t\r"))).alias("line")).where("line != ''")
 
 
 def _signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lines = _split(docs, id_col, text_col).select("id", "pos", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(17)).alias("k2"), _shingles(F.col("line")).alias("sh"))
-    ends = [f(_mask(i)).alias(f"v{i + at}") for f, at in ((F.array_min, 0), (F.array_max, EVALUATIONS)) for i in range(EVALUATIONS)]
-    lines = lines.select("id", "pos", "k1", "k2", *ends)
+    """Every line with its keys, bands and sketch; documents are dealt by row number, so that the aggregation needs no exchange of its own."""
+    docs = docs.select(F.monotonically_increasing_id().alias("__row"), id_col, text_col).repartition("__row")
+    line = ["__row", "id", "pos", "k1", "k2"]
+    lines = _split(docs, id_col, text_col, "__row").withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit(17)), "chars": F.encode("line", "UTF-32")})
+    starts = lines.select(*line, "chars", F.explode(F.expr(f"sequence(0, greatest(0, octet_length(chars) div 4 - {WIDTH}))")).alias("at"))
+    grams = starts.select(*line, F.xxhash64(F.expr(f"substring(chars, cast(4 * at + 1 as int), {4 * WIDTH})")).alias("gram"))
+    ends = [f(F.xxhash64(F.lit(i), "gram")).alias(f"v{i + at}") for i in range(EVALUATIONS) for f, at in ((F.min, 0), (F.max, EVALUATIONS))]
+    signed = grams.groupBy(*line).agg(*ends)
     bands = [F.xxhash64(F.lit(b), *(F.col(f"v{ROWS * b + r}") for r in range(ROWS))) for b in range(2 * EVALUATIONS // ROWS)]
-    return lines.select(F.monotonically_increasing_id().alias("line"), "id", "pos", "k1", "k2", F.array(*bands).alias("bands"))
+    return signed.select(F.monotonically_increasing_id().alias("line"), "id", "pos", "k1", "k2", F.array(*bands).alias("bands"), _bits(0).alias("low_bits"), _bits(EVALUATIONS).alias("high_bits"))
+
 
+def _bits(at: int) -> Column:
+    return F.expr(" | ".join(f"shiftleft(v{at + i} & 1L, {i})" for i in range(EVALUATIONS)))
 
-def _mask(i: int) -> Column:
-    return F.transform("sh", lambda x: x.bitwiseXOR(F.lit(_signed(_STEP * (2 * i + 1)))))
+
+def _close(x: str, y: str, percent: int) -> str:
+    """Whether the sketches allow the similarity, as a condition on two rows or structs."""
+    differ = (100 - percent) / 200
+    most = 2 * EVALUATIONS * differ + DEVIATIONS * (2 * EVALUATIONS * differ * (1 - differ)) ** 0.5
+    return f"bit_count({x}.low_bits ^ {y}.low_bits) + bit_count({x}.high_bits ^ {y}.high_bits) <= {most}"
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -77,34 +87,42 @@ def _components(docs: DataFrame, signed: DataFrame, ws: Workspace, id_col: str,
     first = one.groupBy("k1", "k2").agg(F.min("line").alias("rep"))
     one = one.join(first, ["k1", "k2"]).where("line = rep")
     keyed = one.select("line", F.explode("bands").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("line").alias("pivot"), F.max("line").alias("last")).where("pivot != last")
-    members = ws.save(keyed.join(shared.select("key", "pivot"), "key").select("key", "line", "pivot"), "members")
-
-    wanted = signed.select("line", "id", "pos").join(members.select("line").distinct(), "line")
-    wanted = ws.save(wanted, "wanted")
+    shared = keyed.groupBy("key").agg(F.min("line").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = ws.save(keyed.join(shared, "key").select("key", "line", "pivot", "n"), "members")
+
+    sketch = signed.select("line", "low_bits", "high_bits")
+    x, y = sketch.withColumnRenamed("line", "pivot").alias("x"), sketch.alias("y")
+    pairs = members.where("line != pivot").select("pivot", "line").distinct().join(y, "line").join(x, "pivot")
+    pairs = ws.save(pairs.where(_close("x", "y", percent)).select("pivot", "line"), "pairs")
+    # A bucket of two is settled by its pair with the pivot; only larger ones are opened.
+    opened = members.where("n > 2").select("line")
+    wanted = opened.union(pairs.select("line")).union(pairs.select("pivot")).distinct()
+    wanted = ws.save(signed.select("line", "id", "pos", "low_bits", "high_bits").join(wanted, "line"), "wanted")
     found = _split(docs, id_col, text_col).withColumnRenamed("line", "said").join(_small(wanted), ["id", "pos"])
-    texts = ws.save(found.select("line", _shingles(F.col("said")).alias("sh")), "shingles")
+    texts = ws.save(found.select("line", "said", "low_bits", "high_bits"), "texts")
 
-    pairs = members.where("line != pivot").select("pivot", "line").distinct()
-    x = texts.select(F.col("line").alias("pivot"), F.col("sh").alias("sh")).alias("x").hint("merge")
-    y = texts.alias("y").hint("merge")
-    both = pairs.join(y, "line").withColumnRenamed("sh", "sh_y").join(x, "pivot")
-    near = both.where(f"{100 + percent} * size(array_intersect(sh, sh_y)) >= {percent} * (size(sh) + size(sh_y))")
+    said = texts.select("line", "said").hint("merge")
+    both = pairs.join(said.withColumnRenamed("said", "said_y"), "line").join(said.withColumnRenamed("line", "pivot"), "pivot")
+    # The array of one pair binds both shingle sets, so that each is made once.
+    both = both.withColumn("pair", F.array(F.struct(F.struct(_shingles(F.col("said")).alias("sh")).alias("x"), F.struct(_shingles(F.col("said_y")).alias("sh")).alias("y"))))
+    near = both.where(f"exists(pair, p -> {_alike('p.x', 'p.y', percent)})")
     links = ws.save(near.select(F.col("pivot").alias("a"), F.col("line").alias("b")), "pair-links")
     labels = ws.save(connected_components(links, ws, "pair-cc"), "pair-labels")
 
-    marked = members.join(labels, members["line"] == labels["node"], "left").select("key", "line", F.coalesce("component", "line").alias("part"))
+    marked = members.where("n > 2").join(labels, members["line"] == labels["node"], "left").select("key", "line", F.coalesce("component", "line").alias("part"))
     several = marked.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("blocks")).where("lo != hi")
     opened = marked.join(several.select("key", "blocks"), "key").join(texts.hint("merge"), "line").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")))
     opened = opened.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    member = F.struct("part", "block", "sh").alias("m")
+    member = F.struct("part", "block", "low_bits", "high_bits", "said").alias("m")
     groups = opened.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(member).alias("ms"))
-    apart = f"x.part < y.part and (low = high or x.block != y.block) and {_alike('x', 'y', percent)}"
-    across = f"explode(array_distinct(flatten(transform(ms, x -> transform(filter(ms, y -> {apart}), y -> struct(x.part as a, y.part as b))))))"
+    shingled = F.transform("ms", lambda m: F.struct(m["part"].alias("part"), m["block"].alias("block"), m["low_bits"].alias("low_bits"), m["high_bits"].alias("high_bits"), _shingles(m["said"]).alias("sh")))
+    groups = groups.select("low", "high", F.array(shingled).alias("gs"))
+    apart = f"x.part < y.part and (low = high or x.block != y.block) and {_close('x', 'y', percent)} and {_alike('x', 'y', percent)}"
+    across = f"explode(flatten(transform(gs, g -> array_distinct(flatten(transform(g, x -> transform(filter(g, y -> {apart}), y -> struct(x.part as a, y.part as b))))))))"
     more = ws.save(groups.select(F.expr(across).alias("e")).select("e.a", "e.b").distinct(), "bucket-links")
     union = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
     labels = ws.save(connected_components(union, ws, "all-cc"), "labels")
-    ws.drop("members", "wanted", "shingles")
+    ws.drop("members", "pairs", "wanted", "texts")
     return labels
 
 

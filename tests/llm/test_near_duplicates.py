@@ -1,6 +1,7 @@
 """Min-max hashing and line dedup against brute force, and their edge cases."""
 
 import re
+from collections import Counter
 from itertools import combinations
 
 import pandas as pd
@@ -131,3 +132,44 @@ def test_op10_edges(docs, empty):
     assert got[None]["text"] == long_line
     assert lines.drop_repeated(empty).collect() == []
     assert lines.drop_repeated_documents(df.drop("n_lines")).columns == df.drop("n_lines").columns
+
+
+def character_sets(said, width=5):
+    """Character shingles in plain Python, without the library's pattern."""
+    said = [x.strip(" \t\r").lower() for x in said]
+    return [{x[i : i + width] for i in range(max(1, len(x) - width + 1))} for x in said]
+
+
+SHORT = "the quick brown fox jumps over the lazy dog and then it runs home again to sleep"
+
+
+def test_op10_ordinary_lines_with_small_changes(docs):
+    said = [SHORT, f"{SHORT}!", SHORT.replace("lazy", "lasy"), "a sentence of its own", "a sentence of its own.", "abc", "abcd", "日本語の文章をここに書きます。とても長い文章です", "日本語の文章をここに書きます。とても長い文章です。"]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated(docs(list(enumerate(said)))).collect()}
+    assert got == {i: x if i not in (1, 2, 4, 8) else "" for i, x in enumerate(said)}
+
+
+def test_op10_equals_brute_force_of_character_shingles(spark):
+    d = pd.read_parquet(f"{SF}/documents.parquet")
+    at = [(i, k) for i, t in zip(d["doc_id"], d["text"], strict=True) for k, x in enumerate(t.split("\n")) if x.strip(" \t\r")]
+    said = dict(zip(d["doc_id"], (t.split("\n") for t in d["text"]), strict=True))
+    first = components(at, close_pairs(character_sets([said[i][k] for i, k in at])))
+    gone = {a for a, f in zip(at, first, strict=True) if a != f}
+    got = queries.op10_line_dedup(spark, SF).toPandas().set_index("doc_id")
+    for i, x in said.items():
+        assert got.loc[i, "text"] == "\n".join(y for k, y in enumerate(x) if (i, k) not in gone)
+
+
+def close_pairs(sets, percent=80):
+    """All pairs of alike sets; a pair of them shares one of the rarest shingles of either set."""
+    counts = Counter(x for s in sets for x in s)
+    holders, seen = {}, set()
+    for i, s in enumerate(sets):
+        for x in sorted(s, key=lambda x: (counts[x], x))[: len(s) - -(-len(s) * percent // 100) + 1]:
+            for j in holders.setdefault(x, []):
+                if (j, i) not in seen:
+                    seen.add((j, i))
+                    both = len(sets[j] & s)
+                    if 100 * both >= percent * (len(sets[j]) + len(s) - both):
+                        yield j, i
+            holders[x].append(i)
