@@ -13,6 +13,8 @@ from rulewright.operators.batchfn import batch_score
 
 #: Query sides of a similarity join up to this many rows are broadcast.
 BROADCAST_ROWS = 10_000
+#: Queries and items that meet in one cell of a search with more queries, on average.
+BLOCK_QUERIES, BLOCK_ITEMS = 1024, 4096
 
 
 def with_norm(vectors: DataFrame, vector: str) -> DataFrame:
@@ -44,15 +46,37 @@ def knn_global(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """Cosine against all items, for a bounded set of queries, then top k."""
     asked = queries.limit(BROADCAST_ROWS + 1)
     if asked.count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries: give them a category and use knn_prefiltered")
+        raise ValueError(f"more than {BROADCAST_ROWS} queries: use knn_blocked, or give them a category and use knn_prefiltered")
     scored = with_norm(items, "v").join(F.broadcast(with_norm(queries, "q")), F.col("item_id").isNotNull())
     scored = scored.withColumn("similarity", scores.cosine(F.col("q"), F.col("v"), F.col("q_norm"), F.col("v_norm"))).drop("q", "v", "q_norm", "v_norm")
     return top_k(scored, ["query_id"], [F.desc("similarity"), F.col("item_id")], k)
 
 
+def knn_blocked(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``knn_global`` for any number of queries: more of them meet the items in cells of bounded size, of which each keeps a top k for the final merge."""
+    asked = queries.count()
+    if asked <= BROADCAST_ROWS:
+        return knn_global(queries, items, k)
+    items = items.where(F.col("item_id").isNotNull())
+    blocks, chunks = -(-asked // BLOCK_QUERIES), max(1, -(-items.count() // BLOCK_ITEMS))
+    left = _celled(with_norm(items, "v"), "item_id", "__chunk", chunks, "__block", blocks)
+    right = _celled(with_norm(queries, "q"), "query_id", "__block", blocks, "__chunk", chunks)
+    scored = left.join(right, ["__block", "__chunk"])
+    scored = scored.withColumn("similarity", scores.cosine(F.col("q"), F.col("v"), F.col("q_norm"), F.col("v_norm"))).drop("q", "v", "q_norm", "v_norm")
+    order = [F.desc("similarity"), F.col("item_id")]
+    best = top_k(scored, ["__block", "__chunk", "query_id"], order, k).drop("__block", "__chunk", "rank")
+    return top_k(best, ["query_id"], order, k)
+
+
+def _celled(rows: DataFrame, key: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+    """Rows in a part by a hash of their key, once for each part of the other side."""
+    rows = rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts)))
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+
 def knn_postfiltered(queries: DataFrame, items: DataFrame, category: str, k: int, limit: int = 1) -> DataFrame:
     """Global top k first, then the category, then the limit; may give nothing."""
-    found = knn_global(queries.withColumnRenamed(category, "__want"), items, k).where(F.col(category) == F.col("__want")).drop("__want")
+    found = knn_blocked(queries.withColumnRenamed(category, "__want"), items, k).where(F.col(category) == F.col("__want")).drop("__want")
     return top_k(found.drop("rank"), ["query_id"], [F.desc("similarity"), F.col("item_id")], limit)
 
 

@@ -36,7 +36,7 @@ _GLOBAL = f"""WITH {_E}, k AS (SELECT * FROM (SELECT q.vec_id AS query_id, q.lab
 
 @query(_GLOBAL + " SELECT query_id, item_id, rank, round(similarity, 6) AS similarity FROM k")
 def knn_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similarity.knn_global(_queries(spark, sf_dir, 100).drop("label"), _items(spark, sf_dir), 5)
+    found = similarity.knn_blocked(_queries(spark, sf_dir, 100).drop("label"), _items(spark, sf_dir), 5)
     return found.select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
