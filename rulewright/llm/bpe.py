@@ -3,16 +3,16 @@
 A public tokenizer file (its path is a parameter) gives the vocabulary. Encoding
 runs in four steps that Spark partitions by key:
 
-1. documents are dealt into blocks; a block's texts are split into words and its
-   distinct words go out, packed by word bucket;
-2. a word bucket gathers the words of all blocks and encodes each distinct one
-   once;
-3. the ids go back to the blocks that asked, as each block's word table;
+1. each task splits its documents into words, once, and cuts them into blocks of
+   a bounded number of characters; a block holds its distinct words, and for
+   each document the positions of its words in that list;
+2. the words go to word buckets, packed by block; a bucket gathers the words of
+   all blocks and encodes each distinct one once;
+3. the ids go back to the blocks that asked;
 4. each block joins the ids to the word positions of its documents.
 
-A block holds a bounded number of documents and the number of word buckets
-follows the number of blocks, so both kinds of group keep their size as the
-corpus grows. Words travel once per block that holds them, never per occurrence.
+A bucket streams through its task, which holds its distinct words only. Words travel once per block that holds
+them, never per occurrence. A longer document is a block of its own.
 """
 
 from __future__ import annotations
@@ -27,15 +27,21 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+#: Characters of text of one block, and documents; a longer text is one block.
+BLOCK_CHARS = 4 << 20
 BLOCK_DOCS = 4096
+#: Word buckets at most; beyond that a bucket's stream grows, of which only the distinct words are held.
+BUCKETS = 4096
 
 #: Fixed value: the word pattern of byte-level pre-tokenizers.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,7 +92,9 @@ class Codec:
         return self.fast.encode_ordinary(text)
 
     def split(self, text: str) -> list[str]:
-        """The words that are encoded one by one; special tokens are words of their own."""
+        """The words that are encoded one by one; special tokens are words of their own. Another vocabulary takes a text as one word."""
+        if not self.plain:
+            return [text] if text else []
         if self.marks and any(s in text for s in self.special):
             return [w for part in self.marks.split(text) for w in ([part] if part in self.special else self._split(part))]
         return self._split(text)
@@ -138,17 +146,48 @@ def _unpack(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, id, text) to one row for each block of a batch: its ids, and its texts compressed together."""
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_docs: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) to blocks: ids, words of each document, positions in the block's word list, and that list by bucket."""
+    book = codec(path)
+    task, made = TaskContext.get().partitionId(), 0
     for batch in batches:
-        block = batch.column(0).to_numpy()
-        order = np.argsort(block, kind="stable")
-        names, begin = np.unique(block[order], return_index=True)
-        ends = np.append(begin, len(order))
-        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), batch.column(1).take(pa.array(order)))
-        texts = [x.encode() for x in batch.column(2).to_pylist()]
-        packed = [_pack([texts[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(names), ids, pa.array(packed, pa.binary())], names=["block", "ids", "texts"])
+        ids, first = batch.column(0), 0
+        texts = batch.column(1).to_pylist()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        buckets = batch.column(2)[0].as_py() if len(texts) else 1
+        while first < len(texts):
+            fit = int(np.searchsorted(np.cumsum(sizes[first : first + block_docs]), BLOCK_CHARS, side="right"))
+            last = first + max(1, fit)
+            place: dict[str, int] = {}
+            counts, positions = [], []
+            for i in range(first, last):
+                own = book.split(texts[i])
+                counts.append(len(own))
+                positions.append(np.fromiter((place.setdefault(w, len(place)) for w in own), "<u4", len(own)))
+                texts[i] = None
+            words = [w.encode() for w in place]
+            bucket = np.fromiter((crc32(w) for w in words), np.int64, len(words)) % buckets
+            # Positions follow the order in which the answers come: by bucket, then by first use.
+            order = np.argsort(bucket, kind="stable")
+            moved = np.empty(len(words), "<u4")
+            moved[order] = np.arange(len(words), dtype="<u4")
+            flat = np.concatenate(positions) if positions else np.zeros(0, "<u4")
+            stream = zstandard.compress(moved[flat].tobytes(), 1)
+            names, begin = np.unique(bucket[order], return_index=True)
+            ends = np.append(begin, len(order))
+            lists = [_pack([words[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(task << 32) + made]),
+                    pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), ids.slice(first, last - first)),
+                    pa.array([counts], pa.list_(pa.int64())),
+                    pa.array([stream], pa.binary()),
+                    pa.array([names], pa.list_(pa.int64())),
+                    pa.array([lists], pa.list_(pa.binary())),
+                ],
+                names=["block", "ids", "counts", "positions", "buckets", "words"],
+            )
+            first, made = last, made + 1
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -159,55 +198,53 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    blocks = max(1, math.ceil(docs.count() / block_docs))
-    keyed = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
-    keyed = keyed.mapInArrow(_bundle, f"block long, ids array<{kind}>, texts binary")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(BUCKETS, max(1, math.ceil(size / BLOCK_CHARS)))
+    blocks = docs.withColumn("buckets", F.lit(buckets)).mapInArrow(
+        lambda batches: _blocks(batches, path, block_docs), f"block long, ids array<{kind}>, counts array<long>, positions binary, buckets array<long>, words array<binary>"
+    )
 
     def ask(table: pa.Table) -> pa.Table:
-        book = codec(path)
-        words: set[str] = set()
-        for packed in table.column("texts").to_pylist():
-            for text in _unpack(packed):
-                words.update(book.split(text.decode()))
-        buckets: dict[int, list[bytes]] = {}
-        for word in sorted(words):
-            raw = word.encode()
-            buckets.setdefault(crc32(raw) % blocks, []).append(raw)
-        block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(buckets), pa.int64()), "bucket": pa.array(list(buckets), pa.int64()), "words": pa.array([_pack(w) for w in buckets.values()], pa.binary())})
-
-    def answer(table: pa.Table) -> pa.Table:
+        names, words = (table.column(c).combine_chunks().flatten() for c in ("buckets", "words"))
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(names), pa.int64()), "bucket": names, "words": words})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = codec(path)
         kind = _width(book.size)
         known: dict[bytes, bytes] = {}
-        out = []
-        for packed in table.column("words").to_pylist():
-            words = _unpack(packed)
-            for word in words:
-                if word not in known:
-                    known[word] = np.array(book.encode(word.decode()), kind).tobytes()
-            out.append(_pack([known[w] for w in words]))
-        return pa.table({"block": table.column("block"), "words": table.column("words").cast(pa.binary()), "codes": pa.array(out, pa.binary())})
+        for batch in batches:
+            out, asked = [], []
+            for packed in batch.column(2).to_pylist():
+                words = _unpack(packed)
+                for word in words:
+                    if word not in known:
+                        known[word] = np.array(book.encode(word.decode()), kind).tobytes()
+                out.append(_pack([known[w] for w in words]))
+                asked.append(crc32(packed))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(asked, pa.int64()), pa.array(out, pa.binary())], names=["block", "bucket", "asked", "codes"])
 
     def place(table: pa.Table, answers: pa.Table) -> pa.Table:
         book = codec(path)
         kind = _width(book.size)
-        code: dict[str, bytes] = {}
-        for packed, codes in zip(answers.column("words").to_pylist(), answers.column("codes").to_pylist(), strict=True):
-            code.update((w.decode(), c) for w, c in zip(_unpack(packed), _unpack(codes), strict=True))
-        rows = []
-        for packed in table.column("texts").to_pylist():
-            for text in _unpack(packed):
-                rows.append(b"".join([code[w] for w in book.split(text.decode())]))
-        step = np.dtype(kind).itemsize
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) // step)))
-        flat = np.frombuffer(b"".join(rows), kind).astype(np.int32)
-        tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-        return pa.table({"id": table.column("ids").combine_chunks().flatten(), "ids": tokens})
-
-    asked = keyed.groupBy("block").applyInArrow(ask, "block long, bucket long, words binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "block long, words binary, codes binary")
-    placed = keyed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(place, f"id {kind}, ids array<int>")
+        got = {a["bucket"]: a for a in answers.to_pylist()}
+        codes: list[bytes] = []
+        for bucket, packed in zip(*(table.column(c).combine_chunks().flatten().to_pylist() for c in ("buckets", "words")), strict=True):
+            # A block that was made again after a loss, in another order, was not the one that asked.
+            fits = bucket in got and got[bucket]["asked"] == crc32(packed)
+            codes += _unpack(got[bucket]["codes"]) if fits else [np.array(book.encode(w.decode()), kind).tobytes() for w in _unpack(packed)]
+        flat = np.frombuffer(b"".join(codes), kind).astype(np.int32)
+        length = np.fromiter(map(len, codes), np.int64, len(codes)) // np.dtype(kind).itemsize
+        begin = np.cumsum(length) - length
+        at = np.frombuffer(zstandard.decompress(table.column("positions")[0].as_py()), "<u4")
+        ends = np.concatenate(([0], np.cumsum(length[at])))
+        tokens = flat[np.repeat(begin[at] - ends[:-1], length[at]) + np.arange(ends[-1])]
+        words = np.concatenate(([0], np.cumsum(table.column("counts").combine_chunks().flatten().to_numpy())))
+        return pa.table({"id": table.column("ids").combine_chunks().flatten(), "ids": pa.ListArray.from_arrays(pa.array(ends[words].astype(np.int32)), pa.array(tokens))})
+
+    # Both reads of the blocks share one exchange, so that a text is split once.
+    asked = blocks.groupBy("block").applyInArrow(ask, "block long, bucket long, words binary")
+    answered = asked.repartition("bucket").mapInArrow(answer, "block long, bucket long, asked long, codes binary")
+    placed = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(place, f"id {kind}, ids array<int>")
     return placed.select(F.col("id").alias(id_col), "ids")
 
 
@@ -215,25 +252,23 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
     """Add the decoded text of an id array, keeping special tokens.
 
     The piece table (one row per id of the vocabulary, a fixed size) is joined
-    to the ids by position in each batch. A null array gives a null text; bytes
-    that are not UTF-8 become replacement characters, as in the library.
+    to the ids of each batch by position (an Arrow take), and the pieces of a
+    row are joined to its text. A null array gives a null text; bytes that are not
+    UTF-8 become replacement characters, as in the library.
     """
     schema = T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())])
     at = coded.columns.index(ids_col)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = codec(path)
+        table = pa.array(book.pieces, pa.binary()) if book.plain else None
         for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                if not ids.is_valid:
-                    texts.append(None)
-                    continue
-                values = ids.values.to_numpy(zero_copy_only=False).tolist()
-                if book.plain:
-                    texts.append(b"".join(map(book.pieces.__getitem__, values)).decode("utf-8", "replace"))
-                else:
-                    texts.append(book.library.decode(values, skip_special_tokens=False))
+            ids = batch.column(at)
+            if book.plain:
+                pieces = pa.ListArray.from_arrays(ids.offsets, table.take(ids.values))
+                texts = [x.decode("utf-8", "replace") if some else None for x, some in zip(pc.binary_join(pieces, b"").to_pylist(), ids.is_valid().to_pylist(), strict=True)]
+            else:
+                texts = [book.library.decode(x, skip_special_tokens=False) if x is not None else None for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
     return coded.mapInArrow(read, schema)
