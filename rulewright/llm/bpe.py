@@ -22,7 +22,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -54,6 +54,11 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class Codec:
     """Encode and decode as the tokenizers library does with one vocabulary file.
 
@@ -63,26 +68,54 @@ class Codec:
     """
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.size = self.library.get_vocab_size()
+        spec = _spec(path)
+        self.path = path
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.plain = _is_byte_level(spec)
-        if not self.plain:
-            return
+        self.size = self.library.get_vocab_size()
+
+    def __getstate__(self) -> dict:
+        """A task gets the few small facts, and loads a table of the file only if it asks for one."""
+        return {k: self.__dict__[k] for k in ("path", "special", "plain", "size")}
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
+    def _ranks(self) -> dict[bytes, int]:
         byte = _byte_of_letter()
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-        self.pieces: list[bytes] = [b""] * self.size
-        for piece, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
-            self.pieces[i] = piece
-        self.fast = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=self.special)
-        self.words = regex.compile(WORDS)
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.unsure = _newer_letters()
-        self.beyond = re.compile(f"[{re.escape(min(self.unsure))}-{chr(0x10FFFF)}]" if self.unsure else r"(?!)")
+        return {bytes(byte[c] for c in token): i for token, i in _spec(self.path)["model"]["vocab"].items() if token not in self.special}
+
+    @cached_property
+    def fast(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=self._ranks(), special_tokens=self.special)
+
+    @cached_property
+    def pieces(self) -> list[bytes]:
+        """The piece of each id."""
+        pieces = [b""] * self.size
+        for piece, i in [*self._ranks().items(), *((s.encode(), i) for s, i in self.special.items())]:
+            pieces[i] = piece
+        return pieces
+
+    @cached_property
+    def words(self) -> regex.Pattern:
+        return regex.compile(WORDS)
+
+    @cached_property
+    def marks(self) -> regex.Pattern | None:
+        return regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    @cached_property
+    def unsure(self) -> frozenset[str]:
+        return _newer_letters()
+
+    @cached_property
+    def beyond(self) -> re.Pattern:
+        return re.compile(f"[{re.escape(min(self.unsure))}-{chr(0x10FFFF)}]" if self.unsure else r"(?!)")
 
     def encode(self, text: str) -> list[int]:
         if not self.plain:
@@ -146,9 +179,8 @@ def _unpack(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_docs: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], book: Codec, block_docs: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) to blocks: ids, words of each document, positions in the block's word list, and that list by bucket."""
-    book = codec(path)
     task, made = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids, first = batch.column(0), 0
@@ -196,12 +228,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     A null text is empty; an empty text has no ids. Rows that repeat an id, or
     have none, are encoded like any other. No other column is read.
     """
+    book = codec(path)
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(BUCKETS, max(1, math.ceil(size / BLOCK_CHARS)))
     blocks = docs.withColumn("buckets", F.lit(buckets)).mapInArrow(
-        lambda batches: _blocks(batches, path, block_docs), f"block long, ids array<{kind}>, counts array<long>, positions binary, buckets array<long>, words array<binary>"
+        lambda batches: _blocks(batches, book, block_docs), f"block long, ids array<{kind}>, counts array<long>, positions binary, buckets array<long>, words array<binary>"
     )
 
     def ask(table: pa.Table) -> pa.Table:
@@ -209,7 +242,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(names), pa.int64()), "bucket": names, "words": words})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = codec(path)
         kind = _width(book.size)
         known: dict[bytes, bytes] = {}
         for batch in batches:
@@ -224,7 +256,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(asked, pa.int64()), pa.array(out, pa.binary())], names=["block", "bucket", "asked", "codes"])
 
     def place(table: pa.Table, answers: pa.Table) -> pa.Table:
-        book = codec(path)
         kind = _width(book.size)
         got = {a["bucket"]: a for a in answers.to_pylist()}
         codes: list[bytes] = []
@@ -258,10 +289,11 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
     """
     schema = T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())])
     at = coded.columns.index(ids_col)
+    book = codec(path)
+    pieces_of = book.pieces if book.plain else []
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = codec(path)
-        table = pa.array(book.pieces, pa.binary()) if book.plain else None
+        table = pa.array(pieces_of, pa.binary())
         for batch in batches:
             ids = batch.column(at)
             if book.plain:
