@@ -2,17 +2,25 @@
 
 A line is compared trimmed and in lower case. Its shingles are the runs of
 ``WIDTH`` characters that start at every character; a shorter line is one
-shingle. Each shingle hash is mixed anew for each of ``EVALUATIONS``
-permutations, which are read for their minimum and their maximum: 110 signature
-values in 22 bands of 5, which miss a pair of similarity 0.8 with probability
-(1 - 0.8**5)**22 = 1.6e-4. Shingles are rows while they are hashed, grouped
-again in the task that holds the document. One bit of each value is kept as a
-sketch; pairs whose sketches differ by ``DEVIATIONS`` standard deviations more
-than those of a pair at the threshold are told apart by it.
-
-Equal lines collapse first. Members of a band bucket are verified against the
-bucket's first line by exact Jaccard similarity and united; buckets that still
-hold several components are opened again and all pairs of different components
+shingle. Equal lines collapse first and are signed once.
+
+Signatures are one-permutation MinHash. A hash deals each shingle into one of
+``BINS`` bins, and the minimum and the maximum of each bin are two signature
+values. A line with few shingles would leave bins empty, so it is dealt again in
+rounds with fresh hashes until it has made ``FILL`` throws; an earlier round
+beats a later one, so that lines of different length agree on the rounds they
+share. Bands hold ``ROWS`` values, 28 bands for a line, and 56 from two
+signatures for one of fewer than ``SHORT`` shingles, whose minima and maxima
+often come from the same shingle. A pair of similarity exactly 0.8 is missed with
+probability of about 2e-4, and up to 1e-3 if the sizes are 80 and 100 (measured
+in the tests). One bit of each value is kept as a sketch; pairs whose sketches
+differ by ``DEVIATIONS`` standard deviations more than those of a pair at the
+threshold are told apart by it.
+
+Members of a band bucket are verified against the bucket's first line by exact
+Jaccard similarity and united: each line against one such line, then against
+the others that are still in a different component. Buckets that still hold
+several components are opened again and all pairs of different components
 are verified inside groups of bounded size, of which only the pairs of
 components that link come out. One line of each component stays.
 """
@@ -26,54 +34,90 @@ from rulewright.llm.components import connected_components
 from rulewright.storage import Workspace
 
 WIDTH = 5
-EVALUATIONS = 55
-ROWS = 5
+ROWS = 6
+GROUPS = 14
+BINS = ROWS * GROUPS
+FILL = 3 * BINS
+SHORT = 64
+#: Groups of bins whose rows carry the line's keys; none of FILL throws falls into them with probability of 4e-27.
+NAMED = 3
 #: Standard deviations by which the sketches of two lines may differ more than expected at the threshold (a miss of about 1e-9).
 DEVIATIONS = 7
 #: Lines of an opened bucket that meet in one group; larger buckets are cut into blocks that meet in pairs.
 BLOCK_ROWS = 128
-#: A table of removed or candidate lines up to this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Tables up to this many bytes, as counted, are broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
-_STARTS = rf"(?s)(?=(.{{{WIDTH}}}|\A.{{1,{WIDTH - 1}}}\z))."
+_LOW = (1 << 40) - 1
 
 
 def _shingles(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_STARTS), F.lit(1)), lambda s: F.xxhash64(s)))
+    """The distinct shingle hashes of a line."""
+    chars = F.encode(line, "UTF-32")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(line) - WIDTH))
+    # The array of one text binds its characters, so that they are made once.
+    made = F.transform(F.array(chars), lambda c: F.transform(starts, lambda i: F.xxhash64(F.substring(c, 4 * i + 1, F.lit(4 * WIDTH)))))
+    return F.array_distinct(F.flatten(made))
 
 
-def _split(docs: DataFrame, id_col: str, text_col: str, *kept: str) -> DataFrame:
-    lines = docs.select(*kept, F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return lines.select(*kept, "id", "pos", F.lower(F.btrim("line", F.lit(" \t\r"))).alias("line")).where("line != ''")
+def _lines(docs: DataFrame, *kept: str) -> DataFrame:
+    """``pos``, the compared line ``said`` and its keys ``k1, k2``, for lines that are not blank."""
+    lines = docs.select(*kept, F.posexplode(F.split("text", "\n")).alias("pos", "said"))
+    lines = lines.select(*kept, "pos", F.lower(F.btrim("said", F.lit(" \t\r"))).alias("said")).where("said != ''")
+    return lines.select("*", F.xxhash64("said").alias("k1"), F.xxhash64("said", F.lit(17)).alias("k2"))
 
 
-def _signed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every line with its keys, bands and sketch; documents are dealt by row number, so that the aggregation needs no exchange of its own."""
-    docs = docs.select(F.monotonically_increasing_id().alias("__row"), id_col, text_col).repartition("__row")
-    line = ["__row", "id", "pos", "k1", "k2"]
-    lines = _split(docs, id_col, text_col, "__row").withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit(17)), "chars": F.encode("line", "UTF-32")})
-    starts = lines.select(*line, "chars", F.explode(F.expr(f"sequence(0, greatest(0, octet_length(chars) div 4 - {WIDTH}))")).alias("at"))
-    grams = starts.select(*line, F.xxhash64(F.expr(f"substring(chars, cast(4 * at + 1 as int), {4 * WIDTH})")).alias("gram"))
-    ends = [f(F.xxhash64(F.lit(i), "gram")).alias(f"v{i + at}") for i in range(EVALUATIONS) for f, at in ((F.min, 0), (F.max, EVALUATIONS))]
-    signed = grams.groupBy(*line).agg(*ends)
-    bands = [F.xxhash64(F.lit(b), *(F.col(f"v{ROWS * b + r}") for r in range(ROWS))) for b in range(2 * EVALUATIONS // ROWS)]
-    return signed.select(F.monotonically_increasing_id().alias("line"), "id", "pos", "k1", "k2", F.array(*bands).alias("bands"), _bits(0).alias("low_bits"), _bits(EVALUATIONS).alias("high_bits"))
+def _signed_lines(docs: DataFrame) -> DataFrame:
+    """``line, k1, k2, copies, at, low, high, low_bits, high_bits``: each distinct line's bands, by groups of bins.
 
-
-def _bits(at: int) -> Column:
-    return F.expr(" | ".join(f"shiftleft(v{at + i} & 1L, {i})" for i in range(EVALUATIONS)))
+    Everything after the collapse is keyed by the line, so it runs where the line is. ``k1, k2, copies`` stand in some of a line's rows only.
+    """
+    one = _lines(docs).groupBy("k1", "k2").agg(F.first("said").alias("said"), F.count("*").alias("copies"))
+    one = one.select(F.monotonically_increasing_id().alias("line"), "k1", "k2", "copies", F.encode("said", "UTF-32").alias("chars"))
+    one = one.withColumn("n", F.expr(f"greatest(1, cast(octet_length(chars) div 4 as int) - {WIDTH - 1})"))
+    # The throws of a round are its shingles; a short line makes all rounds twice.
+    one = one.withColumn("rounds", F.expr(f"cast(({FILL} + n - 1) div n as int)"))
+    throws = one.select("line", "k1", "k2", "copies", "chars", "n", "rounds", F.explode(F.expr(f"sequence(0, if(n < {SHORT}, 2, 1) * n * rounds - 1)")).alias("throw"))
+    throws = throws.select("line", "k1", "k2", "copies", "rounds", F.expr("cast(throw div n as int)").alias("r"), F.expr(f"substring(chars, 4 * (throw % n) + 1, {4 * WIDTH})").alias("gram"))
+    # A second signature starts again at round 0, with other hashes.
+    fresh = throws.select("line", "k1", "k2", "copies", F.expr("if(r < rounds, 0, 1)").alias("again"), F.expr("if(r < rounds, r, r - rounds)").alias("round"), "gram")
+    dealt = fresh.select("line", "k1", "k2", "copies", "again", "round", F.xxhash64(F.expr("65536 * again + round"), "gram").alias("h"))
+    value = f"shiftleft(cast(round as long), 40) | (h & {_LOW}L)"
+    dealt = dealt.select("line", "k1", "k2", "copies", "again", F.expr(f"cast(shiftrightunsigned(h, 40) % {BINS} as int)").alias("bin"), F.expr(value).alias("lo"))
+    dealt = dealt.select("line", "k1", "k2", "copies", F.expr(f"cast({GROUPS} * again + bin div {ROWS} as int)").alias("at"), F.expr(f"bin % {ROWS}").alias("i"), "lo", F.expr(f"lo ^ {_LOW}L").alias("hi"))
+    ends = [F.expr(f"min(if(i = {i}, {x}, null))").alias(f"{x}{i}") for x in ("lo", "hi") for i in range(ROWS)]
+    signed = dealt.groupBy("line", "k1", "k2", "copies", "at").agg(*ends)
+    band = {x: F.xxhash64("at", F.lit(x), *(F.col(f"{x}{i}") for i in range(ROWS))) for x in ("lo", "hi")}
+    bits = {x: F.expr(" | ".join(f"shiftleft(cast(coalesce({x}{i}, 0) & 1 as int), {i})" for i in range(ROWS))) for x in ("lo", "hi")}
+    # A line has throws in the first groups of bins; its keys stand in their rows only.
+    keys = [F.expr(f"if(at < {NAMED}, {c}, null)").alias(c) for c in ("k1", "k2", "copies")]
+    return signed.select("line", *keys, "at", band["lo"].alias("low"), band["hi"].alias("high"), bits["lo"].alias("low_bits"), bits["hi"].alias("high_bits"))
+
+
+def _sketches(signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Keys and sketch of the wanted lines, two longs and two more: 84 bits of minima and 84 of maxima."""
+    half = GROUPS // 2
+    own = signed.where(f"at < {GROUPS}").join(wanted, "line", "left_semi")
+    parts = [
+        F.sum(F.expr(f"if(at >= {a} and at < {a + half}, shiftleft(cast({x}_bits as long), {ROWS} * (at - {a})), 0L)")).alias(f"{x}_{a}") for x in ("low", "high") for a in (0, half)
+    ]
+    return own.groupBy("line").agg(F.max("k1").alias("k1"), F.max("k2").alias("k2"), *parts)
+
+
+SKETCH = [f"{x}_{a}" for x in ("low", "high") for a in (0, GROUPS // 2)]
 
 
 def _close(x: str, y: str, percent: int) -> str:
     """Whether the sketches allow the similarity, as a condition on two rows or structs."""
     differ = (100 - percent) / 200
-    most = 2 * EVALUATIONS * differ + DEVIATIONS * (2 * EVALUATIONS * differ * (1 - differ)) ** 0.5
-    return f"bit_count({x}.low_bits ^ {y}.low_bits) + bit_count({x}.high_bits ^ {y}.high_bits) <= {most}"
+    most = 2 * BINS * differ + DEVIATIONS * (2 * BINS * differ * (1 - differ)) ** 0.5
+    return " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SKETCH) + f" <= {most}"
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """Broadcast a table behind a check of its size; else leave it to a shuffle."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+def _small(table: DataFrame, width: int, items: str = "1") -> DataFrame:
+    """Broadcast a table behind a check of its bytes (``width`` for a row or item); else leave it to a shuffle."""
+    n = table.agg(F.sum(F.expr(items))).first()[0] or 0
+    return F.broadcast(table) if n * width <= BROADCAST_BYTES else table.hint("merge")
 
 
 def _alike(x: str, y: str, percent: int) -> str:
@@ -81,75 +125,100 @@ def _alike(x: str, y: str, percent: int) -> str:
     return f"100 * least(size({x}.sh), size({y}.sh)) >= {percent} * greatest(size({x}.sh), size({y}.sh)) and {100 + percent} * size(array_intersect({x}.sh, {y}.sh)) >= {percent} * (size({x}.sh) + size({y}.sh))"
 
 
-def _components(docs: DataFrame, signed: DataFrame, ws: Workspace, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """``(node, component)`` over the first of all equal lines, for lines that link."""
-    one = signed.select("line", "k1", "k2", "bands").repartition("k1", "k2")
-    first = one.groupBy("k1", "k2").agg(F.min("line").alias("rep"))
-    one = one.join(first, ["k1", "k2"]).where("line = rep")
-    keyed = one.select("line", F.explode("bands").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("line").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = ws.save(keyed.join(shared, "key").select("key", "line", "pivot", "n"), "members")
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(pivot, line)`` that link, as ``(a, b)``."""
+    said = texts.select("line", "said").hint("merge")
+    both = pairs.join(said.withColumnRenamed("said", "said_y"), "line").join(said.withColumnRenamed("line", "pivot"), "pivot")
+    # The array of one pair binds both sets, so that each is made once.
+    both = both.withColumn("pair", F.array(F.struct(F.struct(_shingles(F.col("said")).alias("sh")).alias("x"), F.struct(_shingles(F.col("said_y")).alias("sh")).alias("y"))))
+    return both.where(f"exists(pair, p -> {_alike('p.x', 'p.y', percent)})").select(F.col("pivot").alias("a"), F.col("line").alias("b"))
+
+
+def _members(signed: DataFrame, ws: Workspace) -> DataFrame:
+    """``key, line, pivot, n``: lines in a bucket with others, its first line and its size."""
+    keyed = signed.select("line", F.explode(F.array("low", "high")).alias("key"))
+    shared = ws.save(keyed.groupBy("key").agg(F.min("line").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "shared")
+    return ws.save(keyed.join(_small(shared, 40), "key").select("key", "line", "pivot", "n"), "members")
+
 
-    sketch = signed.select("line", "low_bits", "high_bits")
-    x, y = sketch.withColumnRenamed("line", "pivot").alias("x"), sketch.alias("y")
+def _components(docs: DataFrame, signed: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+    """``(node, component)`` over distinct lines, for lines that link."""
+    members = _members(signed, ws)
+    sketch = ws.save(_sketches(signed, members.select("line").distinct().hint("merge")), "sketches")
+    bits = sketch.select("line", *SKETCH)
+    x, y = bits.withColumnRenamed("line", "pivot").alias("x"), bits.alias("y")
     pairs = members.where("line != pivot").select("pivot", "line").distinct().join(y, "line").join(x, "pivot")
     pairs = ws.save(pairs.where(_close("x", "y", percent)).select("pivot", "line"), "pairs")
     # A bucket of two is settled by its pair with the pivot; only larger ones are opened.
-    opened = members.where("n > 2").select("line")
-    wanted = opened.union(pairs.select("line")).union(pairs.select("pivot")).distinct()
-    wanted = ws.save(signed.select("line", "id", "pos", "low_bits", "high_bits").join(wanted, "line"), "wanted")
-    found = _split(docs, id_col, text_col).withColumnRenamed("line", "said").join(_small(wanted), ["id", "pos"])
-    texts = ws.save(found.select("line", "said", "low_bits", "high_bits"), "texts")
-
-    said = texts.select("line", "said").hint("merge")
-    both = pairs.join(said.withColumnRenamed("said", "said_y"), "line").join(said.withColumnRenamed("line", "pivot"), "pivot")
-    # The array of one pair binds both shingle sets, so that each is made once.
-    both = both.withColumn("pair", F.array(F.struct(F.struct(_shingles(F.col("said")).alias("sh")).alias("x"), F.struct(_shingles(F.col("said_y")).alias("sh")).alias("y"))))
-    near = both.where(f"exists(pair, p -> {_alike('p.x', 'p.y', percent)})")
-    links = ws.save(near.select(F.col("pivot").alias("a"), F.col("line").alias("b")), "pair-links")
-    labels = ws.save(connected_components(links, ws, "pair-cc"), "pair-labels")
+    wanted = members.where("n > 2").select("line").union(pairs.select("line")).union(pairs.select("pivot")).distinct()
+    wanted = ws.save(sketch.join(wanted.hint("merge"), "line", "left_semi"), "wanted")
+    found = _lines(docs).join(_small(wanted.select("line", "k1", "k2"), 48), ["k1", "k2"]).groupBy("line").agg(F.first("said").alias("said"))
+    texts = ws.save(found.join(wanted.drop("k1", "k2").hint("merge"), "line"), "texts")
+
+    first = pairs.groupBy("line").agg(F.min("pivot").alias("pivot")).select("pivot", "line")
+    links = ws.save(_verified(first, texts, percent), "first-links")
+    labels = ws.save(connected_components(links, ws, "first-cc"), "first-labels")
+    part = lambda of: labels.select(F.col("node").alias(of), F.col("component").alias(f"{of}_part")).hint("merge")
+    rest = pairs.join(first.hint("merge"), ["pivot", "line"], "left_anti").join(part("line"), "line", "left").join(part("pivot"), "pivot", "left")
+    rest = rest.where("coalesce(line_part, line) != coalesce(pivot_part, pivot)").select("pivot", "line")
+    more = ws.save(_verified(rest, texts, percent), "rest-links")
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = ws.save(connected_components(known.unionByName(more), ws, "pair-cc"), "pair-labels")
 
     marked = members.where("n > 2").join(labels, members["line"] == labels["node"], "left").select("key", "line", F.coalesce("component", "line").alias("part"))
     several = marked.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("blocks")).where("lo != hi")
     opened = marked.join(several.select("key", "blocks"), "key").join(texts.hint("merge"), "line").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")))
     opened = opened.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    member = F.struct("part", "block", "low_bits", "high_bits", "said").alias("m")
+    member = F.struct("part", "block", *SKETCH, "said").alias("m")
     groups = opened.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(member).alias("ms"))
-    shingled = F.transform("ms", lambda m: F.struct(m["part"].alias("part"), m["block"].alias("block"), m["low_bits"].alias("low_bits"), m["high_bits"].alias("high_bits"), _shingles(m["said"]).alias("sh")))
+    shingled = F.transform("ms", lambda m: F.struct(*(m[c].alias(c) for c in ("part", "block", *SKETCH)), _shingles(m["said"]).alias("sh")))
     groups = groups.select("low", "high", F.array(shingled).alias("gs"))
-    apart = f"x.part < y.part and (low = high or x.block != y.block) and {_close('x', 'y', percent)} and {_alike('x', 'y', percent)}"
-    across = f"explode(flatten(transform(gs, g -> array_distinct(flatten(transform(g, x -> transform(filter(g, y -> {apart}), y -> struct(x.part as a, y.part as b))))))))"
+    # Of two components one link is enough: what is found is carried on, and not looked for again.
+    apart = f"y.part > x.part and (low = high or x.block != y.block) and {_close('x', 'y', percent)}"
+    parts = f"array_distinct(transform(filter(g, y -> {apart}), y -> y.part))"
+    fresh = f"filter({parts}, q -> not array_contains(found, struct(x.part as a, q as b)) and exists(g, y -> y.part = q and {apart} and {_alike('x', 'y', percent)}))"
+    step = f"concat(found, transform({fresh}, q -> struct(x.part as a, q as b)))"
+    across = f"explode(flatten(transform(gs, g -> aggregate(g, cast(array() as array<struct<a: bigint, b: bigint>>), (found, x) -> {step}))))"
     more = ws.save(groups.select(F.expr(across).alias("e")).select("e.a", "e.b").distinct(), "bucket-links")
-    union = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    labels = ws.save(connected_components(union, ws, "all-cc"), "labels")
-    ws.drop("members", "pairs", "wanted", "texts")
-    return labels
+    ws.drop("members", "texts", "sketches", "pairs", "wanted")
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return ws.save(connected_components(known.unionByName(more), ws, "all-cc"), "labels")
 
 
 def drop_repeated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents without their repeated lines, and ``n_lines`` and ``n_removed``.
+    """All rows without their repeated lines, and ``n_lines`` and ``n_removed``.
 
     Of each component of alike lines the first, by document id and position,
     stays; blank lines always stay, and count in ``n_lines``. A null text stays
-    null with no lines. Lines of rows with a null id are never removed. Rows
-    that repeat an id count as one document, of which every copy keeps a kept
-    line. Columns named like the two counts are replaced; others stay.
+    null with no lines. Lines of rows with a null id are never removed. Rows that
+    share an id but not their text are documents of their own, of which no line
+    is lost for the other's sake; rows equal in id and text are one document, and
+    each of them is returned alike. Columns named like the two counts are
+    replaced; others stay.
     """
     docs = docs.drop("n_lines", "n_removed")
     ws = Workspace(docs.sparkSession, "lines")
-    signed = ws.save(_signed_lines(docs, id_col, text_col), "signed")
-    reps = ws.save(signed.groupBy("k1", "k2").agg(F.min("line").alias("rep"), F.count("*").alias("n")), "reps")
-    labels = _components(docs, signed, ws, id_col, text_col, percent)
-    grouped = reps.join(labels, reps["rep"] == labels["node"], "left").where("component is not null or n > 1")
-    grouped = grouped.select("k1", "k2", F.coalesce("component", "rep").alias("part"))
-    lines = ws.save(signed.select("id", "pos", "k1", "k2").join(grouped, ["k1", "k2"]).select("part", F.struct("id", "pos").alias("at")), "grouped")
-    keep = lines.groupBy("part").agg(F.min("at").alias("keep"))
-    gone = lines.join(keep, "part").where("at != keep and at.id is not null").groupBy(F.col("at.id").alias("__gone_id")).agg(F.collect_set("at.pos").alias("__gone"))
-    gone = _small(ws.save(gone, "gone"))
-    joined = docs.join(gone, docs[id_col] == gone["__gone_id"], "left")
+    identity = [F.xxhash64(id_col, text_col).alias("__d1"), F.xxhash64(F.lit(29), text_col, id_col).alias("__d2")]
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *identity)
+    signed = ws.save(_signed_lines(own), "signed")
+    labels = _components(own, signed, ws, percent)
+    # A line that occurs once and links with none needs no further look.
+    found = signed.where("k1 is not null").select("line", "k1", "k2", "copies").join(labels.hint("merge"), F.col("line") == F.col("node"), "left").where("component is not null or copies > 1")
+    found = ws.save(found.select("k1", "k2", F.coalesce("component", "line").alias("part")).distinct(), "found")
+    seen = _lines(own, "id", "__d1", "__d2").join(_small(found, 48), ["k1", "k2"]).select("part", F.struct("id", "__d1", "__d2", "pos").alias("at"))
+    seen = ws.save(seen, "seen")
+    ws.drop("signed", "labels", "found")
+    kept = ws.save(seen.groupBy("part").agg(F.min("at").alias("keep")), "kept")
+    gone = seen.join(_small(kept, 80), "part").where("at != keep and at.id is not null").groupBy(F.col("at.__d1").alias("__d1"), F.col("at.__d2").alias("__d2"))
+    gone = gone.agg(F.collect_set("at.pos").alias("__gone"))
+    gone = ws.save(gone, "gone")
+    ws.drop("seen", "kept")
+    gone = _small(gone, 8, "4 + size(__gone)")
     parts = F.split(F.col(text_col), "\n")
-    stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    columns = [F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(stay).alias(c) if c == text_col else docs[c] for c in docs.columns]
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    short = F.array_join(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay, lambda i: p[i]), "\n")), "")
+    joined = docs.select(*docs.columns, *identity).join(gone, ["__d1", "__d2"], "left")
+    columns = [F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(short).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
 
 
