@@ -9,9 +9,9 @@ different permutations.
 Defaults: 60 permutations give 120 values in 24 bands of 5. A pair of
 similarity 0.8 shares no band with probability (1 - 0.8**5)**24 = 7e-5.
 
-Plan: one pass computes set digests and band keys. Documents with equal sets
-collapse to their smallest id. In each band bucket every member is confirmed
-against the bucket's smallest id on full sets, and the confirmed links are
+Plan: one pass computes set digests and band keys. Rows with equal sets collapse
+to one node, whatever their ids. In each band bucket every member is confirmed
+against the bucket's first node on full sets, and the confirmed links are
 united. Then buckets that still hold several components are opened again: their
 members meet in groups of bounded size, where the set sizes of all pairs of
 different components are counted. Only links that unite components leave a
@@ -25,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm.components import connected_components
 from rulewright.llm.shingles import constants, mix, shingle_sets
 from rulewright.storage import Workspace
 
-SIGNATURE = "id long, n_shingles long, k1 long, k2 long, bands array<long>"
+SIGNATURE = "id long, t1 long, t2 long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -41,7 +41,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, width: int = 4, permutations: int = 60, rows: int = 5) -> DataFrame:
-    """``docs(id, text)`` to set size, set digest and band keys of every row."""
+    """``docs(id, t1, t2, text)`` to set size, set digest and band keys of every row; ``t1, t2`` name its text."""
     assert permutations % rows == 0
     n_bands = 2 * permutations // rows
     slope, shift = constants(permutations, 101), constants(permutations, 202)
@@ -50,7 +50,7 @@ def signatures(docs: DataFrame, width: int = 4, permutations: int = 60, rows: in
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(1))
+            texts = _texts(batch.column(3))
             n = len(texts)
             sizes = np.zeros(n, np.int64)
             digest = np.zeros((n, 2), np.int64)
@@ -75,17 +75,17 @@ def signatures(docs: DataFrame, width: int = 4, permutations: int = 60, rows: in
             ends = np.concatenate(([0], np.cumsum(some * n_bands))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands],
-                names=["id", "n_shingles", "k1", "k2", "bands"],
+                [*batch.columns[:3], pa.array(sizes), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands],
+                names=["id", "t1", "t2", "n_shingles", "k1", "k2", "bands"],
             )
 
-    return docs.select(F.col("id").cast("long"), "text").mapInArrow(sign, SIGNATURE)
+    return docs.select("id", "t1", "t2", "text").mapInArrow(sign, SIGNATURE)
 
 
 def _pair_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets meet the similarity, by exact set sizes."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge")
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge")
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,17 +110,17 @@ def _pair_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return joined.mapInArrow(compare, "a long, b long")
 
 
-#: Members of an opened bucket that meet in one group; larger buckets are cut into blocks that meet in pairs.
-BLOCK_ROWS = 1024
+#: Shingles of the members of an opened bucket that meet in one block; larger buckets are cut into blocks that meet in pairs.
+BLOCK_SHINGLES = 1 << 19
 
 
 def _bucket_links(opened: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between different components of a bucket, ``opened(key, id, part)``; enough of them to unite all."""
+    """Links between different components of a bucket, ``opened(key, node, part, n_shingles)``; enough of them to unite all."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [v.tobytes() for _, o, values in shingle_sets(_texts(batch.column(1)), width) for v in np.split(values, o[1:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -128,13 +128,13 @@ def _bucket_links(opened: DataFrame, texts: DataFrame, width: int, percent: int)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    ids = opened.select("id").distinct()
-    sets = texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(sets_of, "id long, shingles binary")
-    sizes = opened.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("blocks"))
-    rows = opened.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    nodes = opened.select("node").distinct()
+    sets = texts.join(nodes.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(sets_of, "node long, shingles binary")
+    sizes = opened.groupBy("key").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).alias("blocks"))
+    rows = opened.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "part", "block")
-    rows = rows.join(sets.hint("merge"), "id").select("key", "low", "high", "id", "part", "block", "shingles")
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "part", "block")
+    rows = rows.join(sets.hint("merge"), "node").select("key", "low", "high", "node", "part", "block", "shingles")
     return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(unite, "a long, b long")
 
 
@@ -190,55 +190,78 @@ def _group_links(low: np.ndarray, high: np.ndarray, ids: np.ndarray, part: np.nd
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 60, rows: int = 5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``.
-
-    Documents link when 100 * shared shingles >= percent * united shingles;
-    ``component_id`` is the smallest id reachable over links. A null or blank
-    text has no shingles and links with nothing. Rows with a null id link with
-    nothing and stay their own (null) component, kept. Rows that repeat an id
-    count as one document: they get the same component. Other columns are not
-    read, whatever their names.
-    """
+def _labelled(docs: DataFrame, width: int, percent: int, permutations: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row ``id, t1, t2, n_shingles`` and ``best``, the id and text name of the first row of its component."""
     ws = Workspace(docs.sparkSession, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), *_name(text_col), F.col(text_col).alias("text"))
     sig = ws.save(signatures(docs, width, permutations, rows), "signatures")
     live = sig.where("n_shingles > 0 and id is not null")
-    reps = ws.save(live.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "reps")
-    one = live.join(reps, ["k1", "k2"]).where("id = rep").dropDuplicates(["k1", "k2"])
-    keyed = one.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot != last")
+    row = F.struct("id", "t1", "t2")
+    reps = live.groupBy("k1", "k2").agg(F.min(row).alias("rep")).select("k1", "k2", "rep", F.monotonically_increasing_id().alias("node"))
+    reps = ws.save(reps, "reps")
+    one = live.join(reps, ["k1", "k2"]).where(row == F.col("rep")).dropDuplicates(["node"]).select("node", "id", "t1", "t2", "n_shingles", "bands")
+    one = ws.save(one, "one")
+    keyed = one.select("node", "n_shingles", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot != last")
     members = ws.save(keyed.join(shared.select("key", "pivot"), "key"), "members")
-    texts = ws.save(docs.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
+    wanted = one.select("node", "id", "t1", "t2").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    texts = ws.save(docs.join(wanted.hint("merge"), ["id", "t1", "t2"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    pairs = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = ws.save(_pair_links(pairs, texts, width, percent), "pair-links")
     labels = ws.save(connected_components(links, ws, "pair-cc"), "pair-labels")
-    marked = members.join(labels, members["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    marked = members.join(labels.withColumnRenamed("component", "part"), "node", "left").select("key", "node", "n_shingles", F.coalesce("part", "node").alias("part"))
     open_keys = marked.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
-    opened = ws.save(marked.join(open_keys, "key").dropDuplicates(["key", "id"]), "opened")
+    opened = ws.save(marked.join(open_keys, "key").dropDuplicates(["key", "node"]), "opened")
     more = ws.save(_bucket_links(opened, texts, width, percent), "bucket-links")
-    ws.drop("texts", "members", "opened")
+    ws.drop("one", "texts", "members", "opened")
     both = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
     labels = ws.save(connected_components(both, ws, "all-cc"), "labels")
 
-    joined = sig.select("id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left")
-    joined = joined.join(labels, joined["rep"] == labels["node"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
-    out = joined.select("id", "n_shingles", component.alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    parts = reps.join(labels.hint("merge"), "node")
+    best = parts.join(parts.groupBy("component").agg(F.min("rep").alias("best")), "component").select("node", "best")
+    nodes = reps.join(best, "node", "left").select("k1", "k2", F.coalesce("best", "rep").alias("best"))
+    joined = sig.select("id", "t1", "t2", "n_shingles", "k1", "k2").join(nodes, ["k1", "k2"], "left")
+    alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
+    return joined.select("id", "t1", "t2", "n_shingles", F.when(alone, row).otherwise(F.col("best")).alias("best"))
+
+
+def _name(text_col: str) -> list[Column]:
+    return [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(31), text_col).alias("t2")]
+
 
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 60, rows: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``.
+
+    Documents link when 100 * shared shingles >= percent * united shingles;
+    ``component_id`` is the smallest id reachable over links. A null or blank
+    text has no shingles and links with nothing. Rows with a null id link with
+    nothing and stay their own (null) component, kept. Rows that share an id but
+    not their text are documents of their own: each has the component of its
+    text, and is kept if its id is the component's. Other columns are not read,
+    whatever their names.
+    """
+    found = _labelled(docs, width, percent, permutations, rows, id_col, text_col).select("id", "n_shingles", F.col("best.id").alias("component_id"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
-#: Ids of dropped documents up to this number are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+
+#: A table of dropped rows up to this many bytes, at 40 a row, is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have a smaller id in their component; all columns stay."""
+    """The first row of each component, by id and then by a hash of the text; all columns stay.
+
+    Only the rows that lose to another row of their component go, not all rows
+    of their id. Rows that are equal in id and text are one document and stay
+    or go together.
+    """
     ws = Workspace(docs.sparkSession, "minhash-keep")
-    found = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col)
-    gone = ws.save(found.where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    found = _labelled(docs, width, percent, 60, 5, id_col, text_col)
+    gone = found.where("struct(id, t1, t2) != best").select(F.col("id").alias("__gone"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    gone = ws.save(gone, "gone")
+    gone = F.broadcast(gone) if 40 * gone.count() <= BROADCAST_BYTES else gone.hint("merge")
+    t1, t2 = _name(text_col)
+    return docs.join(gone, (docs[id_col].cast("long") == gone["__gone"]) & (t1 == gone["__t1"]) & (t2 == gone["__t2"]), "left_anti")
