@@ -36,8 +36,9 @@ from rulewright.storage import Workspace
 
 SEQUENCE = 1024
 WINDOW = 64 * SEQUENCE
-#: Sources beyond this number share queues by hash, which bounds the plan.
-MAX_QUEUES = 1024
+#: Sources with a queue of their own besides those that weights name: the largest. Smaller ones share ``SHARED`` queues by hash, which bounds the plan.
+OWN_QUEUES = 1024
+SHARED = 64
 #: Offsets (rows of task and queue) that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Fraction bits of credits, and windows of one segment, so that products fit 63 bits.
@@ -128,7 +129,7 @@ def make_plan(totals: dict[str, int], weights: dict[str, float] | None = None, w
 
 
 def tokenize(docs: DataFrame, path: str, separator: int) -> DataFrame:
-    """``docs(id, queue, text)`` to ids and, per task and queue, each document's start."""
+    """``docs(id, queue, source, text)`` to ids and, per task and queue, each document's start."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,17 +138,32 @@ def tokenize(docs: DataFrame, path: str, separator: int) -> DataFrame:
         task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             queues, starts, sizes, ids = batch.column(1).to_pylist(), [], [], []
-            for queue, text in zip(queues, batch.column(2).to_pylist(), strict=True):
+            for queue, text in zip(queues, batch.column(3).to_pylist(), strict=True):
                 own = book.encode(text)
                 own.append(separator)
                 starts.append(seen.get(queue, 0))
                 seen[queue] = starts[-1] + len(own)
                 sizes.append(len(own))
                 ids.append(np.array(own, width).tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array([task] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "queue", "task", "begin", "n", "ids"])
+            columns = [*batch.columns[:3], pa.array([task] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "queue", "source", "task", "begin", "n", "ids"])
 
-    return docs.mapInArrow(count, f"id {kind}, queue string, task long, begin long, n long, ids binary")
+    return docs.mapInArrow(count, f"id {kind}, queue string, source string, task long, begin long, n long, ids binary")
+
+
+def _queued(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """Add ``queue``: the source after "=", or the number of a shared queue after "#"."""
+    sizes = docs.groupBy("source").agg(F.sum(F.octet_length("text")).alias("size"))
+    own = F.concat(F.lit("="), F.coalesce("source", F.lit("\0")))
+    if sizes.limit(OWN_QUEUES + 1).count() <= OWN_QUEUES:
+        return docs.withColumn("queue", own)
+    large = sizes.orderBy(F.desc("size"), "source").limit(OWN_QUEUES).select("source")
+    if weights:
+        named = docs.sparkSession.createDataFrame([(s,) for s in weights], "source string")
+        large = large.union(named).distinct()
+    large = F.broadcast(large.select(F.col("source").alias("large"), F.lit(True).alias("own")))  # OWN_QUEUES rows and the caller's weights
+    tail = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("string"))
+    return docs.join(large, docs["source"].eqNullSafe(large["large"]), "left").withColumn("queue", F.when(F.col("own"), own).otherwise(tail)).drop("large", "own")
 
 
 def pack(
@@ -160,22 +176,22 @@ def pack(
     and, if asked for, ``input_ids``. A document is its token ids and the
     separator, so an empty or null text is one token. All sequences but the last
     are full. Rows with null or repeated ids are packed like any other; a null
-    source is a queue of its own. Empty tables give no pieces.
+    source is a source of its own. Every source that ``weights`` name and the
+    ``OWN_QUEUES`` largest are queues of their own; if there are more, the smaller
+    ones share queues, in their joint proportion. Empty tables give no pieces.
     """
     ws = Workspace(docs.sparkSession, "packing")
-    queue = F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
-    docs = docs.select(F.col(id_col).alias("id"), queue.alias("queue"), F.coalesce(text_col, F.lit("")).alias("text"))
-    if docs.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        docs = docs.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
-        weights = None
+    docs = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs = _queued(docs, weights).select("id", "queue", "source", "text")
+    weights = weights and {f"={s}": w for s, w in weights.items()}
     coded = ws.save(tokenize(docs, path, separator), "coded")
     sums = ws.save(coded.groupBy("queue", "task").agg(F.sum("n").alias("n")), "sums")
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
+    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # as many rows as there are queues: OWN_QUEUES, SHARED and the caller's weights at most
     before = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("queue", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if sums.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    placed = coded.join(offsets, ["queue", "task"]).select("id", "queue", (F.col("base") + F.col("begin")).alias("begin"), "n", "ids")
+    placed = coded.join(offsets, ["queue", "task"]).select("id", "queue", (F.col("base") + F.col("begin")).alias("begin"), "n", "ids", "source")
     plan = make_plan(totals, weights, window)
     shared = docs.sparkSession.sparkContext.broadcast(plan)
     kind = docs.schema["id"].dataType.simpleString()
@@ -208,15 +224,15 @@ def pack(
                 if with_ids:
                     parts.append(values[s : s + k].astype(np.int32))
             at = pa.array(row)
-            columns = [batch.column(0).take(at), *map(pa.array, (start, length, sums, n[row], spot // sequence, spot % sequence)), batch.column(1).take(at)]
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
+            columns = [batch.column(0).take(at), *map(pa.array, (start, length, sums, n[row], spot // sequence, spot % sequence)), batch.column(5).take(at)]
+            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
             if with_ids:
                 columns.append(pa.array(parts, pa.list_(pa.int32())))
                 names.append("input_ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string" + ", input_ids array<int>" * with_ids
-    return placed.mapInArrow(cut, schema).withColumnsRenamed({"id": id_col, "queue": "source"})
+    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", input_ids array<int>" * with_ids
+    return placed.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
 
 
 def _cut(plan: Plan, q: int, begin: np.ndarray, n: np.ndarray, sequence: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
