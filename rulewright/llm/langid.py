@@ -2,9 +2,10 @@
 
 Text becomes lower-case letters with single spaces for everything else. Its
 n-grams of one to ``ORDERS`` characters are hashed into a fixed number of
-buckets. Counts by language and bucket are summed by Spark; the smoothed
-log-probability matrix, of languages x buckets, is broadcast, and each batch is
-scored as a sparse document-by-bucket count times that matrix.
+buckets. Counts by language and bucket are summed by Spark and broadcast; they
+make the smoothed log-probability matrix, of languages x buckets, and each batch
+is scored as a sparse document-by-bucket count times that matrix, in blocks of
+languages, so that any number of them is scored in bounded memory.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ ORDERS = 4
 BUCKETS = 1 << 16
 #: The classifier is fitted on about this many labelled documents at most, chosen by a hash of the id.
 MAX_TRAIN_DOCS = 30_000
-#: The matrix is languages x BUCKETS floats; more labels than this are refused, not dropped.
-MAX_LANGUAGES = 256
+#: Languages of one block of the matrix, which is languages x BUCKETS floats.
+BLOCK_LANGUAGES = 128
 UNKNOWN = "und"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -70,30 +71,57 @@ def _grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
 
 
 class Model:
-    """Languages and, for each bucket, their log-probabilities."""
+    """Languages, their share of documents and n-grams, and the counts of n-grams by language and bucket.
 
-    def __init__(self, languages: list[str], prior: np.ndarray, table: np.ndarray) -> None:
-        self.languages, self.prior, self.table = languages, prior, table
+    ``cells`` are (bucket, language, count) arrays in the order of the languages;
+    there are at most as many as the training rows have n-grams.
+    """
+
+    def __init__(self, languages: list[str], docs: np.ndarray, cells: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.languages, self.docs, self.cells = languages, docs, cells
+        _, who, n = cells
+        self.total = np.bincount(who, n, len(languages)) + 0.5 * BUCKETS
+        self.prior = np.log(docs / max(1, docs.sum())) if languages else docs
+        self._kept: tuple[int, np.ndarray] | None = None
+
+    def table(self, first: int) -> np.ndarray:
+        """Log-probabilities of the buckets in a block of languages; a block is kept until another is asked for."""
+        if self._kept is None or self._kept[0] != first:
+            last = min(first + BLOCK_LANGUAGES, len(self.languages))
+            bucket, who, n = self.cells
+            a, b = np.searchsorted(who, (first, last))
+            sums = np.full((BUCKETS, last - first), 0.5)
+            sums[bucket[a:b], who[a:b] - first] += n[a:b]
+            self._kept = first, np.log(sums / self.total[first:last])
+        return self._kept[1]
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The most probable language of each text and its posterior probability."""
+        """The most probable language of each text and its posterior probability; of equal ones the first by name."""
         names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, best
+        runs = []
         for first, letters, rows, buckets in _grams(texts):
-            total = np.zeros((len(letters), len(self.languages))) + self.prior
             cell, count = np.unique(rows * BUCKETS + buckets, return_counts=True)
-            if len(cell):
-                at = cell // BUCKETS
-                begin = np.flatnonzero(np.diff(at, prepend=-1))
-                total[at[begin]] += np.add.reduceat(self.table[cell % BUCKETS] * count[:, None], begin, axis=0)
-            total -= total.max(1, keepdims=True)
-            share = np.exp(total)
-            share /= share.sum(1, keepdims=True)
-            top = share.argmax(1)
-            for i in np.flatnonzero(letters):
-                names[first + i] = self.languages[top[i]]
-                best[first + i] = share[i, top[i]]
+            runs.append((first, letters, cell // BUCKETS, cell % BUCKETS, count))
+        top, peak, mass = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.zeros(len(texts))
+        for low in range(0, len(self.languages), BLOCK_LANGUAGES):
+            table = self.table(low)
+            for first, letters, at, bucket, count in runs:
+                own = slice(first, first + len(letters))
+                total = np.zeros((len(letters), table.shape[1])) + self.prior[low : low + table.shape[1]]
+                if len(at):
+                    begin = np.flatnonzero(np.diff(at, prepend=-1))
+                    total[at[begin]] += np.add.reduceat(table[bucket] * count[:, None], begin, axis=0)
+                high = total.max(1)
+                more = np.exp(total - high[:, None]).sum(1)
+                new = np.maximum(high, peak[own])
+                mass[own] = mass[own] * np.exp(peak[own] - new) + more * np.exp(high - new)
+                top[own] = np.where(high > peak[own], low + total.argmax(1), top[own])
+                peak[own] = new
+        for first, letters, *_ in runs:
+            for i in np.flatnonzero(letters) + first:
+                names[i], best[i] = self.languages[top[i]], 1 / mass[i]
         return names, best
 
 
@@ -123,19 +151,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             )
 
     counts = rows.select(text_col, F.col(lang_col).cast("string")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = rows.select(F.col(lang_col).cast("string")).distinct().limit(MAX_LANGUAGES + 1).count()
-    if found > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     table = counts.toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     place = {x: i for i, x in enumerate(languages)}
-    sums, docs = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
     who = np.fromiter((place[x] for x in table.column("lang").to_pylist()), np.int64, table.num_rows)
     bucket, n_of = table.column("bucket").to_numpy(), table.column("n").to_numpy()
+    docs = np.zeros(len(languages))
     docs[who[bucket < 0]] = n_of[bucket < 0]
-    sums[bucket[bucket >= 0], who[bucket >= 0]] = n_of[bucket >= 0]
-    smooth = sums + 0.5
-    return Model(languages, np.log(docs / max(1, docs.sum())), np.log(smooth / smooth.sum(0)) if languages else smooth)
+    order = np.lexsort((bucket, who))
+    order = order[bucket[order] >= 0]
+    return Model(languages, docs, (bucket[order], who[order], n_of[order]))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -145,7 +170,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     named like the two outputs are replaced.
     """
     docs = docs.drop(lang_out, score_out)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.docs, model.cells))
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     at = docs.columns.index(text_col)
 
