@@ -2,8 +2,10 @@
 
 Base matches are three patterns, kept as they are. Candidates in base64 or hex
 are reported only if their decoded bytes have the structure of a secret: a
-signed token whose header names an algorithm, a DER key whose nested lengths
-add up, or an OpenSSH private key whose length-prefixed fields fit.
+signed token whose header names an algorithm, a DER key whose nested lengths add up
+down to the inner key (RSA, DSA, EC, PKCS8 plain or encrypted), or an OpenSSH
+private key whose length-prefixed fields fit. Base64 may be wrapped over lines,
+and a key may be glued to other base64 letters: its own length tells its end.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]{1,40}:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+#: How the base64 of a DER sequence, or of an OpenSSH key, begins.
+_BEGINS = re.compile("M[C-I]|b3BlbnNzaC1rZXktdjE")
 _WIDE_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 
 
@@ -70,22 +74,42 @@ def _der(raw: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (raw[at], start, start + size) if start + size <= end else None
 
 
-def is_der_key(raw: bytes) -> bool:
-    """Whether bytes are one DER sequence of a private key: version, then integers, an algorithm or a key string."""
-    top = _der(raw, 0, len(raw))
-    if not top or top[0] != 0x30 or top[2] != len(raw):
-        return False
-    tags, at = [], top[1]
-    while at < top[2]:
-        part = _der(raw, at, top[2])
+def _elements(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """The DER elements that fill a range exactly; none if their lengths don't add up."""
+    found = []
+    while at < end:
+        part = _der(raw, at, end)
         if not part:
-            return False
-        tags.append((part[0], part[2] - part[1]))
+            return []
+        found.append(part)
         at = part[2]
-    kinds = [t for t, _ in tags]
-    if not kinds or tags[0] != (0x02, 1):
+    return found
+
+
+def _is_algorithm(raw: bytes, part: tuple[int, int, int]) -> bool:
+    inner = _elements(raw, part[1], part[2])
+    return part[0] == 0x30 and bool(inner) and inner[0][0] == 0x06
+
+
+def is_der_key(raw: bytes) -> bool:
+    """Whether bytes are one DER private key, with the lengths of all nested elements right."""
+    top = _elements(raw, 0, len(raw))
+    if len(top) != 1 or top[0][0] != 0x30:
+        return False
+    parts = _elements(raw, top[0][1], top[0][2])
+    tags = [p[0] for p in parts]
+    if tags == [0x30, 0x04]:  # encrypted PKCS8
+        return _is_algorithm(raw, parts[0]) and parts[1][2] - parts[1][1] >= 16
+    if not parts or tags[0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return False
-    return kinds[:9] == [0x02] * 9 or kinds[1:3] == [0x30, 0x04] or kinds[1:2] == [0x04] or (len(kinds) >= 6 and set(kinds) == {0x02})
+    if tags[1:3] == [0x30, 0x04]:  # PKCS8: the algorithm, then the key of that algorithm
+        inner = _elements(raw, parts[2][1], parts[2][2])
+        if not _is_algorithm(raw, parts[1]) or len(inner) != 1:
+            return False
+        return inner[0][0] in (0x02, 0x04) or is_der_key(raw[parts[2][1] : parts[2][2]])
+    if tags[1:2] == [0x04]:  # EC: the key, then tagged parameters and public key
+        return parts[1][2] - parts[1][1] >= 16 and all(t in (0xA0, 0xA1) and _elements(raw, a, b) for t, a, b in parts[2:])
+    return tags[:9] == [0x02] * 9 or tags == [0x02] * 6
 
 
 def is_ssh_key(raw: bytes) -> bool:
@@ -101,6 +125,38 @@ def is_ssh_key(raw: bytes) -> bool:
     return at + 4 <= len(raw)
 
 
+def _is_encrypted_pem(headers: str, raw: bytes) -> bool:
+    """Whether header lines name a cipher and the body is whole blocks of it."""
+    return "ENCRYPTED" in headers and "DEK-Info:" in headers and len(raw) >= 64 and len(raw) % 8 == 0
+
+
+def _keys_in(run: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in a run of base64 that may be wrapped over lines."""
+    place = [i for i, c in enumerate(run) if c not in "\r\n="]
+    text = "".join(run[i] for i in place)
+    at = 0
+    while m := _BEGINS.search(text, at):
+        at, start = m.start() + 1, m.start()
+        if m[0][0] == "M":
+            head = _from_base64(text[start : start + 8])
+            more = head[1] & 0x7F if len(head) == 6 and head[1] & 0x80 else 0
+            if len(head) < 6 or more > 4:
+                continue
+            size = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+            end = start + -(-4 * size // 3)
+            if size < 30 or end > len(text) or not is_der_key(_from_base64(text[start:end])):
+                continue
+            kind = "der"
+        else:
+            kind, end = "ssh", len(text) - ((len(text) - start) % 4 == 1)
+            if not is_ssh_key(_from_base64(text[start:end])):
+                continue
+        at, last = end, place[end - 1] + 1
+        while last < len(run) and run[last] == "=":
+            last += 1
+        yield kind, place[start], last
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every base match and confirmed candidate, in code points, by start then kind."""
     found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if "=" in text or ":" in text else []
@@ -111,15 +167,11 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            raw = _from_base64("".join(m[2].split()))
-            if is_der_key(raw) or is_ssh_key(raw):
+            raw = _from_base64("".join(m[3].split()))
+            if is_der_key(raw) or is_ssh_key(raw) or _is_encrypted_pem(m[2], raw):
                 found.append(("pem", *m.span()))
     for m in _BASE64.finditer(text):
-        raw = _from_base64(m[0])
-        if raw[:1] == b"0" and is_der_key(raw):
-            found.append(("der", *m.span()))
-        elif is_ssh_key(raw):
-            found.append(("ssh", *m.span()))
+        found += [(kind, m.start() + a, m.start() + b) for kind, a, b in _keys_in(m[0])]
     for m in _WIDE_HEX.finditer(text):
         raw = bytes.fromhex(m[0]) if m[0][:2] == "30" or m[0][:4].lower() == "6f70" else b""
         if is_der_key(raw):
