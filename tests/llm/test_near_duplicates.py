@@ -5,7 +5,6 @@ from collections import Counter
 from itertools import combinations
 
 import pandas as pd
-import regex
 from compare import SF
 from pyspark.sql import functions as F
 
@@ -92,6 +91,18 @@ def test_op1_edges(docs, empty):
     assert kept.columns == df.columns
 
 
+def test_op1_one_id_on_different_texts(docs):
+    """Rows of one id are documents of their own; only the copy goes."""
+    said, other = "one two three four five six seven eight nine ten", "quite another text with other words in it today"
+    df = docs([(1, said), (2, said), (2, other), (2, other), (3, f"{other} ."), (4, f"{said} 11"), (4, "none of the above words")])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, width=4).collect())
+    assert got == [(1, 7, 1, True), (2, 6, 2, True), (2, 6, 2, True), (2, 7, 1, False), (3, 7, 2, False), (4, 2, 4, True), (4, 8, 1, False)]
+    kept = sorted((r["doc_id"], r["text"]) for r in minhash.keep_first(df, width=4).collect())
+    assert kept == [(1, said), (2, other), (2, other), (4, "none of the above words")]
+    near = docs([(5, said), (5, f"{said} 11")])
+    assert minhash.keep_first(near, width=4).count() == 1
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(1000, 1001 + i) for i in range(60)]
@@ -100,23 +111,6 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(61)}
 
 
-def test_op10_equals_brute_force(spark):
-    d = pd.read_parquet(f"{SF}/documents.parquet")
-    pattern = regex.compile(lines._STARTS.replace(r"\z", r"\Z"))
-    at, sets = [], []
-    for i, t in zip(d["doc_id"], d["text"], strict=True):
-        for k, line in enumerate(t.split("\n")):
-            if line.strip(" \t\r"):
-                at.append((i, k))
-                sets.append({m[1] for m in pattern.finditer(line.strip(" \t\r").lower())})
-    first = components(at, alike(sets))
-    gone = {a for a, f in zip(at, first, strict=True) if a != f}
-    got = queries.op10_line_dedup(spark, SF).toPandas().set_index("doc_id")
-    for i, t in zip(d["doc_id"], d["text"], strict=True):
-        assert got.loc[i, "text"] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
-        assert got.loc[i, "n_removed"] == sum(a[0] == i for a in gone)
-
-
 def test_op10_edges(docs, empty):
     long_line = "the quick brown fox jumps over the lazy dog and then it runs home again to sleep under the old oak tree by the river bank"
     rows = [(2, f"{long_line}\n\nown line here"), (1, f"  {long_line.upper()}\r\nother"), (3, None), (4, ""), (5, f"x\n{long_line}!"), (6, "語" * 200), (7, "語" * 199 + "x"), (None, long_line), (8, "a" * 100_000)]
@@ -173,3 +167,30 @@ def close_pairs(sets, percent=80):
                     if 100 * both >= percent * (len(sets[j]) + len(s) - both):
                         yield j, i
             holders[x].append(i)
+
+
+def test_op10_one_id_on_different_texts(docs):
+    """Only the repeated line goes; no line is lost for another row's sake."""
+    got = lines.drop_repeated(docs([(1, SHORT), (2, SHORT), (2, "quite another text\nwith two lines"), (2, f"more of it\n{SHORT}!")])).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in got) == [(1, SHORT, 0), (2, "", 1), (2, "more of it", 1), (2, "quite another text\nwith two lines", 0)]
+
+
+def test_op10_rows_that_are_equal_are_one_document(docs):
+    got = lines.drop_repeated(docs([(3, f"{SHORT}\nown"), (3, f"{SHORT}\nown"), (1, SHORT)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, SHORT), (3, "own"), (3, "own")]
+
+
+def test_op10_recall_at_the_threshold(docs):
+    """Pairs of similarity 0.8 to 0.82 with 5 to 40 shingles, made from distinct characters: about 2e-4 to 1e-3 of them may be missed."""
+    import random
+
+    rng, rows, n = random.Random(8), [], 0
+    for size in range(5, 41):
+        for _ in range(25):
+            said = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(size + 4))
+            cut = size - -(-8 * size // 10)
+            rows += [(n, said), (n + 1, said[: len(said) - cut])]
+            n += 2
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated(docs(rows)).collect()}
+    assert all(got[i] == said for i, said in rows if i % 2 == 0)
+    assert sum(got[i] != "" for i, said in rows if i % 2) <= 6

@@ -1,25 +1,19 @@
 """The pipeline against a plain Python version of its stages."""
 
 import pandas as pd
-import regex
 from compare import SF
-from test_near_duplicates import alike, components, word_sets
+from test_near_duplicates import alike, character_sets, close_pairs, components, word_sets
 
 import corpus_pipeline
-from rulewright.llm import lines, secrets
+from rulewright.llm import secrets
 
 
 def test_run_equals_plain_version(spark):
     d = pd.read_parquet(f"{SF}/documents.parquet")
-    pattern = regex.compile(lines._STARTS.replace(r"\z", r"\Z"))
     # Every document of this table has letters in one language; none is rejected.
-    at, sets = [], []
-    for i, t in zip(d["doc_id"], d["text"], strict=True):
-        for k, line in enumerate(t.split("\n")):
-            if line.strip(" \t\r"):
-                at.append((i, k))
-                sets.append({m[1] for m in pattern.finditer(line.strip(" \t\r").lower())})
-    gone = {a for a, f in zip(at, components(at, alike(sets)), strict=True) if a != f}
+    found = [((i, k), x) for i, t in zip(d["doc_id"], d["text"], strict=True) for k, x in enumerate(t.split("\n")) if x.strip(" \t\r")]
+    at = [a for a, _ in found]
+    gone = {a for a, f in zip(at, components(at, close_pairs(character_sets([x for _, x in found]))), strict=True) if a != f}
     texts = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in zip(d["doc_id"], d["text"], strict=True)}
     texts = {i: t for i, t in texts.items() if t.strip(" \t\r\n") or not any(a[0] == i for a in gone)}
     ids = list(texts)

@@ -85,6 +85,59 @@ def test_op3_structures():
     assert secrets.mask("a token=abcdef b", secrets.scan("a token=abcdef b")) == f"a {secrets.MASK} b"
 
 
+OID = der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01")
+ALGORITHM = der(0x30, OID + der(5, b""))
+PKCS8 = der(0x30, der(2, b"\0") + ALGORITHM + der(4, RSA))
+EC = der(0x30, der(2, b"\1") + der(4, bytes(range(32))) + der(0xA0, OID) + der(0xA1, der(3, b"\0" + bytes(64))))
+ENCRYPTED = der(0x30, der(0x30, OID + der(0x30, der(4, b"saltsalt") + der(2, b"\x08\x00"))) + der(4, bytes(range(96))))
+DSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([0x71 + i]) * 20) for i in range(5)))
+ED25519 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes(range(32)))))
+
+
+@pytest.mark.parametrize("raw", [PKCS8, EC, ENCRYPTED, DSA, ED25519])
+def test_op3_nested_keys(raw):
+    assert secrets.is_der_key(raw)
+    assert [k for k, _, _ in secrets.scan(f"key {b64(raw)} end")] == ["der"]
+    assert not secrets.is_der_key(raw[:-1]) and not secrets.is_der_key(raw + b"\0")
+
+
+def test_op3_broken_inner_lengths():
+    broken = bytearray(PKCS8)
+    at = PKCS8.index(RSA) + 4 + 1
+    broken[at] += 1  # the length of the inner key's first number; all outer lengths still add up
+    assert not secrets.is_der_key(bytes(broken))
+    assert not secrets.is_der_key(der(0x30, der(2, b"\0") + der(0x30, der(5, b"")) + der(4, RSA)))
+    assert not secrets.is_der_key(der(0x30, der(2, b"\0") + ALGORITHM + der(4, b"x" * 40)))
+
+
+def test_op3_wrapped_and_glued_keys():
+    said = b64(PKCS8)
+    wrapped = "\n".join(said[i : i + 64] for i in range(0, len(said), 64))
+    assert secrets.scan(f"a {wrapped} b") == [("der", 2, 2 + len(wrapped))]
+    assert secrets.scan(f"a xQ{said}") == [("der", 4, 4 + len(said))]
+    ssh = b64(SSH)
+    assert [k for k, _, _ in secrets.scan(f"xx{ssh}")] == ["ssh"]
+    body = b64(bytes(range(128)))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert [k for k, _, _ in secrets.scan(pem)] == ["pem"]
+    assert secrets.scan(pem.replace("ENCRYPTED", "CLEAR")) == []
+
+
+def test_op3_all_spans_of_the_table(spark, table):
+    """Every span of the query, base kinds by the plain version and the method's kinds by decoding each span again."""
+    got = queries.op3_secret_scan(spark, SF).toPandas().set_index("doc_id")
+    for i, t in zip(table["doc_id"], table["text"], strict=True):
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in got.loc[i, "spans"].split(",") if x)]
+        assert [s for s in spans if s[0] in secrets.BASE_KINDS] == [(k, a, b) for a, _, k, b in plain_base(t)]
+        for kind, a, b in spans:
+            if kind == "jwt":
+                assert json.loads(base64.urlsafe_b64decode(t[a:b].split(".")[0] + "=="))["alg"]
+            elif kind == "pem":
+                assert t[a:b].startswith("-----BEGIN") and t[a:b].endswith("-----")
+            elif kind in ("der", "ssh"):
+                assert t[a:b][:1] in "M3b6"
+
+
 def test_op3_edges(docs, empty):
     rows = [(1, None), (2, ""), (2, "token=abcdef"), (None, "secret: abcdefgh"), (3, "x" * 300_000 + " api_key='0123456789'")]
     df = docs(rows).withColumn("spans", F.lit(1)).withColumn("kind", F.lit(1))
@@ -119,6 +172,39 @@ def test_op5_score_is_naive_bayes(spark, docs):
     assert (score > 0.9).all()
 
 
+def test_op5_posterior_equals_plain_naive_bayes(spark, docs, monkeypatch):
+    """Counts, smoothing, prior and posterior in plain Python over the grams themselves; so few fall into no bucket together."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 2)
+    said = [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the the", "en"), ("el gato y el perro", "es"), ("le chat et le chien", "fr"), ("il gatto e il cane", "it")]
+    model = langid.train(docs([(i, t, x, None) for i, (t, x) in enumerate(said)]))
+
+    def grams(text):
+        text = " " + re.sub(r"[^a-z]+", " ", text.lower()).strip() + " "
+        return [text[i : i + n] for n in range(1, langid.ORDERS + 1) for i in range(len(text) - n + 1)]
+
+    counts, docs_of = {}, Counter(x for _, x in said)
+    for t, x in said:
+        counts.setdefault(x, Counter()).update(grams(t))
+    for text in ("the dog", "die katze", "gato", "chat et", "xyz"):
+        logs = {x: math.log(docs_of[x] / len(said)) + sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * langid.BUCKETS)) for g in grams(text)) for x, c in counts.items()}
+        peak = max(logs.values())
+        best = max(sorted(logs), key=logs.get)
+        (name,), (score,) = model.score([text])
+        assert name == best
+        assert abs(score - 1 / sum(math.exp(v - peak) for v in logs.values())) < 1e-9
+
+
+def test_op5_many_languages(spark, docs):
+    rows = [(i, f"{chr(0x4E00 + 7 * i)}{chr(0x4E01 + 7 * i)} " * 5, f"l{i:03d}", None) for i in range(400)]
+    model = langid.train(docs(rows))
+    names, score = model.score([t for _, t, _, _ in rows[::37]])
+    assert names == [x for _, _, x, _ in rows[::37]]
+    assert (score > 0.5).all()
+
+
 def test_op5_edges(docs, empty):
     rows = [(1, None, "en", None), (2, "", None, None), (3, "123 !?", "en", None), (4, "hello there friend", "en", None), (5, "hallo mein freund", "de", None), (5, "é" * 200_000, None, None), (None, "hello", None, None)]
     df = docs(rows).withColumn("lang_pred", F.lit("x")).withColumn("bucket", F.lit(1))
@@ -201,10 +287,32 @@ def test_other_vocabularies_are_left_to_the_library(docs):
     assert bpe.codec(path).encode("Hello  World") == other.encode("Hello  World", add_special_tokens=False).ids
 
 
+def test_op9_other_vocabulary_and_null_ids(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    other.no_truncation()
+    said = ["Hello  World", "", "more, and MORE words"]
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(docs(list(enumerate(said))), path).collect()}
+    assert got == {i: other.encode(t, add_special_tokens=False).ids for i, t in enumerate(said)}
+    null = docs([(1, "x")]).select(F.lit(None).cast("array<int>").alias("ids"))
+    assert bpe.decode(null, PATH).first()["decoded"] is None
+
+
+def test_op9_very_long_text(docs, library):
+    """A text of 10 MB, longer than a block, beside small ones."""
+    said = "".join(f"word{i % 5003} and {i}. " for i in range(520_000))
+    assert len(said) > 9_500_000
+    got = bpe.decode(bpe.encode(docs([(1, "a b"), (2, said), (3, "")]), PATH), PATH).collect()
+    got = {r["doc_id"]: r for r in got}
+    assert list(got[2]["ids"]) == library.encode(said, add_special_tokens=False).ids
+    assert got[2]["decoded"] == said
+    assert (got[1]["decoded"], got[3]["ids"]) == ("a b", [])
+
+
 # Packing
 
 
-def check_packing(pieces, ids):
+def check_packing(pieces, ids, whole=True):
     seen = {}
     for r in pieces:
         seen.setdefault(r["doc_id"], []).append(r)
@@ -219,6 +327,8 @@ def check_packing(pieces, ids):
             assert r["ids_crc32"] == zlib.crc32(np.array(own[at : at + r["length"]], "<u4").tobytes())
             at += r["length"]
         assert at == len(own)
+    if not whole:
+        return
     by = {}
     for r in pieces:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -262,6 +372,20 @@ def test_op7_weights_and_edges(docs, empty, library):
     assert packing.pack(empty, PATH).collect() == []
 
 
+def test_op7_many_sources_keep_their_names_and_weights(docs, library, monkeypatch):
+    monkeypatch.setattr(packing, "OWN_QUEUES", 3)
+    rows = [(i, f"word{i} " * (40 * (i % 50) + 1), None, f"s{i % 50}") for i in range(200)] + [(900, "x y z", None, None), (900, None, None, "s1")]
+    out = packing.pack(docs(rows), PATH, weights={"s49": 1.0, "s7": 1.0}, window=4096).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], set()).add(r["source"])
+    assert all(by[i] == {s} for i, _, _, s in rows[:200])
+    assert by[900] == {None, "s1"}
+    check_packing([r for r in out if r["doc_id"] != 900], {i: library.encode(t, add_special_tokens=False).ids for i, t, _, _ in rows[:200]}, whole=False)
+    first = {s: sum(r["length"] for r in out if r["sequence_id"] < 4 and r["source"] == s) for s in ("s49", "s7")}
+    assert all(abs(n - 2048) <= 2 for n in first.values())
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_drains_every_queue(seed):
     rng = np.random.default_rng(seed)
