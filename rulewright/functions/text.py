@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The word for "none" in condition texts, and codes that mean "skip".
 NONE_WORD = "없음"
 SKIP_CODES = ("", "-", "없음")
+#: How a text names an image, in the order in which they are tried.
+IMAGE_PATHS = (r"(?:image_path|path|경로)\s*[:=]\s*([^\s,]+)", r"(?:image|img)\s*[:=]\s*([^\s,]+)", r"([^\s]+\.(?:jpg|jpeg|png|webp|bmp|gif))")
 
 
 def strip(c: Column) -> Column:
@@ -123,16 +125,15 @@ def json_block(c: Column, fenced_first: bool = False) -> Column:
 
 
 def image_path(c: Column) -> Column:
-    """A path given as ``path=..``, in quotes, or as a bare image file name."""
-    keyed = regex_or_null(c, r"(?i)(?:image_path|path|image)\s*[=:]\s*[\"']?([^\s\"']+)", 1)
-    quoted = regex_or_null(c, r"(?i)[\"']([^\"']+\.(?:jpg|jpeg|png))[\"']", 1)
-    return F.coalesce(keyed, quoted, regex_or_null(c, r"(?i)(\S+\.(?:jpg|jpeg|png))", 1))
+    """A path given as ``path=..`` or ``image: ..``, else a bare image file name; without quotes around it."""
+    found = F.coalesce(*(regex_or_null(c, f"(?i){p}", 1) for p in IMAGE_PATHS))
+    return F.btrim(found, F.lit("'\""))
 
 
 def gender_word(c: Column) -> Column:
     """Female words are tested before male ones, as whole words in any script."""
     low = F.lower(c)
-    return F.when(low.rlike(r"(?U)\b(female|woman|여성|여자)\b"), F.lit("female")).when(low.rlike(r"(?U)\b(male|man|남성|남자)\b"), F.lit("male"))
+    return F.when(low.rlike(r"(?U)\b(여자|female|woman)\b"), F.lit("female")).when(low.rlike(r"(?U)\b(남자|male|man)\b"), F.lit("male"))
 
 
 def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
@@ -199,7 +200,15 @@ def block_text(content: Column) -> Column:
     return F.when(content.isNull(), F.lit("")).when(content.startswith("["), F.coalesce(listed, content)).otherwise(content)
 
 
+def _by_score(items: Column) -> Column:
+    return F.array_sort(F.transform(items, lambda i: F.struct(i["score"].alias("score"), i["name"].alias("name"))))
+
+
+def worst_names(items: Column, k: int = 3) -> Column:
+    """Names of the k lowest scores of ``array<struct<name, score>>``, then by name."""
+    return F.transform(F.slice(_by_score(items), 1, k), lambda i: i["name"])
+
+
 def scored_line(items: Column) -> Column:
     """``array<struct<name, score>>`` as one line, lowest score first, then name."""
-    order = F.array_sort(F.transform(items, lambda i: F.struct(i["score"].alias("score"), i["name"].alias("name"))))
-    return F.array_join(F.transform(order, lambda i: F.concat(i["name"], F.lit(" "), F.format_string("%.1f", i["score"]))), ", ")
+    return F.array_join(F.transform(_by_score(items), lambda i: F.concat(i["name"], F.lit(" "), F.format_string("%.1f", i["score"]))), ", ")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions import scores, text
@@ -65,6 +68,7 @@ def _names(variables: list[str]) -> str:
 def compile_weighted(c: Column, variables: list[str]) -> Column:
     """``v1 + 0.5*v2 lo-hi`` as struct (terms: array of (coef, var), lo, hi); null if unreadable."""
     flat = text.strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))
+    # Fixed value: the grammar of a term, a factor and a name.
     pattern = rf"(?:(\d+(?:\.\d+)?)\s*\*\s*)?({_names(variables)})"
     coefs = F.transform(F.regexp_extract_all(flat, F.lit(pattern), F.lit(1)), lambda x: F.coalesce(F.nullif(x, F.lit("")).cast("double"), F.lit(1.0)))
     terms = F.zip_with(coefs, F.regexp_extract_all(flat, F.lit(pattern), F.lit(2)), lambda k, v: F.struct(k.alias("coef"), v.alias("var")))
@@ -102,6 +106,64 @@ def rules_side(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.count() <= BROADCAST_ROWS else rules
 
 
+#: Rules up to this many are compiled into the row's expression; larger tables are joined.
+INLINE_RULES = 500
+
+
+def first_holding(subjects: DataFrame, rules: DataFrame, keys: list[str], test: Callable[[Row], Column], joined: Column, ordinal: str = "rule_no") -> DataFrame:
+    """Subjects with ``ordinal`` of the first rule that holds, without those that none holds for.
+
+    A small rule table becomes one chain of conditions, tested inside the row;
+    a larger one is joined under ``joined``, the same test over its columns. A
+    row is a subject; only the join needs ``keys``, which must be unique.
+    """
+    found = rules.orderBy(ordinal).limit(INLINE_RULES + 1).collect()
+    if len(found) > INLINE_RULES:
+        return first_match(subjects.join(rules_side(rules), joined), keys, ordinal)
+    if not found:
+        return subjects.withColumn(ordinal, F.lit(None).cast(rules.schema[ordinal].dataType)).where(F.lit(False))
+    first = F.coalesce(*(F.when(test(r), F.lit(r[ordinal])) for r in found))
+    return subjects.withColumn(ordinal, first).where(F.col(ordinal).isNotNull())
+
+
+def bilateral_test(left: Column, right: Column) -> Callable[[Row], Column]:
+    """``eval_bilateral`` for one rule's compiled ``clauses``."""
+
+    def test(rule: Row) -> Column:
+        held = F.lit(True)
+        for k in rule["clauses"]:
+            if k["lo"] is None:
+                return F.lit(False)
+            a, b = left.between(k["lo"], k["hi"]), right.between(k["lo"], k["hi"])
+            held = held & ((a & b) if k["both"] else (a | b))
+        return left.isNotNull() & right.isNotNull() & held
+
+    return test
+
+
+def weighted_test(columns: list[str], values: dict[str, Column]) -> Callable[[Row], Column]:
+    """``eval_condition`` for one rule, whose texts are compiled in ``<column>_none`` and ``<column>_compiled``; all must hold."""
+
+    def one(rule: Row, column: str) -> Column:
+        compiled = rule[f"{column}_compiled"]
+        if rule[f"{column}_none"]:
+            return F.lit(True)
+        if compiled is None or any(t["var"] not in values for t in compiled["terms"]):
+            return F.lit(False)
+        total = sum((values[t["var"]] * F.lit(t["coef"]) for t in compiled["terms"]), F.lit(0.0))
+        return F.coalesce(total.between(compiled["lo"], compiled["hi"]), F.lit(False))
+
+    return lambda rule: reduce(lambda a, b: a & b, (one(rule, c) for c in columns))
+
+
+def first_weighted(subjects: DataFrame, rules: DataFrame, columns: list[str], values: dict[str, Column], keys: list[str], ordinal: str = "rule_no") -> DataFrame:
+    """Subjects with the first rule all of whose condition texts hold over the named values."""
+    compiled = rules.select("*", *(compile_condition(F.col(c), list(values)).alias(f"{c}_compiled") for c in columns), *(is_none(F.col(c)).alias(f"{c}_none") for c in columns))
+    named = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v)))
+    joined = reduce(lambda a, b: a & b, (F.col(f"{c}_none") | F.coalesce(weighted_value(F.col(f"{c}_compiled"), named).between(F.col(f"{c}_compiled.lo"), F.col(f"{c}_compiled.hi")), F.lit(False)) for c in columns))
+    return first_holding(subjects, compiled, keys, weighted_test(columns, values), joined, ordinal)
+
+
 def first_match(matched: DataFrame, subject: list[str], ordinal: str = "rule_no") -> DataFrame:
     """Of all rules that match a subject, the first in rule order."""
     w = Window.partitionBy(*subject).orderBy(ordinal)
@@ -111,13 +173,18 @@ def first_match(matched: DataFrame, subject: list[str], ordinal: str = "rule_no"
 def match_ranges(subjects: DataFrame, rules: DataFrame, keys: list[str], category: str, value: str, how: str = "inner") -> DataFrame:
     """Subjects (``keys``, category, value) with the first rule whose range holds the value.
 
-    The category is an equi-key, so the plan is a hash join with a residual
-    range condition; rules are ``(category, rule_no, condition, ...)``.
+    A category's rules are one ordered list, joined by the category and searched
+    inside the row, so that subjects are not shuffled; rules are
+    ``(category, rule_no, condition, ...)``. ``how`` is inner or left.
     """
-    compiled = rules.withColumn("bounds", parse_range(F.col("condition"))).withColumnRenamed(category, "__category")
-    hit = (F.col(category) == F.col("__category")) & F.col(value).between(F.col("bounds.lo"), F.col("bounds.hi"))
-    joined = subjects.join(rules_side(compiled), hit, how).drop("__category")
-    return first_match(joined, keys)
+    compiled = rules.withColumn("bounds", parse_range(F.col("condition")))
+    rest = [c for c in compiled.columns if c not in (category, "rule_no")]
+    listed = compiled.groupBy(category).agg(F.array_sort(F.collect_list(F.struct("rule_no", *rest))).alias("__rules"))
+    joined = subjects.join(rules_side(listed), category, how)
+    inside = F.filter("__rules", lambda r: F.coalesce(F.col(value).between(r["bounds"]["lo"], r["bounds"]["hi"]), F.lit(False)))
+    hit = joined.withColumn("__hit", F.try_element_at(inside, F.lit(1)))
+    hit = hit if how == "left" else hit.where("__hit is not null")
+    return hit.select(*subjects.columns, *(F.col(f"__hit.{c}").alias(c) for c in ("rule_no", *rest)))
 
 
 def with_group_fallback(subjects: DataFrame, rules: DataFrame, keys: list[str], category: str, group: str) -> DataFrame:
@@ -140,6 +207,11 @@ def narrowest_group(subjects: DataFrame, groups: DataFrame, keys: list[str], val
     """The group whose interval holds the rounded value, the narrowest first, then by ordinal."""
     bounds = groups.withColumn("__b", scores.age_bounds(F.col("age_group")))
     rounded = F.bround(F.col(value), 0).cast("int")
+    found = bounds.orderBy(F.col("__b.hi") - F.col("__b.lo"), "ordinal").limit(INLINE_RULES + 1).collect()
+    if 0 < len(found) <= INLINE_RULES:
+        made = [F.struct(*(F.lit(r[c]).cast(groups.schema[c].dataType).alias(c) for c in groups.columns)) for r in found]
+        first = F.coalesce(*(F.when(rounded.between(r["__b"]["lo"], r["__b"]["hi"]), s) for r, s in zip(found, made, strict=True)))
+        return subjects.withColumn("__g", first).where("__g is not null").select(*subjects.columns, *(F.col(f"__g.{c}").alias(c) for c in groups.columns))
     joined = subjects.join(rules_side(bounds), rounded.between(F.col("__b.lo"), F.col("__b.hi")))
     w = Window.partitionBy(*keys).orderBy(F.col("__b.hi") - F.col("__b.lo"), "ordinal")
     return joined.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__b")
@@ -164,6 +236,14 @@ def piecewise(values: DataFrame, bins: DataFrame, keys: list[str], value: str) -
     return joined.withColumn("fitted", F.col("a") * F.col("__x") + F.col("b")).drop(*(f"__{k}" for k in keys), "__min", "__max", "__x", "lo", "hi", "a", "b")
 
 
+def anchored_delta(values: DataFrame, bins: DataFrame, anchors: dict[str, float], keys: list[str], axis: str, value: str) -> DataFrame:
+    """``delta`` of each key: over the axes that have bins, the line at the value less the line at the axis's anchor."""
+    spark = values.sparkSession
+    at = piecewise(spark.createDataFrame(list(anchors.items()), f"{axis} string, {value} double"), bins, [axis], value).select(axis, F.col("fitted").alias("__anchor"))
+    fitted = piecewise(values, bins, [axis], value).join(rules_side(at), axis)
+    return fitted.groupBy(*keys).agg(F.sum(F.col("fitted") - F.col("__anchor")).alias("delta"))
+
+
 def contribution_edges(cases: DataFrame, rules: DataFrame, keys: list[str], case_id: str = "case_id", rule_id: str = "rule_id") -> DataFrame:
     """An edge from each matched rule to its case, with the feature and the score; repeated edges once."""
     joined = cases.join(rules.select(*keys, rule_id), keys)

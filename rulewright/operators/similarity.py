@@ -127,9 +127,11 @@ def matched_or_nearest(subjects: DataFrame, matched: DataFrame, items: DataFrame
 def embed_missing(texts: DataFrame, cache: DataFrame, column: str, embed: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
     """Vectors of all texts: cached ones by content hash, the distinct rest through a user's model in batches.
 
-    ``cache(content_key, vector)``; the model gets batches with ``content`` and returns ``vector``.
+    ``cache(content_key, vector)``; the model gets batches with ``content`` and returns ``vector``. A text whose
+    call failed has no vector and ``status`` failed, with its ``error``; all others have the status success.
     """
     _, misses = cache_split(texts, cache, column)
-    made = batch_score(misses, embed, "vector array<double>").where("status = 'success'").select("content_key", "vector")
+    made = batch_score(misses, embed, "vector array<double>").select("content_key", "vector", "status", "error")
+    cached = cache.select("content_key", "vector", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
     keyed = texts.withColumn("content_key", text.content_key(text.hash_text(F.col(column))))
-    return keyed.join(cache.select("content_key", "vector").unionByName(made), "content_key", "left")
+    return keyed.join(cached.unionByName(made), "content_key", "left")

@@ -13,11 +13,11 @@ from rulewright.sources import readers, sinks
 from rulewright.storage import Workspace
 
 
-@query("""SELECT source_id, target_id, feature_name, min(score) AS score FROM (SELECT s_suppkey AS source_id, c_custkey AS target_id, c_mktsegment AS feature_name, c_acctbal AS score FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_custkey % 10 = 0) GROUP BY ALL""")
+@query("""SELECT source_id, target_id, feature_name, min(score) AS score FROM (SELECT s_suppkey AS source_id, c_custkey AS target_id, c_mktsegment AS feature_name, c_acctbal AS score FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 25 = c_custkey % 25) GROUP BY ALL""")
 def case_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("case_id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("feature_name"), F.col("c_acctbal").alias("score"))
-    found = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rule_id"), F.col("s_nationkey").alias("nation"))
-    return rules.contribution_edges(cases, found, ["nation"])
+    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 25).alias("code"), F.col("c_mktsegment").alias("feature_name"), F.col("c_acctbal").alias("score"))
+    found = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rule_id"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 25).alias("code"))
+    return rules.contribution_edges(cases, found, ["nation", "code"])
 
 
 @query("""SELECT o_orderkey, s_suppkey FROM (SELECT o_orderkey, s_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY s_suppkey) AS rn FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 3 = o_orderkey % 3) WHERE rn = 1""")
@@ -68,18 +68,17 @@ def skip_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.only_new(docs, spark.read.parquet(ws.path("done")), ["doc_id"]).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE least(8000, length(regexp_replace(text, '^\s+|\s+$', '', 'g')))::DOUBLE END AS first FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents GROUP BY text HAVING count(DISTINCT doc_id % 2) > 1)")
+@query(r"""WITH k AS (SELECT doc_id, coalesce(nullif(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 8000), ''), ' ') AS content FROM documents)
+    SELECT doc_id, CASE WHEN content IN (SELECT content FROM k WHERE doc_id % 2 = 0) THEN 1.0 ELSE length(content)::DOUBLE END AS first, 'success' AS status FROM k""")
 def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached vectors for even documents, a user's model for the distinct rest."""
+    """Cached vectors for the contents of even documents, a user's model for the distinct rest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = docs.groupBy("text").agg(F.countDistinct(F.col("doc_id") % 2).alias("n")).where("n > 1").select("text")
-    docs = docs.join(mixed, "text", "left_anti")
     cache = docs.where("doc_id % 2 = 0").select(text.content_key(text.hash_text(F.col("text"))).alias("content_key"), F.array(F.lit(1.0)).alias("vector")).distinct()
 
     def make():  # noqa: ANN202
         return lambda rows: pd.DataFrame({"vector": [[float(len(t))] for t in rows["content"]]})
 
-    return similarity.embed_missing(docs, cache, "text", make).select("doc_id", F.col("vector")[0].alias("first"))
+    return similarity.embed_missing(docs, cache, "text", make).select("doc_id", F.col("vector")[0].alias("first"), "status")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_linenumber % 2 = 0 THEN (l_quantity + l_tax) / 2 ELSE l_quantity END, 4) AS mean, round_even(l_quantity / 3, 0)::INT AS even, greatest(l_linenumber, 4) = 4 AND l_linenumber = 4 AS top FROM lineitem""")

@@ -31,18 +31,18 @@ def knn_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GLOBAL = f"""WITH {_E}, k AS (SELECT * FROM (SELECT q.vec_id AS query_id, q.label AS want, i.vec_id AS item_id, i.label, list_cosine_similarity(q.v, i.v) AS similarity,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, i.v) DESC, i.vec_id)::INT AS rank FROM e q, e i WHERE q.vec_id % 100 = 0) WHERE rank <= 5)"""
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, i.v) DESC, i.vec_id)::INT AS rank FROM e q, e i WHERE q.vec_id % 20 = 0) WHERE rank <= 5)"""
 
 
 @query(_GLOBAL + " SELECT query_id, item_id, rank, round(similarity, 6) AS similarity FROM k")
 def knn_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similarity.knn_blocked(_queries(spark, sf_dir, 100).drop("label"), _items(spark, sf_dir), 5)
+    found = similarity.knn_blocked(_queries(spark, sf_dir, 20).drop("label"), _items(spark, sf_dir), 5)
     return found.select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 @query(_GLOBAL + " SELECT query_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM k WHERE label = want) WHERE rn = 1")
 def knn_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.knn_postfiltered(_queries(spark, sf_dir, 100), _items(spark, sf_dir), "label", 5).select("query_id", "item_id")
+    return similarity.knn_postfiltered(_queries(spark, sf_dir, 20), _items(spark, sf_dir), "label", 5).select("query_id", "item_id")
 
 
 _DOCS = "d AS (SELECT doc_id, source, lang, n_chars, round(n_chars / 10000.0, 4)::DOUBLE AS sim FROM documents)"

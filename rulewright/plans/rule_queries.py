@@ -57,7 +57,7 @@ def rule_code_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BILATERAL = [
-    (1, "양쪽 볼 모두 40점 이상이면서\n한쪽 볼에서 89점 이하"), (2, "양쪽 모두 20점 이하"), (3, "한쪽이 90점 이상, 양쪽 10-95점"), (4, "10-20점"), (5, "한쪽 80~60점"),
+    (1, "양쪽 값 40점 이상이면서\n한쪽 값 89점 이하"), (2, "양쪽 20점 이하"), (3, "한쪽이 90점 이상, 양쪽 10-95점"), (4, "10-20점"), (5, "한쪽 80~60점"),
 ]
 
 
@@ -69,38 +69,34 @@ BILATERAL = [
 def rule_bilateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     subject = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("left"), (F.col("l_discount") * 1000).alias("right"))
     compiled = spark.createDataFrame(BILATERAL, "rule_no int, condition string").withColumn("clauses", rules.compile_bilateral(F.col("condition")))
-    hit = subject.join(F.broadcast(compiled), rules.eval_bilateral(F.col("clauses"), F.col("left"), F.col("right")))
-    first = rules.first_match(hit, ["l_orderkey", "l_linenumber"])
+    left, right = F.col("left"), F.col("right")
+    first = rules.first_holding(subject, compiled, ["l_orderkey", "l_linenumber"], rules.bilateral_test(left, right), rules.eval_bilateral(F.col("clauses"), left, right))
+    first = first.groupBy("l_orderkey", "l_linenumber").agg(F.min("rule_no").alias("rule_no"))  # the table repeats some keys
     return first.groupBy("rule_no").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-VARIABLES = ["턱처짐", "볼처짐", "팔자주름", "입가·턱주름", "볼꺼짐"]
-LIFTING = [
-    (1, "볼처짐 + 팔자주름 + 0.5*입가·턱주름 100-115점", "없음"), (2, "볼처짐 + 2*팔자주름 40점 이하", "턱처짐 5점 이하"), (3, "턱처짐 6-8점", ""), (4, "볼꺼짐 20점 이하", "모름 3점 이하"),
-    (5, "볼꺼짐 20-24점", "턱처짐 9~1점"), (6, "볼꺼짐 25점 이상", "없음"),
+TERMS = [
+    (1, "무게 + 높이 + 0.5*폭·깊이 100-115점", "없음"), (2, "무게 + 2*높이 40점 이하", "길이 5점 이하"), (3, "길이 6-8점", ""), (4, "부피 20점 이하", "모름 3점 이하"),
+    (5, "부피 20-24점", "길이 9~1점"), (6, "부피 25점 이상", "없음"),
 ]
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_tax * 100 AS jaw, l_quantity AS cheek, l_discount * 1000 AS fold, l_extendedprice / 1000 AS mouth,
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_tax * 100 AS len, l_quantity AS weight, l_discount * 1000 AS height, l_extendedprice / 1000 AS width,
         CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS lv, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount * 500 END AS rv FROM lineitem),
     v AS (SELECT *, coalesce((lv + rv) / 2, lv, rv) AS vol FROM s),
-    m AS (SELECT *, CASE WHEN cheek + fold + 0.5 * mouth BETWEEN 100 AND 115 THEN 1 WHEN cheek + 2 * fold BETWEEN 0 AND 40 AND jaw BETWEEN 0 AND 5 THEN 2
-        WHEN jaw BETWEEN 6 AND 8 THEN 3 WHEN vol BETWEEN 25 AND 100 THEN 6 END AS rule_no FROM v)
+    m AS (SELECT *, CASE WHEN weight + height + 0.5 * width BETWEEN 100 AND 115 THEN 1 WHEN weight + 2 * height BETWEEN 0 AND 40 AND len BETWEEN 0 AND 5 THEN 2
+        WHEN len BETWEEN 6 AND 8 THEN 3 WHEN vol BETWEEN 25 AND 100 THEN 6 END AS rule_no FROM v)
     SELECT rule_no, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM (SELECT l_orderkey, l_linenumber, min(rule_no) AS rule_no FROM m WHERE rule_no IS NOT NULL GROUP BY ALL) GROUP BY rule_no""")
 def rule_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     lv = F.when(F.col("l_linenumber") != 1, F.col("l_quantity"))
     rv = F.when(F.col("l_linenumber") != 2, F.col("l_discount") * 500)
-    values = F.create_map(
-        F.lit("턱처짐"), F.col("l_tax") * 100, F.lit("볼처짐"), F.col("l_quantity"), F.lit("팔자주름"), F.col("l_discount") * 1000,
-        F.lit("입가·턱주름"), F.col("l_extendedprice") / 1000, F.lit("볼꺼짐"), scores.left_or_mean(lv, rv),
-    )
-    subject = li.select("l_orderkey", "l_linenumber", values.alias("values"))
-    table_ = spark.createDataFrame(LIFTING, "rule_no int, c1 string, c2 string")
-    for c in ("c1", "c2"):
-        table_ = table_.withColumn(f"{c}_compiled", rules.compile_condition(F.col(c), VARIABLES))
-    both = rules.eval_condition(F.col("c1"), F.col("c1_compiled"), F.col("values")) & rules.eval_condition(F.col("c2"), F.col("c2_compiled"), F.col("values"))
-    first = rules.first_match(subject.join(F.broadcast(table_), both), ["l_orderkey", "l_linenumber"])
+    values = {
+        "길이": F.col("l_tax") * 100, "무게": F.col("l_quantity"), "높이": F.col("l_discount") * 1000, "폭·깊이": F.col("l_extendedprice") / 1000, "부피": scores.left_or_mean(lv, rv),
+    }
+    table_ = spark.createDataFrame(TERMS, "rule_no int, c1 string, c2 string")
+    first = rules.first_weighted(li, table_, ["c1", "c2"], values, ["l_orderkey", "l_linenumber"])
+    first = first.groupBy("l_orderkey", "l_linenumber").agg(F.min("rule_no").alias("rule_no"))  # the table repeats some keys
     return first.groupBy("rule_no").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
@@ -140,7 +136,7 @@ def rule_or_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     subject = e.where("vec_id % 20 = 0").select("vec_id", "label", F.col("embedding").alias("q"))
     items = e.where("vec_id % 20 != 0").select(F.col("vec_id").alias("item_id"), "label", F.col("embedding").alias("v"))
     table_ = spark.createDataFrame([(i, -1 - i) for i in range(5)], "label int, item_id long")
-    matched = subject.join(F.broadcast(table_), "label").select("vec_id", "item_id")
+    matched = subject.join(rules.rules_side(table_), "label").select("vec_id", "item_id")
     return similarity.matched_or_nearest(subject, matched, items, ["vec_id"], "label")
 
 

@@ -50,13 +50,13 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(text.named_blocks(told)))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'please image_path="/a/b' || conv_id || '.jpg" now' WHEN 1 THEN 'see ''my pic.PNG'' here' WHEN 2 THEN 'look at x' || turn || '.jpeg ok' ELSE text END AS t,
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'please image_path="/a/b' || conv_id || '.jpg", now' WHEN 1 THEN 'see ''my pic.PNG'' here' WHEN 2 THEN 'look at x' || turn || '.jpeg ok' ELSE text END AS t,
     CASE conv_id % 3 WHEN 0 THEN 'A female patient' WHEN 1 THEN 'one Man here' ELSE 'none' END AS g FROM conversations)
-    SELECT conv_id, turn, coalesce(nullif(regexp_extract(t, '(?i)(?:image_path|path|image)\s*[=:]\s*["'']?([^\s"'']+)', 1), ''), nullif(regexp_extract(t, '(?i)["'']([^"'']+\.(?:jpg|jpeg|png))["'']', 1), ''), nullif(regexp_extract(t, '(?i)(\S+\.(?:jpg|jpeg|png))', 1), '')) AS path,
+    SELECT conv_id, turn, trim(coalesce(nullif(regexp_extract(t, '(?i)(?:image_path|path|경로)\s*[:=]\s*([^\s,]+)', 1), ''), nullif(regexp_extract(t, '(?i)(?:image|img)\s*[:=]\s*([^\s,]+)', 1), ''), nullif(regexp_extract(t, '(?i)([^\s]+\.(?:jpg|jpeg|png|webp|bmp|gif))', 1), '')), '''"') AS path,
         CASE WHEN regexp_matches(lower(g), '(^|\s)(female|woman)(\s|$)') THEN 'female' WHEN regexp_matches(lower(g), '(^|\s)(male|man)(\s|$)') THEN 'male' END AS gender FROM c""")
 def kv_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = (
-        F.when(F.col("turn") % 4 == 0, F.concat(F.lit('please image_path="/a/b'), "conv_id", F.lit('.jpg" now')))
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit('please image_path="/a/b'), "conv_id", F.lit('.jpg", now')))
         .when(F.col("turn") % 4 == 1, F.lit("see 'my pic.PNG' here"))
         .when(F.col("turn") % 4 == 2, F.concat(F.lit("look at x"), "turn", F.lit(".jpeg ok")))
         .otherwise(F.col("text"))
@@ -174,15 +174,17 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.latest_run(spark, ws.path("runs")).groupBy(F.col("run_ts").cast("string").alias("run_ts")).agg(F.count("*").alias("n"), F.sum("n").alias("docs"))
 
 
-@query("""SELECT p_brand, count(*) AS n, min(row_no) AS first_row, max(rule_id) AS last_id FROM (SELECT p_brand, p_partkey AS row_no, 'feature::' || p_brand || '::' || p_type || '::C' || p_size || '::' || p_partkey AS rule_id FROM (SELECT p_brand, p_partkey, replace(p_type, ' ', '_') AS p_type, p_size FROM part WHERE p_brand IN ('Brand#11', 'Brand#12'))) GROUP BY p_brand""")
+@query("""SELECT p_brand, count(*) AS n, min(row_no) AS first_row, max(rule_id) AS last_id FROM (SELECT p_brand, p_partkey AS row_no, 'feature::' || p_brand || '::' || p_type || '::C' || p_size || '::' || p_partkey AS rule_id FROM (SELECT p_brand, p_partkey, replace(p_type, ' ', '_') AS p_type, p_size FROM part )) GROUP BY p_brand""")
 def load_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets of different layouts in one rule table."""
     part = table(spark, sf_dir, "part")
-    one = part.where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("row_no"), F.col("p_type").alias("age_group"), F.lit("1-5점").alias("condition_1"), F.concat(F.lit("C"), "p_size").alias("code"))
-    two = part.where("p_brand = 'Brand#12'").select(F.col("p_partkey").alias("row_no"), F.col("p_type").alias("age_group"), F.lit("a").alias("condition_a"), F.lit("b").alias("condition_b"), F.concat(F.lit("C"), "p_size").alias("code"))
-    rules = readers.load_rules({"Brand#11": one, "Brand#12": two}, ["Brand#11"])
-    brand = F.col("source_sheet").alias("p_brand")
-    return rules.withColumn("rule_id", F.replace("rule_id", F.lit("Brand1"), F.lit("Brand#1"))).groupBy(brand).agg(F.count("*").alias("n"), F.min("row_no").alias("first_row"), F.max("rule_id").alias("last_id"))
+    columns = [F.col("p_partkey").alias("row_no"), F.col("p_type").alias("age_group"), F.concat(F.lit("C"), "p_size").alias("code")]
+    layouts = {"1": [F.lit("1-5점").alias("condition_1")], "2": [F.lit("a").alias("condition_a"), F.lit("b").alias("condition_b")]}
+    brands = [r["p_brand"] for r in part.select("p_brand").distinct().collect()]  # the names of the sheets
+    sheets = {b: part.where(F.col("p_brand") == b).select(*columns, *layouts.get(b[-1], layouts["1"])) for b in brands}
+    rules = readers.load_rules(sheets, sorted(brands)[:1])
+    keyed = rules.withColumn("rule_id", F.regexp_replace("rule_id", "^feature::Brand(?=[0-9])", "feature::Brand#"))
+    return keyed.groupBy(F.col("source_sheet").alias("p_brand")).agg(F.count("*").alias("n"), F.min("row_no").alias("first_row"), F.max("rule_id").alias("last_id"))
 
 
 @query("SELECT CASE WHEN doc_id % 97 = 0 THEN 'failed' ELSE 'success' END AS status, count(*) AS n, sum(CASE WHEN doc_id % 97 <> 0 THEN length(text) END)::BIGINT AS total FROM documents GROUP BY 1")

@@ -27,6 +27,13 @@ def read_manifests(spark: SparkSession, directories: list[str], task: str, split
     return df.withColumn("dataset", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).withColumn("split", F.regexp_extract(path, r"_([a-z]+)\.json$", 1))
 
 
+def read_manifest_folders(spark: SparkSession, directories: list[str], split: str, schema: str) -> DataFrame:
+    """As ``read_manifests``, for directories that ``sinks.write_splits`` wrote: ``{directory}/split={split}``."""
+    df = read_json_records(spark, [f"{d}/split={split}" for d in directories], schema, multi_line=False)
+    path = F.col("_metadata.file_path")
+    return df.withColumn("dataset", F.regexp_extract(path, r"dataset=([^/]+)/", 1)).withColumn("split", F.regexp_extract(path, r"split=([^/]+)/", 1))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, drop_last: bool = False) -> DataFrame:
     df = spark.read.schema(schema).csv(path, header=True)
     return df.drop(df.columns[-1]) if drop_last else df
@@ -39,8 +46,8 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.{jpg,jpeg,png}") -
 
 
 def read_entity_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Files of ``{id: {key: value}}``; one row per id, the later file wins for a key."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    """Files of ``{id: {key: value}}``; one row per id, the later file by path wins for a key."""
+    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     entries = raw.select("file", F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("id", "fields")).select("file", "id", F.explode("fields").alias("key", "value"))
     latest = entries.groupBy("id", "key").agg(F.max_by("value", "file").alias("value"))
     return latest.groupBy("id").pivot("key", names).agg(F.first("value"))
