@@ -2,8 +2,8 @@
 
 A tree halves the unit vectors again and again: each level has one random
 direction, and each node splits at the median of a bounded sample along it. The
-model is a few directions and thresholds; every row is routed by it on the
-executors, and rows of one leaf meet in one group. Leaves that outgrow a block
+sample bounds the depth too, so the model (directions and thresholds) has a
+fixed largest size; every row is routed by it on the executors, and rows of one leaf meet in one group. Leaves that outgrow a block
 are cut into blocks by a hash of the id, so no group is unbounded.
 
 Equal vectors are one entry of the index. A vector takes no part if it is null,
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from rulewright.llm.components import connected_components
 from rulewright.storage import Workspace
 
-#: Rows on which thresholds are fitted at most, chosen by a hash of the id.
-FIT_ROWS = 20_000
+#: Rows on which thresholds are fitted at most, chosen by a hash of the id, and the fewest of them at which a node is split. Together they bound the depth, and so the model.
+FIT_ROWS = 32_768
+NODE_ROWS = 32
 #: Rows of a leaf that one group holds; larger leaves are cut.
 BLOCK_ROWS = 2048
 
@@ -122,7 +123,7 @@ class Forest:
 
 
 def fit(entries: DataFrame, trees: int, leaf_rows: int, seed: int, fit_rows: int = FIT_ROWS) -> Forest | None:
-    """Thresholds from a bounded sample of ``entries(id, v)``; the depth follows the number of entries."""
+    """Thresholds from a bounded sample of ``entries(id, v)``; the depth follows the number of entries as far as the sample fills the nodes."""
     size = entries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     if not size["n"]:
         return None
@@ -130,7 +131,7 @@ def fit(entries: DataFrame, trees: int, leaf_rows: int, seed: int, fit_rows: int
     sample = entries if size["n"] <= fit_rows else entries.where(F.pmod(F.xxhash64("id"), F.lit(grid)) < int(grid * fit_rows / size["n"]))
     dim = size["dim"]
     unit = _unit(_matrix(sample.select("v").toArrow().column("v"), dim)) if size["n"] else np.zeros((0, dim))
-    depth = max(0, int(np.ceil(np.log2(size["n"] / leaf_rows))))
+    depth = max(0, min(int(np.ceil(np.log2(size["n"] / leaf_rows))), int(np.log2(max(1, len(unit)) / NODE_ROWS))))
     rng = np.random.default_rng(seed)
     ways = rng.normal(size=(trees, depth, dim))
     ways /= np.linalg.norm(ways, axis=2, keepdims=True)

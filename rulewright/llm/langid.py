@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rulewright.llm.names import fresh
+
 ORDERS = 4
 BUCKETS = 1 << 16
 #: The classifier is fitted on about this many labelled documents at most, chosen by a hash of the id.
@@ -198,5 +200,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is found with at least the given probability."""
     model = train(docs.where(F.coalesce(fold() != 2, F.lit(True))))
-    scored = predict(docs, model, lang_out="__lang", score_out="__score")
-    return scored.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_found", "lang_score")
+    scored = predict(docs, model, lang_out=lang, score_out=score)
+    return scored.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm.components import connected_components
+from rulewright.llm.names import fresh
 from rulewright.storage import Workspace
 
 WIDTH = 5
@@ -198,32 +199,36 @@ def drop_repeated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     """
     docs = docs.drop("n_lines", "n_removed")
     ws = Workspace(docs.sparkSession, "lines")
-    identity = [F.xxhash64(id_col, text_col).alias("__d1"), F.xxhash64(F.lit(29), text_col, id_col).alias("__d2")]
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *identity)
+    d1, d2, lost = fresh(docs, "d1", "d2", "gone")
+    identity = [F.xxhash64(id_col, text_col), F.xxhash64(F.lit(29), text_col, id_col)]
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), identity[0].alias("d1"), identity[1].alias("d2"))
     signed = ws.save(_signed_lines(own), "signed")
     labels = _components(own, signed, ws, percent)
     # A line that occurs once and links with none needs no further look.
     found = signed.where("k1 is not null").select("line", "k1", "k2", "copies").join(labels.hint("merge"), F.col("line") == F.col("node"), "left").where("component is not null or copies > 1")
     found = ws.save(found.select("k1", "k2", F.coalesce("component", "line").alias("part")).distinct(), "found")
-    seen = _lines(own, "id", "__d1", "__d2").join(_small(found, 48), ["k1", "k2"]).select("part", F.struct("id", "__d1", "__d2", "pos").alias("at"))
+    seen = _lines(own, "id", "d1", "d2").join(_small(found, 48), ["k1", "k2"]).select("part", F.struct("id", "d1", "d2", "pos").alias("at"))
     seen = ws.save(seen, "seen")
     ws.drop("signed", "labels", "found")
     kept = ws.save(seen.groupBy("part").agg(F.min("at").alias("keep")), "kept")
-    gone = seen.join(_small(kept, 80), "part").where("at != keep and at.id is not null").groupBy(F.col("at.__d1").alias("__d1"), F.col("at.__d2").alias("__d2"))
-    gone = gone.agg(F.collect_set("at.pos").alias("__gone"))
+    gone = seen.join(_small(kept, 80), "part").where("at != keep and at.id is not null").groupBy(F.col("at.d1").alias("d1"), F.col("at.d2").alias("d2"))
+    gone = gone.agg(F.collect_set("at.pos").alias("gone"))
     gone = ws.save(gone, "gone")
     ws.drop("seen", "kept")
-    gone = _small(gone, 8, "4 + size(__gone)")
-    parts = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    short = F.array_join(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay, lambda i: p[i]), "\n")), "")
-    joined = docs.select(*docs.columns, *identity).join(gone, ["__d1", "__d2"], "left")
-    columns = [F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(short).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
+    gone = _small(gone, 8, "4 + size(gone)")
+    joined = docs.select("*", identity[0].alias(d1), identity[1].alias(d2)).join(gone.toDF(d1, d2, lost), [d1, d2], "left")
+    parts, changed = F.split(F.col(text_col), "\n"), F.col(lost).isNotNull()
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
+    rest = F.array_join(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay, lambda i: p[i]), "\n")), "")
+    columns = [F.when(changed, rest).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(changed, F.size(lost)).otherwise(F.lit(0)).cast("long").alias("n_removed"))
 
 
 def drop_repeated_documents(docs: DataFrame) -> DataFrame:
     """Documents without repeated lines, ``n_chars`` counted again; a document that lost all its text goes."""
-    out = drop_repeated(docs)
+    counts = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]
+    aside = dict(zip(counts, fresh(docs, *(f"{c}_own" for c in counts)), strict=True))
+    out = drop_repeated(docs.withColumnsRenamed(aside))
     out = out.where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = out.drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in aside.items()})
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm.components import connected_components
+from rulewright.llm.names import fresh
 from rulewright.llm.shingles import constants, mix, shingle_sets
 from rulewright.storage import Workspace
 
@@ -260,8 +261,9 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     """
     ws = Workspace(docs.sparkSession, "minhash-keep")
     found = _labelled(docs, width, percent, 60, 5, id_col, text_col)
-    gone = found.where("struct(id, t1, t2) != best").select(F.col("id").alias("__gone"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
-    gone = ws.save(gone, "gone")
+    names = fresh(docs, "gone_id", "gone_t1", "gone_t2")
+    gone = ws.save(found.where("struct(id, t1, t2) != best").select("id", "t1", "t2").distinct(), "gone").toDF(*names)
     gone = F.broadcast(gone) if 40 * gone.count() <= BROADCAST_BYTES else gone.hint("merge")
-    t1, t2 = _name(text_col)
-    return docs.join(gone, (docs[id_col].cast("long") == gone["__gone"]) & (t1 == gone["__t1"]) & (t2 == gone["__t2"]), "left_anti")
+    own = [F.col(id_col).cast("long"), *_name(text_col)]
+    lost = [x == F.col(n) for x, n in zip(own, names, strict=True)]
+    return docs.join(gone, lost, "left_anti")

@@ -3,7 +3,7 @@
 The categories are predicted one after the other. The model of a category sees
 the text's features and the probabilities of the categories before it. While it
 is trained, those are out-of-fold predictions, made by models that did not see
-the document; when it is used, they come from the earlier models of the chain.
+the document or a near copy of it; when it is used, they come from the earlier models of the chain.
 
 Features are the presence of a word, of its beginnings of 3 to 8 bytes, and of
 a run of signs, in lower case, hashed into a fixed number of buckets; a document's features have
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.llm.shingles import CHUNK_BYTES, span_hashes, word_bounds
+from rulewright.llm.shingles import CHUNK_BYTES, constants, mix, span_hashes, word_bounds
 
 BUCKETS = 1 << 18
 PREFIXES = range(3, 9)
@@ -116,6 +116,28 @@ def _take(offsets: np.ndarray, buckets: np.ndarray, rows: np.ndarray) -> tuple[n
     return ends, buckets[np.repeat(offsets[:-1][rows] - ends[:-1], sizes) + np.arange(ends[-1])]
 
 
+def _group(offsets: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """A number for each document, the same for exact and near copies, so that no model is judged on a copy of what it saw.
+
+    Documents that share a band of minima are compared with the first of the
+    band; those with four fifths of their features in common are one group.
+    """
+    n = len(offsets) - 1
+    root, some = np.arange(n), np.flatnonzero(np.diff(offsets))
+    sets = [frozenset(x.tolist()) for x in np.split(buckets, offsets[1:-1])]
+    for band in range(8):
+        if not len(some):
+            break
+        minima = [np.minimum.reduceat(mix((buckets.astype(np.uint64) + np.uint64(1)) * k), offsets[:-1][some]) for k in constants(3, 500 + band)]
+        first: dict[tuple, int] = {}
+        for i, key in zip(some.tolist(), zip(*(m.tolist() for m in minima), strict=True), strict=True):
+            j = first.setdefault(key, i)
+            a, b = root[i], root[j]
+            if a != b and 1.8 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j])):
+                root[root == max(a, b)] = min(a, b)
+    return root
+
+
 def fit_chain(offsets: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> list[Link]:
     """The chain for ``labels`` (documents x categories), later models trained on out-of-fold probabilities."""
     full = np.diff(offsets)
@@ -123,7 +145,7 @@ def fit_chain(offsets: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> l
     keep = common[buckets]
     offsets, buckets = np.concatenate(([0], np.cumsum(keep)))[offsets], buckets[keep]
     n = len(labels)
-    fold = np.arange(n) % FOLDS
+    fold = _group(offsets, buckets) % FOLDS
     before, chain = np.zeros((n, 0)), []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
@@ -191,13 +213,18 @@ CATEGORIES = ["junk", "toxic", "toxic_junk"]
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on the labelled documents and score all: ``doc_id``, a probability by category, and ``toxic``."""
+    """Train on the labelled documents and score all: ``doc_id``, a probability by category, and ``toxic``.
+
+    ``toxic`` holds from a probability of 0.5 on. A document that is labelled
+    more than once has a category if any of its rows says so.
+    """
 
     def flag(c: Column) -> Column:
         return c.cast("int")
 
     junk, toxic = F.col("quality") == 0, F.col("toxic") == 1
     known = labels.select("doc_id", flag(junk).alias("junk"), flag(toxic).alias("toxic"), flag(junk & toxic).alias("toxic_junk"))
+    known = known.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in CATEGORIES))
     chain = train(docs.select("doc_id", "text").join(known, "doc_id"), CATEGORIES)
     scored = predict(docs.select("doc_id", "text"), chain, CATEGORIES)
     return scored.select("doc_id", *(f"p_{c}" for c in CATEGORIES), (F.col("p_toxic") >= 0.5).alias("toxic"))
