@@ -29,6 +29,41 @@ def test_op4_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_op4_recall_in_deep_trees(spark):
+    """Clustered vectors: five levels, and less than a third of all rows read for a query."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(160, 32))
+    x = (np.repeat(centres, 80, axis=0) + 0.35 * rng.normal(size=(12_800, 32))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    model = forest.fit(forest.usable(df), 8, 400, 5)
+    assert model.depth == 5
+    got = forest.nearest(df, "id % 50 = 0", leaf_rows=400, share=0.3).toPandas()
+    u, hits, read = unit(x), 0, []
+    leaves = model.leaves(u) + (np.arange(8) << 5)
+    asked = range(0, len(x), 50)
+    for q in asked:
+        score = u @ u[q]
+        score[q] = -2
+        hits += len(set(np.argsort(-score)[:5]) & set(got[got["query_id"] == q]["vec_id"]))
+        codes = model.search(model.project(u[q : q + 1])[0], 0.3)
+        read.append(np.isin(leaves, codes).any(1).mean())
+    assert np.mean(read) < 0.3
+    assert hits / (5 * len(asked)) >= 0.9
+
+
+def test_the_model_does_not_grow_with_the_table(spark):
+    df = spark.range(300_000).selectExpr("id", "array(cast(rand(1) - 0.5 as float), cast(rand(2) - 0.5 as float), cast(rand(3) - 0.5 as float)) AS v")
+    assert forest.fit(df, 2, 1, 5).depth == 10
+
+
+def test_op4_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (7, [1.0, 0.1]), (7, [1.0, 0.1]), (7, [0.0, 1.0]), (8, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = forest.nearest(df, "id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got][:1] == [7]
+    assert {r["vec_id"] for r in got} == {7, 8}
+
+
 def test_op4_edges(spark):
     v = [1.0, 0.0]
     rows = [(0, v), (50, [2.0, 0.0]), (100, v), (3, v), (4, v), (5, v), (6, v), (7, v), (8, v), (1, None), (2, []), (9, [0.0, 0.0]), (10, [float("nan"), 1.0]), (11, [None, 1.0]), (12, [1.0]), (None, v), (150, [0.0, 1.0])]

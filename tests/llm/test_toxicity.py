@@ -39,6 +39,47 @@ def test_later_model_reads_earlier_probabilities():
     assert ((first >= 0.5) == labels[:, 0]).mean() > 0.98
 
 
+def test_copies_share_a_fold():
+    texts, _ = chain_data(300)
+    texts += [f"{t} more" for t in texts[:100]] + texts[100:200]
+    parts = list(toxicity.features(texts))
+    ends = np.concatenate([[0], *(np.diff(o) for o, _ in parts)]).cumsum()
+    group = toxicity._group(ends, np.concatenate([k for _, k in parts]))
+    assert (group[300:400] == group[:100]).mean() > 0.97
+    assert (group[400:] == group[100:200]).all()
+    assert len(set(group[:300].tolist())) > 250
+
+
+def test_chain_equals_a_plain_version():
+    """Each probability again in plain Python, from the weights of the chain and the words of the text."""
+    import math
+
+    texts, labels = chain_data()
+    parts = list(toxicity.features(texts))
+    buckets = np.concatenate([k for _, k in parts])
+    ends = np.concatenate([[0], *(np.diff(o) for o, _ in parts)]).cumsum()
+    chain = toxicity.fit_chain(ends, buckets, labels)
+    before = np.zeros((len(texts), 0))
+    for link in chain:
+        got = link.predict(ends, buckets, before)
+        for i in range(0, len(texts), 7):
+            own = buckets[ends[i] : ends[i + 1]].tolist()
+            margin = sum(link.weights[b] for b in own) / math.sqrt(max(1, len(own))) + sum(p * w for p, w in zip(before[i].tolist(), link.earlier.tolist(), strict=True)) + link.bias
+            assert abs(got[i] - 1 / (1 + math.exp(-margin))) < 1e-9
+        before = np.column_stack((before, got))
+
+
+def test_op2_on_documents_that_were_not_labelled_for_it(spark):
+    """Trained without every third labelled document and all its copies; judged on those."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    out = {text[r["doc_id"]] for r in labels.collect() if r["doc_id"] % 3 == 0}
+    kept = spark.createDataFrame([(i,) for i, t in text.items() if t not in out], "doc_id long")
+    got = toxicity.classify(docs, labels.join(kept, "doc_id")).join(labels.withColumnRenamed("toxic", "want"), "doc_id").where("doc_id % 3 = 0").toPandas()
+    assert got[got["want"] == 1]["toxic"].mean() > 0.82
+    assert got[got["want"] == 0]["toxic"].mean() < 0.01
+
+
 def test_features_do_not_depend_on_neighbours():
     one = [k.tolist() for _, k in toxicity.features(["The IDIOT said: ###"])]
     many = list(toxicity.features(["x", "The IDIOT said: ###", "", "idiots"]))
