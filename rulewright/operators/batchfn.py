@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 def batch_score(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """Add a user model's columns, and ``status`` and ``error``, to every row.
 
-    ``make`` builds the model once per task. A batch that raises is scored row
-    by row, so that only the rows at fault get the status ``failed``.
+    ``make`` builds the model once per task. A batch that raises is halved again
+    and again, so that only the rows at fault get the status ``failed``.
     """
     added = T._parse_datatype_string(schema)
     out = T.StructType([*df.schema.fields, *added.fields, T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
@@ -27,19 +27,21 @@ def batch_score(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.Da
             return rows.assign(**{n: got[n].to_numpy() for n in names}, status="success", error=None)
 
         for batch in batches:
-            try:
-                yield scored(batch)
-            except Exception:  # noqa: BLE001
-                for i in range(len(batch)):
-                    row = batch.iloc[i : i + 1]
-                    try:
-                        yield scored(row)
-                    except Exception as e:  # noqa: BLE001
-                        yield row.assign(**dict.fromkeys(names), status="failed", error=str(e)[:500])
+            open_ = [batch]
+            while open_:
+                rows = open_.pop()
+                try:
+                    yield scored(rows)
+                except Exception as e:  # noqa: BLE001
+                    half = len(rows) // 2
+                    if half:
+                        open_ += [rows.iloc[half:], rows.iloc[:half]]
+                    else:
+                        yield rows.assign(**dict.fromkeys(names), status="failed", error=str(e)[:500])
 
     return df.mapInPandas(run, out)
 
 
 def route_by_status(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Successful and failed rows, for two sinks."""
+    """Successful and failed rows, for two sinks. Pass a written table: each side reads it, and an unwritten one would run the model twice."""
     return scored.where("status = 'success'"), scored.where("status != 'success'")

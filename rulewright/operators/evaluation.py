@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.operators import labels
 
-def confusion(df: DataFrame, truth: str, pred: str, labels: list) -> DataFrame:
+
+def confusion(df: DataFrame, truth: str, pred: str, classes: list) -> DataFrame:
     """One row per true label, one column per predicted label of a fixed set."""
-    table = df.groupBy(truth).pivot(pred, labels).count().na.fill(0)
-    return table.select(truth, *(F.col(str(x)).alias(f"pred_{x}") for x in labels))
+    table = df.groupBy(truth).pivot(pred, classes).count().na.fill(0)
+    return table.select(truth, *(F.col(str(x)).alias(f"pred_{x}") for x in classes))
 
 
 def confusion_shares(df: DataFrame, truth: str, pred: str, group: str) -> DataFrame:
@@ -78,8 +80,8 @@ def binomial_tail(cases: DataFrame, keys: list[str], alternative: str = "greater
     """
     top = cases.agg(F.max("n")).first()[0] or 0
     spark = cases.sparkSession
-    running = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    logs = spark.range(top + 1).select(F.col("id").alias("i"), F.sum(F.when(F.col("id") > 0, F.ln("id")).otherwise(0.0)).over(running).alias("lf"))
+    numbers = spark.range(top + 1).withColumnRenamed("id", "i")
+    logs = labels.running_sums(numbers, F.col("i"), F.floor(F.col("i") / 65_536), {"lf": F.when(F.col("i") > 0, F.ln("i")).otherwise(0.0)})
     span = F.sequence(F.col("k"), F.col("n")) if alternative == "greater" else F.sequence(F.lit(0).cast("long"), F.col("k"))
     terms = cases.where("n > 0").select(*keys, "k", "n", "p0", F.explode(span).alias("i"))
 
@@ -133,8 +135,9 @@ def signed_rank(df: DataFrame, keys: list[str], value: str, midpoint: float) ->
 def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Cumulative true and false positives at each distinct score, highest first."""
     at = df.groupBy(score).agg(F.sum(F.col(truth)).alias("pos"), F.count("*").alias("all"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return at.select(score, F.sum("pos").over(w).alias("tp"), F.sum(F.col("all") - F.col("pos")).over(w).alias("fp"))
+    cuts = df.agg(labels.quantile_cuts(score).alias("cuts")).first()["cuts"]
+    summed = labels.running_sums(at, F.desc(score), -labels.chunk_of(F.col(score), cuts), {"tp": F.col("pos"), "fp": F.col("all") - F.col("pos")})
+    return summed.select(score, "tp", "fp")
 
 
 def group_minimum(df: DataFrame, keys: list[str], score: str, name: str) -> DataFrame:

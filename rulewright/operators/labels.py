@@ -48,12 +48,33 @@ def global_rank(df: DataFrame, order: list[Column], chunk: Column, rank: str = "
     return cut.withColumn("__local", local).join(offsets, "__chunk").withColumn(rank, (F.col("__local") + F.col("__before")).cast("long")).drop("__chunk", "__local", "__before")
 
 
-def rank_classes(df: DataFrame, value: str, tie: str, n_bins: int = 10, reverse: bool = False, chunks: int = 256) -> DataFrame:
+def quantile_cuts(value: str, chunks: int = 64) -> Column:
+    """Approximate quantiles that cut a column into chunks of about equal size, as an aggregate."""
+    return F.percentile_approx(F.col(value).cast("double"), [i / chunks for i in range(1, chunks)], 10_000)
+
+
+def chunk_of(value: Column, cuts: list[float] | None) -> Column:
+    """The number of cuts below a value: an order-preserving chunk of it."""
+    some = sorted(set(cuts or []))
+    return F.size(F.filter(F.array(*map(F.lit, some)), lambda c: c < value.cast("double"))) if some else F.lit(0)
+
+
+def running_sums(df: DataFrame, order: Column, chunk: Column, sums: dict[str, Column]) -> DataFrame:
+    """Running sums in an order, without a window over all rows: inside chunks, plus the sums of the chunks before."""
+    cut = df.select("*", *(c.alias(n) for n, c in sums.items()), chunk.alias("__chunk"))
+    whole = cut.groupBy("__chunk").agg(*(F.sum(n).alias(n) for n in sums))
+    earlier = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row for each chunk
+    before = whole.select("__chunk", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}") for n in sums))
+    inside = Window.partitionBy("__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = cut.withColumns({n: F.sum(n).over(inside) for n in sums}).join(before, "__chunk")
+    return joined.select(*df.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
+
+
+def rank_classes(df: DataFrame, value: str, tie: str, n_bins: int = 10, reverse: bool = False, chunks: int = 64) -> DataFrame:
     """Classes of equal size by rank; null values get -1. Class of rank r of n is floor(r / n * bins)."""
     held = df.where(F.col(value).isNotNull())
-    spread = held.agg(F.count("*").alias("n"), F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).first()
-    width = ((spread["hi"] or 0.0) - (spread["lo"] or 0.0)) / chunks or 1.0
-    chunk = F.floor((F.col(value).cast("double") - F.lit(spread["lo"] or 0.0)) / F.lit(width))
+    spread = held.agg(F.count("*").alias("n"), quantile_cuts(value, chunks).alias("cuts")).first()
+    chunk = chunk_of(F.col(value), spread["cuts"])
     order = [F.desc(value) if reverse else F.asc(value), F.col(tie)]
     ranked = global_rank(held, order, -chunk if reverse else chunk)
     classed = ranked.withColumn("rank_class", F.least(F.floor((F.col("rn") - 1) * n_bins / F.lit(spread["n"])), F.lit(n_bins - 1)).cast("int")).drop("rn")

@@ -8,13 +8,29 @@ from pyspark.sql import functions as F
 from rulewright.functions.scores import md5_order
 
 
+def ranked(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
+    """Add ``__rn``, the row's number in its stratum's hash order, and ``__n``, the stratum's size.
+
+    A stratum is numbered in 256 ranges of the hash, which meet no task but
+    their own; the sizes of earlier ranges are added.
+    """
+    at = df.withColumn("__at", md5_order(seed, key)).withColumn("__range", F.shiftright("__at", 20))
+    sizes = at.groupBy(*strata, "__range").agg(F.count("*").alias("__size"))
+    w = Window.partitionBy(*strata)
+    earlier = F.coalesce(F.sum("__size").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(c).alias(f"__{c}") for c in strata), F.col("__range").alias("__its"), earlier.alias("__before"), F.sum("__size").over(w).alias("__n"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in strata] + [F.col("__range") == F.col("__its")]
+    local = F.row_number().over(Window.partitionBy(*strata, "__range").orderBy("__at", key))
+    joined = at.withColumn("__local", local).join(offsets, same)
+    return joined.select(*df.columns, (F.col("__local") + F.col("__before")).alias("__rn"), "__n")
+
+
 def stratified(df: DataFrame, strata: list[str], key: str, seed: int = 42, test: float = 0.1, val: float = 0.1) -> DataFrame:
     """Quotas of each stratum, rounded; strata of one row go to train."""
-    w = Window.partitionBy(*strata)
-    rn, n = F.row_number().over(w.orderBy(md5_order(seed, key), key)), F.count("*").over(w)
+    rn, n = F.col("__rn"), F.col("__n")
     n_test, n_val = F.round(n * test), F.round(n * val)
     split = F.when(n < 2, F.lit("train")).when(rn <= n_test, F.lit("test")).when(rn <= n_test + n_val, F.lit("val")).otherwise(F.lit("train"))
-    return df.withColumn("split", split)
+    return ranked(df, strata, key, seed).withColumn("split", split).drop("__rn", "__n")
 
 
 def grouped(df: DataFrame, group: str, seed: int = 42, test: float = 0.1, val: float = 0.1) -> DataFrame:
@@ -27,15 +43,12 @@ def grouped(df: DataFrame, group: str, seed: int = 42, test: float = 0.1, val: f
 
 
 def k_fold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(md5_order(seed, key), key))
-    return df.withColumn("fold", ((rn - 1) % k).cast("int"))
+    return ranked(df, [label], key, seed).withColumn("fold", ((F.col("__rn") - 1) % k).cast("int")).drop("__rn", "__n")
 
 
 def sub_sample(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """One cut of each class; classes of one row are left out."""
-    w = Window.partitionBy(label)
-    rn, n = F.row_number().over(w.orderBy(md5_order(seed, key), key)), F.count("*").over(w)
-    return df.withColumn("__rn", rn).withColumn("__n", n).where((F.col("__n") > 1) & (F.col("__rn") <= F.round(F.col("__n") * share))).drop("__rn", "__n")
+    return ranked(df, [label], key, seed).where((F.col("__n") > 1) & (F.col("__rn") <= F.round(F.col("__n") * share))).drop("__rn", "__n")
 
 
 def propagate(rows: DataFrame, users: DataFrame, user: str) -> DataFrame:

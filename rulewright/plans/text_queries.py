@@ -199,6 +199,6 @@ def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return model
 
-    scored = batchfn.batch_score(table(spark, sf_dir, "documents").select("doc_id", "text"), make, "score long")
+    scored = Workspace(spark, "scored").save(batchfn.batch_score(table(spark, sf_dir, "documents").select("doc_id", "text"), make, "score long"), "scored")
     good, bad = batchfn.route_by_status(scored)
     return good.unionByName(bad).groupBy("status").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
