@@ -95,7 +95,7 @@ def binomial_tail(cases: DataFrame, keys: list[str], alternative: str = "greater
 
 
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, order: str, resamples: int, seed: int = 0) -> DataFrame:
-    """Mean and 95 % interval by resampling with an md5 order; a single value has no spread.
+    """Mean and 95 % interval by resampling with an md5 order; values that are all the same have no spread.
 
     Every (replicate, draw) picks the row of its hash modulo n, an equi-join on
     (key, row number); groups are the small tables of an evaluation.
@@ -106,8 +106,9 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, order: str, resam
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "draw").cast("binary")), 1, 7), 16, 10).cast("long") % F.col("n")
     means = draws.withColumn("i", pick).join(rows.select(*keys, "i", "v"), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("v").alias("m"))
     bounds = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    whole = rows.groupBy(*keys).agg(F.avg("v").alias("mean"), F.max("n").alias("n"))
-    return whole.join(bounds, keys)
+    whole = rows.groupBy(*keys).agg(F.avg("v").alias("mean"), F.max("n").alias("n"), (F.min("v") == F.max("v")).alias("same"))
+    out = whole.join(bounds, keys)
+    return out.select(*keys, "mean", "n", *(F.when(F.col("same"), F.col("mean")).otherwise(F.col(c)).alias(c) for c in ("low", "high")))
 
 
 def signed_rank(df: DataFrame, keys: list[str], value: str, midpoint: float) -> DataFrame:

@@ -33,6 +33,12 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + _LOCAL_ROOT[0]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table; one that is not there is no error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Workspace:
     """A folder of named tables that one job writes and reads again."""
 
@@ -63,8 +69,5 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            where.getFileSystem(conf).delete(where, True)
+            delete(self.spark, self.path(name))

@@ -9,25 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "conv_id long, n_rows long, n_user long, iteration long, goal string, last_role string, recent array<string>"
-_STATE = "n_rows long, n_user long, iteration long, goal string, last_role string, recent array<string>"
+_STATE = "n_rows long, n_user long, iteration long, goal string, last_role string"
 
 
 class SessionFold(StatefulProcessor):
     """Folds rows of ``(conv_id, turn, role, text)`` in turn order into one state row per conversation.
 
     The goal is set once, counters add up, the iteration restarts at each user
-    row, and the list of recent texts is capped so that state stays bounded.
+    row, and the list of recent texts is a list state, capped so that it stays
+    bounded. State that no batch has touched for ``ttl_ms`` is forgotten.
     """
 
-    def __init__(self, recent: int = 8) -> None:
-        self.recent = recent
+    def __init__(self, recent: int = 8, ttl_ms: int | None = None) -> None:
+        self.recent, self.ttl_ms = recent, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", _STATE)
+        self.state = handle.getValueState("session", _STATE, self.ttl_ms)
+        self.texts = handle.getListState("recent", "said string", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
-        n_rows, n_user, iteration, goal, last_role, recent = self.state.get() if self.state.exists() else (0, 0, 0, None, None, [])
-        recent = list(recent)
+        n_rows, n_user, iteration, goal, last_role = self.state.get() if self.state.exists() else (0, 0, 0, None, None)
+        recent = [said for (said,) in self.texts.get()] if self.texts.exists() else []
         batch = pd.concat(list(rows)).sort_values("turn", kind="stable")
         for role, said in zip(batch["role"], batch["text"], strict=True):
             n_rows, last_role = n_rows + 1, role
@@ -37,13 +39,15 @@ class SessionFold(StatefulProcessor):
                 goal = said[:200] if goal is None and said is not None else goal
             recent.append((said or "")[:80])
         recent = recent[-self.recent :]
-        self.state.update((n_rows, n_user, iteration, goal, last_role, recent))
+        self.state.update((n_rows, n_user, iteration, goal, last_role))
+        self.texts.put([(said,) for said in recent])
         yield pd.DataFrame({"conv_id": [key[0]], "n_rows": [n_rows], "n_user": [n_user], "iteration": [iteration], "goal": [goal], "last_role": [last_role], "recent": [recent]})
 
     def close(self) -> None:
         pass
 
 
-def fold_sessions(stream: DataFrame, recent: int = 8) -> DataFrame:
-    """The current state of every conversation that a batch touched."""
-    return stream.groupBy("conv_id").transformWithStateInPandas(SessionFold(recent), SCHEMA, "Update", "None")
+def fold_sessions(stream: DataFrame, recent: int = 8, ttl_ms: int | None = None) -> DataFrame:
+    """The current state of every conversation that a batch touched; with ``ttl_ms``, one that was silent longer starts anew."""
+    time = "None" if ttl_ms is None else "ProcessingTime"
+    return stream.groupBy("conv_id").transformWithStateInPandas(SessionFold(recent, ttl_ms), SCHEMA, "Update", time)

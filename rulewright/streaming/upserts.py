@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from rulewright.operators.corpus import fold_sightings, merge_folds
+from rulewright.storage import delete
 
 
 class CorpusSink:
@@ -13,6 +14,7 @@ class CorpusSink:
 
     Each batch writes ``version=<batch_id>`` from the version before it, so a
     batch that is run again after a failure overwrites its own result only.
+    The two latest versions stay; the one before them is deleted.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, ts: str, tie: str, fill: list[str], query: str) -> None:
@@ -27,6 +29,8 @@ class CorpusSink:
         if batch_id > 0:
             fold = merge_folds(self.version(batch_id - 1), fold, self.key, self.fields["fill"])
         fold.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+        if batch_id > 1:
+            delete(self.spark, f"{self.path}/version={batch_id - 2}")
 
 
 def run_upserts(stream: DataFrame, sink: CorpusSink, checkpoint: str) -> StreamingQuery:
