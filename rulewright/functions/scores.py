@@ -140,7 +140,7 @@ def clip(c: Column, lo: Column | float, hi: Column | float) -> Column:
 
 def robust_score(value: Column, lo: Column, hi: Column, inverted: Column | bool = False, top: float = 10.0) -> Column:
     """Min-max score of a clipped value; inverted scores count down."""
-    share = clip(F.coalesce(F.try_divide(value - lo, hi - lo), F.lit(0.0)), 0.0, 1.0)
+    share = clip((value - lo) / F.greatest(hi - lo, F.lit(1e-12)), 0.0, 1.0)
     flag = inverted if isinstance(inverted, Column) else F.lit(inverted)
     return F.when(flag, 1 - share).otherwise(share) * top
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,9 +90,11 @@ def normalise_sheet(sheet: DataFrame, feature: str, source: str) -> DataFrame:
     return keyed.withColumn("raw_condition", raw).withColumn("rule_id", key)
 
 
-def load_rules(sheets: dict[str, DataFrame], required: list[str]) -> DataFrame:
-    """All sheets as one rule table; a missing required sheet is an error, others may be absent."""
+def load_rules(sheets: dict[str, DataFrame], required: list[str], optional: Iterable[str] = ()) -> DataFrame:
+    """All sheets as one rule table; a missing required sheet is an error, a missing optional one a warning."""
     missing = [s for s in required if s not in sheets]
+    for name in (s for s in optional if s not in sheets):
+        warnings.warn(f"missing rule sheet: {name}", stacklevel=2)
     if missing:
         raise ValueError(f"missing rule sheets: {', '.join(missing)}")
     return reduce(DataFrame.unionByName, (normalise_sheet(df, name, name) for name, df in sheets.items()))

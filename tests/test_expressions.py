@@ -1,5 +1,7 @@
 """Documented examples and edge cases of the expression libraries."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,7 +56,10 @@ def test_text_edges(spark):
     assert one(spark, text.year_of(F.lit("Spring 1998 Jan"))) == 1998
     assert one(spark, text.byte_literal(F.lit("b'x'"))) == "x"
     assert one(spark, text.block_text(F.lit('[{"type":"text","text":"a"},{"type":"image"},{"text":"b"}]'))) == "a\nb"
-    assert one(spark, text.gender_word(F.lit("여성 환자"))) == "female"
+    assert one(spark, text.gender_word(F.lit("여자 환자"))) == "female"
+    assert one(spark, text.gender_word(F.lit("여성 환자"))) is None
+    assert one(spark, text.image_path(F.lit("see 경로: 'a/b.webp', now"))) == "a/b.webp"
+    assert one(spark, text.image_path(F.lit("img = x.bmp"))) == "x.bmp"
     assert one(spark, text.scored_line(F.expr("array(struct('b' as name, 2.0D as score), struct('a' as name, 1.5D as score))"))) == "a 1.5, b 2.0"
     assert one(spark, text.trimmed_lines(F.lit(" a \n\n b"))) == "a / b"
 
@@ -66,10 +71,16 @@ def test_score_edges(spark):
     assert one(spark, scores.mean_unless_top(4, F.lit(4), F.lit(0))) == 4
     assert one(spark, scores.lookup(F.lit("z"), {"a": 1})) == -1
     assert one(spark, scores.stars(F.lit(0.004))) == "**"
-    assert one(spark, scores.robust_score(F.lit(5.0), F.lit(1.0), F.lit(1.0))) == 0.0
+    # Bounds that coincide: all above them is at the top, as with a tiny width.
+    assert one(spark, scores.robust_score(F.lit(5.0), F.lit(1.0), F.lit(1.0))) == 10.0
+    assert one(spark, scores.robust_score(F.lit(1.0), F.lit(1.0), F.lit(1.0))) == 0.0
     box = F.expr("named_struct('xmin', 5, 'ymin', 5, 'xmax', 9, 'ymax', 9)")
     assert one(spark, scores.rebase(box, F.expr("named_struct('xmin', 2, 'ymin', 3)"))) == (3, 2, 7, 6)
     assert [round(v, 6) for v in one(spark, scores.euler(F.array(*(F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)))))] == [0.0, 0.0, 0.0]
+    c, s = math.cos(0.5), math.sin(0.5)
+    for k, m in enumerate(((1, 0, 0, 0, c, -s, 0, s, c), (c, 0, s, 0, 1, 0, -s, 0, c), (c, -s, 0, s, c, 0, 0, 0, 1))):
+        turned = one(spark, scores.euler(F.array(*(F.lit(float(v)) for v in m))))
+        assert [round(v, 6) for v in turned] == [0.5 if i == k else 0.0 for i in range(3)]
     with pytest.raises(Exception, match="unknown value"):
         one(spark, scores.normalise_strict(F.lit("x"), {"male": ["M"]}))
 
