@@ -122,8 +122,11 @@ class Forest:
         return found
 
 
-def fit(entries: DataFrame, trees: int, leaf_rows: int, seed: int, fit_rows: int = FIT_ROWS) -> Forest | None:
-    """Thresholds from a bounded sample of ``entries(id, v)``; the depth follows the number of entries as far as the sample fills the nodes."""
+def fit(entries: DataFrame, trees: int, leaf_rows: int, seed: int, fit_rows: int = FIT_ROWS, least_spread: float = 0.0) -> Forest | None:
+    """Thresholds from a bounded sample of ``entries(id, v)``; the depth follows the number of entries as far as the sample fills the nodes.
+
+    A node whose standard deviation along its direction is below ``least_spread`` is not split: all its rows go left.
+    """
     size = entries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     if not size["n"]:
         return None
@@ -143,7 +146,7 @@ def fit(entries: DataFrame, trees: int, leaf_rows: int, seed: int, fit_rows: int
             order = np.argsort(node[:, tree], kind="stable")
             parts = np.split(order, np.searchsorted(node[order, tree], np.arange(1, 1 << level)))
             whole = np.median(along[:, tree, level]) if len(unit) else 0.0
-            limit[tree] = [np.median(along[p, tree, level]) if len(p) else whole for p in parts]
+            limit[tree] = [np.inf if len(p) > 1 and along[p, tree, level].std() < least_spread else np.median(along[p, tree, level]) if len(p) else whole for p in parts]
         thresholds.append(limit)
         node = 2 * node + (along[:, :, level] > limit[np.arange(trees), node])
     share = np.stack([np.bincount(node[:, t], minlength=1 << depth) for t in range(trees)]) / max(1, len(unit))
@@ -244,21 +247,23 @@ def near_duplicates(
 
     Vectors link at a cosine of at least ``cosine`` in double precision. Rows
     are compared within the leaves of spill trees; the overlap is 0.75 standard
-    deviations of the projected distance of a pair at the threshold, so that a
-    tree parts such a pair with a probability of some hundredths, all trees of
-    about 1e-8. Every link is counted once, in the first leaf that its
+    deviations of the projected distance of a pair at the threshold, and a node
+    that spreads less than two of them is not split but compared whole, in
+    blocks, so that a tree parts such a pair with a probability of some
+    hundredths whatever the density, all trees of about 1e-8 to 1e-6. Every link is counted once, in the first leaf that its
     ends share. Vectors that take no part have no links and are kept, as are
     null ids. Rows that repeat an id and a vector count once.
     """
     ws = Workspace(vectors.sparkSession, "near-vectors")
     rows = ws.save(usable(vectors, id_col, vector_col).distinct(), "rows")
     entries = ws.save(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "entries")
-    model = fit(entries.select("id", "v"), trees, leaf_rows, seed)
+    apart = float(np.sqrt(2 * (1 - cosine) / max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)))
+    model = fit(entries.select("id", "v"), trees, leaf_rows, seed, least_spread=2 * apart)
     every = vectors.select(F.col(id_col).cast("long").alias("id"))
     if model is None:
         return every.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     shared = vectors.sparkSession.sparkContext.broadcast(model)
-    margin = 0.75 * float(np.sqrt(2 * (1 - cosine) / model.dim))
+    margin = 0.75 * apart
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
