@@ -103,6 +103,19 @@ def test_op6_equals_brute_force(spark):
     assert (got["kept"] == (got.index == got["component_id"])).all()
 
 
+def test_op6_one_loose_group(spark):
+    """A group with pairs on both sides of the threshold, in trees of six levels beside other vectors: no link is missed."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=64)
+    x = np.concatenate([centre + 0.24 * rng.normal(size=(1800, 64)), rng.normal(size=(1800, 64))]).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = forest.near_duplicates(df, leaf_rows=60).toPandas().set_index("vec_id").sort_index()
+    u = unit(x)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    assert 10_000 < want.sum() < 1800 * 1800 * 0.9
+    assert got["n_links"].tolist() == want.tolist()
+
+
 def test_op6_large_leaves_are_cut(spark, monkeypatch):
     monkeypatch.setattr(forest, "BLOCK_ROWS", 8)
     rng = np.random.default_rng(4)
