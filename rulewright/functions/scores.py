@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def severity(score: Column, labels: tuple[str, str, str] = ("severe", "moderate", "mild")) -> Column:
-    """Up to 30, up to 80, above."""
+    """Up to 30, up to 80, above. The bounds."""
     return F.when(score <= 30, F.lit(labels[0])).when(score <= 80, F.lit(labels[1])).when(score.isNotNull(), F.lit(labels[2]))
 
 
 def evidence_grade(kind: Column) -> Column:
+    # The study types of each grade.
     low = F.lower(F.coalesce(kind, F.lit("")))
     return F.when(low.rlike("meta-analysis|systematic review"), F.lit("A")).when(low.rlike("randomized|clinical trial"), F.lit("B")).otherwise(F.lit("C"))
 
@@ -139,7 +140,7 @@ def clip(c: Column, lo: Column | float, hi: Column | float) -> Column:
 
 
 def robust_score(value: Column, lo: Column, hi: Column, inverted: Column | bool = False, top: float = 10.0) -> Column:
-    """Min-max score of a clipped value; inverted scores count down."""
+    """Min-max score of a clipped value; inverted scores count down. The scale of 10 and the least width."""
     share = clip((value - lo) / F.greatest(hi - lo, F.lit(1e-12)), 0.0, 1.0)
     flag = inverted if isinstance(inverted, Column) else F.lit(inverted)
     return F.when(flag, 1 - share).otherwise(share) * top
@@ -162,6 +163,7 @@ def band_distance(p: Column, lo: Column, hi: Column) -> Column:
 
 
 def stars(p: Column) -> Column:
+    """The usual significance levels."""
     return F.when(p < 0.001, F.lit("***")).when(p < 0.01, F.lit("**")).when(p < 0.05, F.lit("*")).otherwise(F.lit("ns"))
 
 

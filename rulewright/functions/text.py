@@ -110,6 +110,7 @@ def boolean_query(core: Column, extra: Column, topics: Column, level: Column) ->
     )
     topical = F.when(base == "", F.concat(F.lit("("), clause, F.lit(")"))).otherwise(F.concat(F.lit("("), base, F.lit(" AND ("), clause, F.lit("))")))
     narrowed = F.when((F.coalesce(F.size(topics), F.lit(0)) > 0) & (level != "broadest"), topical).otherwise(base)
+    # The publication types of a strict query.
     types = ["Randomized Controlled Trial", "Meta-Analysis", "Systematic Review", "Clinical Trial"]
     strict = "(" + " OR ".join(f"{t}[Publication Type]" for t in types) + ")"
     parts = F.array(F.nullif(narrowed, F.lit("")), F.lit("Humans[MeSH Terms]"), F.when(level == "strict", F.lit(strict)))

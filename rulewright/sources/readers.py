@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rulewright.functions import text
 
+#: The columns of the one rule table.
 RULE_COLUMNS = ["feature_name", "age_group", "condition_1", "condition_2", "condition_3", "code", "output_text", "customer_desc", "clinician_desc"]
 
 
@@ -67,6 +68,7 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     a = F.col("MedlineCitation.Article")
     authors = F.transform(a["AuthorList"]["Author"], lambda x: F.struct(x["LastName"].alias("last"), x["Initials"].alias("initials")))
     date = a["Journal"]["JournalIssue"]["PubDate"]
+    # Study types in the order of preference.
     order = ["Meta-Analysis", "Systematic Review", "Randomized Controlled Trial", "Clinical Trial", "Review"]
     return raw.select(
         F.col("MedlineCitation.PMID").alias("pmid"),
