@@ -40,6 +40,8 @@ from tokenizers import Tokenizer
 #: Characters of text of one block, and documents; a longer text is one block.
 BLOCK_CHARS = 4 << 20
 BLOCK_DOCS = 4096
+#: Rows of a batch that are decoded at a time.
+_SLICE = 512
 #: Word buckets at most; beyond that a bucket's stream grows, of which only the distinct words are held.
 BUCKETS = 4096
 
@@ -294,10 +296,11 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(pieces_of, pa.binary())
-        for batch in batches:
+        for batch in (b.slice(i, _SLICE) for b in batches for i in range(0, b.num_rows, _SLICE)):
             ids = batch.column(at)
             if book.plain:
-                pieces = pa.ListArray.from_arrays(ids.offsets, table.take(ids.values))
+                ends = ids.offsets.to_numpy()
+                pieces = pa.ListArray.from_arrays(pa.array(ends - ends[0]), table.take(ids.values.slice(ends[0], ends[-1] - ends[0])))
                 texts = [x.decode("utf-8", "replace") if some else None for x, some in zip(pc.binary_join(pieces, b"").to_pylist(), ids.is_valid().to_pylist(), strict=True)]
             else:
                 texts = [book.library.decode(x, skip_special_tokens=False) if x is not None else None for x in ids.to_pylist()]
