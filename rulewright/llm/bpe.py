@@ -76,9 +76,9 @@ class Codec:
         self.plain = _is_byte_level(spec)
         self.size = self.library.get_vocab_size()
 
-    def __getstate__(self) -> dict:
-        """A task gets the few small facts, and loads a table of the file only if it asks for one."""
-        return {k: self.__dict__[k] for k in ("path", "special", "plain", "size")}
+    def __reduce__(self) -> tuple:
+        """A task gets the few small facts, one object for all tasks of a worker, and loads a table of the file only if it asks for one."""
+        return _shared, (self.path, tuple(self.special.items()), self.plain, self.size)
 
     @cached_property
     def library(self) -> Tokenizer:
@@ -164,6 +164,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def _shared(path: str, special: tuple, plain: bool, size: int) -> Codec:
+    made = Codec.__new__(Codec)
+    made.path, made.special, made.plain, made.size = path, dict(special), plain, size
+    return made
+
+
 def _width(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
@@ -181,6 +188,21 @@ def _unpack(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed byte by byte: first all lowest bytes, and so on."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def _by_use(uses: np.ndarray) -> np.ndarray:
+    """Places in the order of the answers (by bucket, then by first use), the most used first: small numbers for common words."""
+    return np.lexsort((np.arange(len(uses)), -uses.astype(np.int64)))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], book: Codec, block_docs: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) to blocks: ids, words of each document, positions in the block's word list, and that list by bucket."""
     task, made = TaskContext.get().partitionId(), 0
@@ -201,12 +223,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], book: Codec, block_docs: int) ->
                 texts[i] = None
             words = [w.encode() for w in place]
             bucket = np.fromiter((crc32(w) for w in words), np.int64, len(words)) % buckets
-            # Positions follow the order in which the answers come: by bucket, then by first use.
             order = np.argsort(bucket, kind="stable")
-            moved = np.empty(len(words), "<u4")
-            moved[order] = np.arange(len(words), dtype="<u4")
             flat = np.concatenate(positions) if positions else np.zeros(0, "<u4")
-            stream = zstandard.compress(moved[flat].tobytes(), 1)
+            uses = np.bincount(flat, minlength=len(words)).astype("<u4")
+            rank = np.empty(len(words), "<u4")
+            rank[order[_by_use(uses[order])]] = np.arange(len(words), dtype="<u4")
+            stream = _planes(rank[flat])
             names, begin = np.unique(bucket[order], return_index=True)
             ends = np.append(begin, len(order))
             lists = [_pack([words[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -216,10 +238,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], book: Codec, block_docs: int) ->
                     pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), ids.slice(first, last - first)),
                     pa.array([counts], pa.list_(pa.int64())),
                     pa.array([stream], pa.binary()),
+                    pa.array([_planes(uses[order])], pa.binary()),
                     pa.array([names], pa.list_(pa.int64())),
                     pa.array([lists], pa.list_(pa.binary())),
                 ],
-                names=["block", "ids", "counts", "positions", "buckets", "words"],
+                names=["block", "ids", "counts", "positions", "uses", "buckets", "words"],
             )
             first, made = last, made + 1
 
@@ -234,9 +257,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(BUCKETS, max(1, math.ceil(size / BLOCK_CHARS)))
+    buckets = min(BUCKETS, max(1, math.ceil(size / (4 * BLOCK_CHARS))))
     blocks = docs.withColumn("buckets", F.lit(buckets)).mapInArrow(
-        lambda batches: _blocks(batches, book, block_docs), f"block long, ids array<{kind}>, counts array<long>, positions binary, buckets array<long>, words array<binary>"
+        lambda batches: _blocks(batches, book, block_docs), f"block long, ids array<{kind}>, counts array<long>, positions binary, uses binary, buckets array<long>, words array<binary>"
     )
 
     def ask(table: pa.Table) -> pa.Table:
@@ -268,7 +291,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         flat = np.frombuffer(b"".join(codes), kind).astype(np.int32)
         length = np.fromiter(map(len, codes), np.int64, len(codes)) // np.dtype(kind).itemsize
         begin = np.cumsum(length) - length
-        at = np.frombuffer(zstandard.decompress(table.column("positions")[0].as_py()), "<u4")
+        at = _by_use(_numbers(table.column("uses")[0].as_py()))[_numbers(table.column("positions")[0].as_py())]
         ends = np.concatenate(([0], np.cumsum(length[at])))
         tokens = flat[np.repeat(begin[at] - ends[:-1], length[at]) + np.arange(ends[-1])]
         words = np.concatenate(([0], np.cumsum(table.column("counts").combine_chunks().flatten().to_numpy())))
@@ -292,10 +315,9 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
     schema = T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())])
     at = coded.columns.index(ids_col)
     book = codec(path)
-    pieces_of = book.pieces if book.plain else []
+    table = pa.array(book.pieces if book.plain else [], pa.binary())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(pieces_of, pa.binary())
         for batch in (b.slice(i, _SLICE) for b in batches for i in range(0, b.num_rows, _SLICE)):
             ids = batch.column(at)
             if book.plain:
