@@ -102,28 +102,23 @@ class Model:
         names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, best
-        runs = []
         for first, letters, rows, buckets in _grams(texts):
             cell, count = np.unique(rows * BUCKETS + buckets, return_counts=True)
-            runs.append((first, letters, cell // BUCKETS, cell % BUCKETS, count))
-        top, peak, mass = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.zeros(len(texts))
-        for low in range(0, len(self.languages), BLOCK_LANGUAGES):
-            table = self.table(low)
-            for first, letters, at, bucket, count in runs:
-                own = slice(first, first + len(letters))
+            at, bucket = cell // BUCKETS, cell % BUCKETS
+            begin = np.flatnonzero(np.diff(at, prepend=-1))
+            top, peak, mass = np.zeros(len(letters), np.int64), np.full(len(letters), -np.inf), np.zeros(len(letters))
+            for low in range(0, len(self.languages), BLOCK_LANGUAGES):
+                table = self.table(low)
                 total = np.zeros((len(letters), table.shape[1])) + self.prior[low : low + table.shape[1]]
                 if len(at):
-                    begin = np.flatnonzero(np.diff(at, prepend=-1))
                     total[at[begin]] += np.add.reduceat(table[bucket] * count[:, None], begin, axis=0)
                 high = total.max(1)
-                more = np.exp(total - high[:, None]).sum(1)
-                new = np.maximum(high, peak[own])
-                mass[own] = mass[own] * np.exp(peak[own] - new) + more * np.exp(high - new)
-                top[own] = np.where(high > peak[own], low + total.argmax(1), top[own])
-                peak[own] = new
-        for first, letters, *_ in runs:
-            for i in np.flatnonzero(letters) + first:
-                names[i], best[i] = self.languages[top[i]], 1 / mass[i]
+                new = np.maximum(high, peak)
+                mass = mass * np.exp(peak - new) + np.exp(total - new[:, None]).sum(1)
+                top = np.where(high > peak, low + total.argmax(1), top)
+                peak = new
+            for i in np.flatnonzero(letters):
+                names[first + i], best[first + i] = self.languages[top[i]], 1 / mass[i]
         return names, best
 
 
