@@ -48,6 +48,9 @@ BUCKETS = 4096
 #: Fixed value: the word pattern of byte-level pre-tokenizers.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space that is too long for tiktoken's matcher, which gives up on runs of some hundred thousand; the library takes such texts.
+_LONG_GAP = re.compile(r"\s{4096}")
+
 
 def _byte_of_letter() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for."""
@@ -120,12 +123,24 @@ class Codec:
         return re.compile(f"[{re.escape(min(self.unsure))}-{chr(0x10FFFF)}]" if self.unsure else r"(?!)")
 
     def encode(self, text: str) -> list[int]:
-        if not self.plain:
+        if not self.plain or _LONG_GAP.search(text):
             return self.library.encode(text, add_special_tokens=False).ids
         if any(s in text for s in self.special):
             return self.fast.encode(text, allowed_special="all")
         return self.fast.encode_ordinary(text)
 
+    @cached_property
+    def plain_library(self) -> Tokenizer:
+        library = Tokenizer.from_str(self.library.to_str())
+        library.encode_special_tokens = True
+        return library
+
+    def encode_plain(self, text: str) -> list[int]:
+        """As ``encode``, with the strings of special tokens as plain text."""
+        if not self.plain or _LONG_GAP.search(text):
+            return self.plain_library.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
     def split(self, text: str) -> list[str]:
         """The words that are encoded one by one; special tokens are words of their own. Another vocabulary takes a text as one word."""
         if not self.plain:

@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, chat, forest, langid, lines, minhash, packing, secrets, toxicity
+from rulewright.llm import alignment, bestfit, bpe, chat, forest, langid, lines, minhash, packing, repair, secrets, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +69,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(_read(spark, sf_dir, "conversations"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), separator=2)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path(TOKENIZER), public_tokenizers.path(OTHER_TOKENIZER)
+    return alignment.digest(alignment.score_links(alignment.align(_read(spark, sf_dir, "documents"), *paths), *paths))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_minhash_near_dedup,
@@ -80,6 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_chat_formatting,
         op9_bpe,
         op10_line_dedup,
+        op11_structure_repair,
+        op12_best_fit_packing,
+        op13_tokenizer_alignment,
     )
     return {f.__name__: f for f in found}
 
