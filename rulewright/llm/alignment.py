@@ -9,9 +9,12 @@ changes brings every token to the last token of its component, and that token
 names the group. A run takes as many doublings as the logarithm of the longest
 chain, for all documents of a slice at once.
 
-A link is an overlapping pair of an A and a B token. Links are counted over the
-whole corpus by pair of ids: each block of documents sums its links by pair
-before the shuffle, and the totals go back to the blocks that hold the pair.
+A link is an overlapping pair of an A and a B token. In order, each link goes on
+to the next A token, the next B token or, behind the end of a group, to both; so
+the links of a text hold its tokens and its groups. A block of documents keeps
+its distinct pairs of ids, and its links as places in that list: that is all that
+is shuffled, once. Pairs are summed by block before the shuffle that counts them
+over the corpus, and the counts go back to the blocks that hold the pair.
 """
 
 from __future__ import annotations
@@ -23,17 +26,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.bpe import codec
-from rulewright.storage import Workspace
+from rulewright.llm.bpe import _numbers, _planes, codec
 
 #: Characters of one block of documents; a longer text is a block of its own.
 BLOCK_CHARS = 4 << 20
-#: Tokens whose links are made at a time.
-_SLICE = 1 << 20
+#: How a link goes on from the one before: to the next A token, the next B token, or both (a new group).
+_A, _B, _BOTH = range(3)
 
 
 @lru_cache(maxsize=2)
@@ -91,28 +94,33 @@ def overlaps(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(np.arange(len(a_end)), many), np.repeat(first - at, many) + np.arange(int(many.sum()))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, a_ids, b_ids, a_cuts, b_cuts`` and ``block``, the run of rows that was read together.
-
-    ``a_cuts[g]`` and ``b_cuts[g]`` are the number of tokens up to the end of group g.
-    Strings of special tokens in a text are plain text. Texts that are null or
-    empty, or that either tokenizer changes (normalisation), have empty lists.
-    Rows with null or repeated ids are rows of their own; no other column is read.
-    """
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+def _linked(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """``docs(id, text)`` to one row per block: ids, links of each document, how each link goes on, its pair's place, the pairs and their uses."""
     kind = docs.schema["id"].dataType.simpleString()
 
-    def block(ids: pa.Array, texts: list[str], number: int) -> pa.RecordBatch:
+    def block(number: int, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         book, (model, b_table, b_size), (a_table, a_size) = codec(a_path), _model(b_path), _book(a_path)
         a, a_edge = _flat([book.encode_plain(" " + t) if t else [] for t in texts])
         b, b_edge = _flat(model.encode(texts, num_threads=1))
         wanted = [(" " + t).encode() if t else b"" for t in texts]
         good = _reads(a_table, a_size, a, a_edge, wanted) & _reads(b_table, b_size, b, b_edge, wanted)
-        (a, a_edge), (b, b_edge) = (_keep(x, edge, good) for x, edge in ((a, a_edge), (b, b_edge)))
-        groups = group_numbers(np.cumsum(a_size[a]), np.cumsum(b_size[b]))
-        cuts = [_cuts(g, edge) for g, edge in zip(groups, (a_edge, b_edge), strict=True)]
-        lists = [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(x.astype(np.int32))) for x, edge in ((a, a_edge), (b, b_edge), *cuts)]
-        return pa.RecordBatch.from_arrays([ids, pa.array([number] * len(ids), pa.int64()), *lists], names=["id", "block", "a_ids", "b_ids", "a_cuts", "b_cuts"])
+        del texts, wanted
+        (a, a_edge), (b, _) = (_keep(x, edge, good) for x, edge in ((a, a_edge), (b, b_edge)))
+        a_end, b_end = np.cumsum(a_size[a]), np.cumsum(b_size[b])
+        group = group_numbers(a_end, b_end)[0]
+        at, bt = overlaps(a_end, b_end)
+        step = np.where(np.diff(group[at], prepend=-1) > 0, _BOTH, np.where(np.diff(at, prepend=-1) > 0, _A, _B)).astype(np.uint8)
+        pair, place, uses = np.unique(a[at].astype(np.int64) << 32 | b[bt], return_inverse=True, return_counts=True)
+        order = np.argsort(-uses, kind="stable")
+        rank = np.empty(len(pair), np.uint32)
+        rank[order] = np.arange(len(pair), dtype=np.uint32)
+        links = np.diff(np.searchsorted(at, a_edge))
+        pair = pair[order]
+        packed = (zstandard.compress(step.tobytes(), 3), _planes(rank[place]), _planes(pair >> 32), _planes(pair & 0xFFFFFFFF), _planes(uses[order]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([links], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in packed)],
+            names=["block", "ids", "links", "steps", "places", "a", "b", "uses"],
+        )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -122,11 +130,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             while first < len(texts):
                 fit = int(np.searchsorted(size, (size[first - 1] if first else 0) + BLOCK_CHARS, side="right"))
                 last = max(first + 1, fit)
-                yield block(batch.column(0).slice(first, last - first), texts[first:last], number)
+                yield block(number, batch.column(0).slice(first, last - first), texts[first:last])
+                texts[first:last] = [None] * (last - first)
                 number, first = number + 1, last
 
-    schema = f"id {kind}, block long, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>"
-    return docs.mapInArrow(read, schema).withColumnRenamed("id", id_col)
+    return docs.mapInArrow(read, f"block long, ids array<{kind}>, links array<long>, steps binary, places binary, a binary, b binary, uses binary")
 
 
 def _keep(ids: np.ndarray, edges: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,76 +143,75 @@ def _keep(ids: np.ndarray, edges: np.ndarray, good: np.ndarray) -> tuple[np.ndar
     return ids[np.repeat(good, n)], np.concatenate(([0], np.cumsum(np.where(good, n, 0))))
 
 
-def _cuts(group: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token counts up to each group's end within its document, and the number of groups before each document."""
-    ends = np.flatnonzero(np.diff(group, append=-1)) + 1
-    doc = np.searchsorted(edges, ends) - 1
-    return ends - edges[doc], np.searchsorted(ends, edges, side="right")
-
-
-def _links(table: pa.Table | pa.RecordBatch, a_path: str, b_path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """By slices of rows: first and last row, and each link's row, A id and B id."""
-    a_all, b_all = (table.column(c) for c in ("a_ids", "b_ids"))
-    a_all, b_all = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (a_all, b_all))
-    n = a_all.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    done, first = np.cumsum(n), 0
-    while first < len(n):
-        last = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + _SLICE, side="right")))
-        a, b = (x.slice(first, last - first).flatten().to_numpy() for x in (a_all, b_all))
-        at, bt = overlaps(np.cumsum(_book(a_path)[1][a]), np.cumsum(_model(b_path)[2][b]))
-        yield first, last, np.repeat(np.arange(first, last), n[first:last])[at], a[at], b[bt]
-        first = last
-
-
-def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.astype(np.int64) << 32 | b
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """The pairs of each block with their links there: ``block, a_id, b_id, n``."""
 
+    def read(table: pa.Table) -> pa.Table:
+        row = table.select(["block", "a", "b", "uses"]).to_pylist()[0]
+        a, b, n = (_numbers(row[c]) for c in ("a", "b", "uses"))
+        return pa.table({"block": np.full(len(a), row["block"]), "a_id": a.astype(np.int32), "b_id": b.astype(np.int32), "n": n.astype(np.int64)})
 
-def link_table(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Links of each block by pair of ids: ``block, a_id, b_id, n``; a block that lies in two batches has two rows for a pair."""
+    return blocks.groupBy("block").applyInArrow(read, "block long, a_id int, b_id int, n long")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                for first, _, _, a, b in _links(batch.slice(x, y - x), a_path, b_path):
-                    key, n = np.unique(_key(a, b), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block[x + first])), *map(pa.array, ((key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), n))], names=["block", "a_id", "b_id", "n"])
-
-    return aligned.select("block", "a_ids", "b_ids").mapInArrow(count, "block long, a_id int, b_id int, n long")
 
-
-def link_counts(links: DataFrame) -> DataFrame:
-    """Links over the corpus by pair: ``a_id, b_id, n`` and ``best``, whether no A id has more links with the B id."""
-    counts = links.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
+def _counts(pairs: DataFrame) -> DataFrame:
+    counts = pairs.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
     top = counts.groupBy("b_id").agg(F.max("n").alias("top"))
     return counts.join(top, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("top")).alias("best"))
 
 
-def score_links(aligned: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id") -> DataFrame:
-    """Add to the rows of ``align``: ``n_links``, ``n_best`` (links whose pair is the best of its B id) and ``count_sum`` (over links, the pair's count)."""
-    ws = Workspace(aligned.sparkSession, "alignment")
-    aligned = ws.save(aligned, "aligned")
-    links = ws.save(link_table(aligned, a_path, b_path), "links")
-    answers = links.select("block", "a_id", "b_id").join(link_counts(links), ["a_id", "b_id"])
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+
 
-    def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        key, n, best = _key(known.column("a_id").to_numpy(), known.column("b_id").to_numpy()), known.column("n").to_numpy(), known.column("best").to_numpy()
-        order = np.argsort(key)
-        key, n, best = key[order], n[order], best[order].astype(np.int64)
-        out = np.zeros((3, table.num_rows), np.int64)
-        for _, _, row, a, b in _links(table, a_path, b_path):
-            at = np.searchsorted(key, _key(a, b))
-            np.add.at(out[0], row, 1)
-            np.add.at(out[1], row, best[at])
-            np.add.at(out[2], row, n[at])
-        for name, x in zip(("n_links", "n_best", "count_sum"), out, strict=True):
-            table = table.append_column(name, pa.array(x))
-        return table
+def pair_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links over the corpus by pair of ids: ``a_id, b_id, n`` and ``best``, whether no A id has more links with the B id."""
+    return _counts(_block_pairs(_linked(_own(docs, id_col, text_col), a_path, b_path)))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in aligned.schema)
-    return aligned.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"{fields}, n_links long, n_best long, count_sum long").drop("block")
+
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, a_ids, b_ids, a_cuts, b_cuts, n_links, n_best, count_sum``.
+
+    ``a_cuts[g]`` and ``b_cuts[g]`` are the numbers of tokens up to the end of group
+    g. ``n_best`` counts the links whose pair has as many links in the corpus as any
+    of its B id, ``count_sum`` adds up the pairs' counts over the links. Strings of
+    special tokens in a text are plain text. Texts that are null or empty, or that
+    either tokenizer changes (normalisation), have no tokens. Rows with null or
+    repeated ids are rows of their own; no other column is read. The rows of
+    ``docs`` must come in the same order when a lost task reads them again, as
+    those of a table do.
+    """
+    own = _own(docs, id_col, text_col)
+    blocks = _linked(own, a_path, b_path)
+    pairs = _block_pairs(blocks)  # shares the exchange of the blocks with the step that places the answers
+    answers = pairs.select("block", "a_id", "b_id").join(_counts(pairs), ["a_id", "b_id"])
+
+    def place(table: pa.Table, known: pa.Table) -> pa.Table:
+        row = table.to_pylist()[0]
+        a, b = _numbers(row["a"]).astype(np.int64), _numbers(row["b"]).astype(np.int64)
+        asked, got = a << 32 | b, known.column("a_id").to_numpy().astype(np.int64) << 32 | known.column("b_id").to_numpy()
+        order = np.argsort(got)
+        if not np.array_equal(got[order], np.sort(asked)):
+            raise RuntimeError("a block was made again from other rows than before")
+        to = order[np.searchsorted(got[order], asked)]
+        n, best = known.column("n").to_numpy()[to], known.column("best").to_numpy()[to].astype(np.int64)
+        step, at = np.frombuffer(zstandard.decompress(row["steps"]), np.uint8), _numbers(row["places"])
+        edge = np.concatenate(([0], np.cumsum(np.array(row["links"], np.int64))))
+        upto = {name: np.concatenate(([0], np.cumsum(mask))) for name, mask in (("a", step != _B), ("b", step != _A), ("group", step == _BOTH), ("n", n[at]), ("best", best[at]))}
+        start = np.flatnonzero(step == _BOTH)
+        end, doc = np.append(start[1:], len(step))[: len(start)], np.searchsorted(edge, start, side="right") - 1
+        lists = [(ids[at[step != other]], upto[name][edge]) for name, ids, other in (("a", a, _B), ("b", b, _A))]
+        lists += [(upto[name][end] - upto[name][edge[doc]], upto["group"][edge]) for name in ("a", "b")]
+        return pa.table(
+            {
+                "id": pa.array(row["ids"], table.schema.field("ids").type.value_type),
+                **{c: pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(x.astype(np.int32))) for c, (x, e) in zip(("a_ids", "b_ids", "a_cuts", "b_cuts"), lists, strict=True)},
+                "n_links": np.diff(edge), "n_best": np.diff(upto["best"][edge]), "count_sum": np.diff(upto["n"][edge]),
+            }
+        )
+
+    schema = f"id {own.schema['id'].dataType.simpleString()}, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, n_links long, n_best long, count_sum long"
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(place, schema).withColumnRenamed("id", id_col)
 
 
 def group_text(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
@@ -213,7 +220,7 @@ def group_text(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int])
     return ";".join(",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts, strict=False))
 
 
-def digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digest(aligned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` (empty without tokens)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +230,7 @@ def digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
             sizes = [batch.column(i).value_lengths().cast(pa.int64()) for i in (4, 5, 6)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, *batch.columns[1:4], pa.array(texts, pa.string())], names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    kind = scored.schema[id_col].dataType.simpleString()
-    fields = scored.select(F.col(id_col).alias("id"), "n_links", "n_best", "count_sum", "a_ids", "b_ids", "a_cuts", "b_cuts")
+    kind = aligned.schema[id_col].dataType.simpleString()
+    fields = aligned.select(F.col(id_col).alias("id"), "n_links", "n_best", "count_sum", "a_ids", "b_ids", "a_cuts", "b_cuts")
     schema = f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return fields.mapInArrow(hashed, schema).withColumnRenamed("id", id_col)
