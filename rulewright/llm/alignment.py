@@ -20,7 +20,7 @@ over the corpus, and the counts go back to the blocks that hold the pair.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from rulewright.llm.bpe import _numbers, _planes, codec
 
 #: Characters of one block of documents; a longer text is a block of its own.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 #: How a link goes on from the one before: to the next A token, the next B token, or both (a new group).
 _A, _B, _BOTH = range(3)
 
@@ -169,18 +169,8 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
     return _counts(_block_pairs(_linked(_own(docs, id_col, text_col), a_path, b_path)))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, a_ids, b_ids, a_cuts, b_cuts, n_links, n_best, count_sum``.
-
-    ``a_cuts[g]`` and ``b_cuts[g]`` are the numbers of tokens up to the end of group
-    g. ``n_best`` counts the links whose pair has as many links in the corpus as any
-    of its B id, ``count_sum`` adds up the pairs' counts over the links. Strings of
-    special tokens in a text are plain text. Texts that are null or empty, or that
-    either tokenizer changes (normalisation), have no tokens. Rows with null or
-    repeated ids are rows of their own; no other column is read. The rows of
-    ``docs`` must come in the same order when a lost task reads them again, as
-    those of a table do.
-    """
+def _placed(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, finish: Callable[[dict], dict], fields: str) -> DataFrame:
+    """Count the pairs, send the counts to their blocks, and give ``finish`` each block's lists of tokens and cuts with the sums of its documents."""
     own = _own(docs, id_col, text_col)
     blocks = _linked(own, a_path, b_path)
     pairs = _block_pairs(blocks)  # shares the exchange of the blocks with the step that places the answers
@@ -202,35 +192,47 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         end, doc = np.append(start[1:], len(step))[: len(start)], np.searchsorted(edge, start, side="right") - 1
         lists = [(ids[at[step != other]], upto[name][edge]) for name, ids, other in (("a", a, _B), ("b", b, _A))]
         lists += [(upto[name][end] - upto[name][edge[doc]], upto["group"][edge]) for name in ("a", "b")]
-        return pa.table(
-            {
-                "id": pa.array(row["ids"], table.schema.field("ids").type.value_type),
-                **{c: pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(x.astype(np.int32))) for c, (x, e) in zip(("a_ids", "b_ids", "a_cuts", "b_cuts"), lists, strict=True)},
-                "n_links": np.diff(edge), "n_best": np.diff(upto["best"][edge]), "count_sum": np.diff(upto["n"][edge]),
-            }
-        )
-
-    schema = f"id {own.schema['id'].dataType.simpleString()}, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, n_links long, n_best long, count_sum long"
+        sums = {"n_links": np.diff(edge), "n_best": np.diff(upto["best"][edge]), "count_sum": np.diff(upto["n"][edge])}
+        return pa.table({"id": pa.array(row["ids"], table.schema.field("ids").type.value_type), **finish(dict(zip(("a_ids", "b_ids", "a_cuts", "b_cuts"), lists, strict=True))), **sums})
+
+    schema = f"id {own.schema['id'].dataType.simpleString()}, {fields}, n_links long, n_best long, count_sum long"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(place, schema).withColumnRenamed("id", id_col)
 
 
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, a_ids, b_ids, a_cuts, b_cuts, n_links, n_best, count_sum``.
+
+    ``a_cuts[g]`` and ``b_cuts[g]`` are the numbers of tokens up to the end of group
+    g. ``n_best`` counts the links whose pair has as many links in the corpus as any
+    of its B id, ``count_sum`` adds up the pairs' counts over the links. Strings of
+    special tokens in a text are plain text. Texts that are null or empty, or that
+    either tokenizer changes (normalisation), have no tokens. Rows with null or
+    repeated ids are rows of their own; no other column is read. The rows of
+    ``docs`` must come in the same order when a lost task reads them again, as
+    those of a table do.
+    """
+
+    def lists(found: dict) -> dict:
+        return {c: pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(x.astype(np.int32))) for c, (x, edge) in found.items()}
+
+    return _placed(docs, a_path, b_path, id_col, text_col, lists, "a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>")
+
+
 def group_text(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
     """Groups as text: ids of A and of B by comma, the sides by ``|``, groups by ``;``."""
     a_text, b_text = list(map(str, a)), list(map(str, b))
     return ";".join(",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts, strict=False))
 
 
-def digest(aligned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` (empty without tokens)."""
+def digest(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``align`` with sizes and a hash in place of the lists: ``doc_id, n_a, n_b, n_groups, groups_sha256`` (empty without tokens) and the sums."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = zip(*(batch.column(i).to_pylist() for i in range(4, 8)), strict=True)
-            texts = [hashlib.sha256(group_text(*x).encode()).hexdigest() if x[0] else "" for x in lists]
-            sizes = [batch.column(i).value_lengths().cast(pa.int64()) for i in (4, 5, 6)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, *batch.columns[1:4], pa.array(texts, pa.string())], names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    kind = aligned.schema[id_col].dataType.simpleString()
-    fields = aligned.select(F.col(id_col).alias("id"), "n_links", "n_best", "count_sum", "a_ids", "b_ids", "a_cuts", "b_cuts")
-    schema = f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return fields.mapInArrow(hashed, schema).withColumnRenamed("id", id_col)
+    def hashed(found: dict) -> dict:
+        sizes = {name: np.diff(found[c][1]) for name, c in (("n_a", "a_ids"), ("n_b", "b_ids"), ("n_groups", "a_cuts"))}
+        texts = []
+        for i in range(len(sizes["n_a"])):
+            own = [x[edge[i] : edge[i + 1]].tolist() for x, edge in found.values()]
+            texts.append(hashlib.sha256(group_text(*own).encode()).hexdigest() if own[0] else "")
+        return {**sizes, "groups_sha256": texts}
+
+    return _placed(docs, a_path, b_path, id_col, text_col, hashed, "n_a long, n_b long, n_groups long, groups_sha256 string")

@@ -85,7 +85,7 @@ def test_op13_equals_brute_force(spark, rows):
     texts = [tuple(r.values()) for r in pq.read_table(f"{SF}/documents.parquet").select(["doc_id", "text"]).to_pylist()]
     short = [t for t in texts if len(t[1] or "") < 20_000]
     df = spark.createDataFrame(short, "doc_id long, text string")
-    assert got(alignment.digest(alignment.align(df, A, B))) == plain(short)
+    assert got(alignment.digest(df, A, B)) == plain(short)
     whole = queries.op13_tokenizer_alignment(spark, SF)
     assert whole.count() == len(texts)
 
@@ -96,15 +96,20 @@ def test_op13_edges(spark):
         (None, "same text here."), (None, "same text here."), (7, "\x00\x01 nul"), (8, "word " * 3000), (9, "antidisestablishmentarianism" * 20), (10, " " * 9000 + "x"),
     ]
     df = spark.createDataFrame([(*t, 1, "b") for t in texts], "doc_id long, text string, block long, id string")
-    assert got(alignment.digest(alignment.align(df, A, B))) == plain(texts)
-    assert alignment.digest(alignment.align(df.limit(0), A, B)).count() == 0
+    assert got(alignment.digest(df, A, B)) == plain(texts)
+    assert alignment.digest(df.limit(0), A, B).count() == 0
+    for r in alignment.align(df, A, B).collect():
+        sizes = (len(r["a_ids"]), len(r["b_ids"]))
+        assert (r["a_cuts"][-1], r["b_cuts"][-1]) == sizes if any(sizes) else r["a_cuts"] == r["b_cuts"] == []
+    counts = {(r["a_id"], r["b_id"]): (r["n"], r["best"]) for r in alignment.pair_counts(df, A, B).collect()}
+    assert sum(n for n, _ in counts.values()) == sum(r[4] for r in plain(texts))
 
 
 def test_blocks_change_nothing(spark, monkeypatch):
     texts = [(i, " ".join(random.Random(i % 5).choices(["alpha", "beta", "gammas", "delta-x", "3.14"], k=30))) for i in range(40)]
     monkeypatch.setattr(alignment, "BLOCK_CHARS", 500)
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
-    assert got(alignment.digest(alignment.align(df, A, B))) == plain(texts)
+    assert got(alignment.digest(df, A, B)) == plain(texts)
 
 
 def test_pointer_jumping_equals_common_ends():
