@@ -186,7 +186,7 @@ def rule_prefixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of one named variable and its range."""
     names = {"무게": F.col("l_quantity"), "길이": F.col("l_tax") * 100}
     table_ = spark.createDataFrame([(1, "무게 10-20점"), (2, "길이 3점 이하"), (3, "무게 45점 이상"), (4, "높이 10점 이상")], "rule_no int, c1 string")
-    return rules.first_weighted(table(spark, sf_dir, "lineitem"), table_, ["c1"], names, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "rule_no")
+    return rules.first_weighted(table(spark, sf_dir, "lineitem"), table_, ["c1"], names).select("l_orderkey", "l_linenumber", "rule_no")
 
 
 _SIDES = "(VALUES ('pitch', 0.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('pitch', 2.0, 6.0, 0.5, 1.0, 1.0), ('yaw', -4.0, 0.0, 2.0, 0.0, 0.0), ('yaw', 0.0, 4.0, -1.0, 0.0, 0.0), ('ratio', 0.5, 1.5, 3.0, 0.25, 0.88)) AS p(axis, lo, hi, a, b, anchor)"

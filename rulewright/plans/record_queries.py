@@ -25,7 +25,7 @@ def code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     subject = o.select("o_orderkey", F.col("c_nationkey").alias("age_group"), (F.col("o_orderkey") % 3).alias("code"))
     sheet = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("age_group"), (F.col("s_suppkey") % 3).alias("code"), "s_suppkey")
-    return rules.lookup_code(subject, sheet, ["o_orderkey"], ["age_group", "code"], "s_suppkey").select("o_orderkey", "s_suppkey")
+    return rules.lookup_code(subject, sheet, ["age_group", "code"], "s_suppkey").select("o_orderkey", "s_suppkey")
 
 
 @query("""WITH p AS (SELECT vec_id, (i - 1)::INT AS idx, embedding[i]::DOUBLE AS x, embedding[i + 8]::DOUBLE AS y FROM embeddings, range(1, 7) r(i)), q(i, j) AS (VALUES (0, 1), (2, 5), (3, 9))

@@ -26,7 +26,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_E} SELECT query_id, item_id, rank, round(similarity, 6) AS similarity FROM (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(q.v, i.v) AS similarity,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, i.v) DESC, i.vec_id)::INT AS rank FROM e q JOIN e i USING (label) WHERE q.vec_id % 20 = 0) WHERE rank <= 3""")
 def knn_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similarity.knn_prefiltered(_queries(spark, sf_dir, 20), _items(spark, sf_dir), "label", 3)
+    found = similarity.knn(_queries(spark, sf_dir, 20), _items(spark, sf_dir), 3, "label")
     return found.select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -36,7 +36,7 @@ _GLOBAL = f"""WITH {_E}, k AS (SELECT * FROM (SELECT q.vec_id AS query_id, q.lab
 
 @query(_GLOBAL + " SELECT query_id, item_id, rank, round(similarity, 6) AS similarity FROM k")
 def knn_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similarity.knn_blocked(_queries(spark, sf_dir, 20).drop("label"), _items(spark, sf_dir), 5)
+    found = similarity.knn(_queries(spark, sf_dir, 20).drop("label"), _items(spark, sf_dir), 5)
     return found.select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 

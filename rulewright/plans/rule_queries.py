@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.functions import scores, text
-from rulewright.operators import evaluation, rules, similarity
+from rulewright.operators import evaluation, rules, sides, similarity
 from rulewright.plans.registry import query, table
 
 #: A rule table: category, number, condition, code.
@@ -68,9 +68,7 @@ BILATERAL = [
     SELECT rule_no, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM (SELECT l_orderkey, l_linenumber, min(rule_no) AS rule_no FROM m GROUP BY ALL) GROUP BY rule_no""")
 def rule_bilateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     subject = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("left"), (F.col("l_discount") * 1000).alias("right"))
-    compiled = spark.createDataFrame(BILATERAL, "rule_no int, condition string").withColumn("clauses", rules.compile_bilateral(F.col("condition")))
-    left, right = F.col("left"), F.col("right")
-    first = rules.first_holding(subject, compiled, ["l_orderkey", "l_linenumber"], rules.bilateral_test(left, right), rules.eval_bilateral(F.col("clauses"), left, right))
+    first = rules.first_bilateral(subject, spark.createDataFrame(BILATERAL, "rule_no int, condition string"), F.col("left"), F.col("right"))
     first = first.groupBy("l_orderkey", "l_linenumber").agg(F.min("rule_no").alias("rule_no"))  # the table repeats some keys
     return first.groupBy("rule_no").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
@@ -95,7 +93,7 @@ def rule_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "길이": F.col("l_tax") * 100, "무게": F.col("l_quantity"), "높이": F.col("l_discount") * 1000, "폭·깊이": F.col("l_extendedprice") / 1000, "부피": scores.left_or_mean(lv, rv),
     }
     table_ = spark.createDataFrame(TERMS, "rule_no int, c1 string, c2 string")
-    first = rules.first_weighted(li, table_, ["c1", "c2"], values, ["l_orderkey", "l_linenumber"])
+    first = rules.first_weighted(li, table_, ["c1", "c2"], values)
     first = first.groupBy("l_orderkey", "l_linenumber").agg(F.min("rule_no").alias("rule_no"))  # the table repeats some keys
     return first.groupBy("rule_no").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
@@ -110,7 +108,7 @@ AGE_GROUPS = [(1, "29세 이하"), (2, "30-39세"), (3, "30세 이상"), (4, "35
 def narrowest_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("age"))
     groups = spark.createDataFrame(AGE_GROUPS, "ordinal int, age_group string")
-    return rules.narrowest_group(people, groups, ["c_custkey"], "age").select("c_custkey", "age_group")
+    return rules.narrowest_group(people, groups, "age").select("c_custkey", "age_group")
 
 
 @query("""WITH r(category, age_group, rule_no) AS (VALUES ('P', 'young', 1), ('P', 'old', 2), ('S', 'old', 1), ('S', 'old', 2)),
@@ -126,18 +124,19 @@ def rule_group_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-    subject AS (SELECT * FROM e WHERE vec_id % 20 = 0), item AS (SELECT * FROM e WHERE vec_id % 20 <> 0),
+    subject AS (SELECT * FROM e WHERE vec_id % 20 = 0), item AS (SELECT * FROM e WHERE label <> 9),
     ruled AS (SELECT vec_id, label FROM subject WHERE label < 5),
     near AS (SELECT s.vec_id, i.vec_id AS item_id, row_number() OVER (PARTITION BY s.vec_id ORDER BY list_cosine_similarity(s.v, i.v) DESC, i.vec_id) AS rn
-        FROM subject s JOIN item i USING (label) WHERE s.label >= 5)
-    SELECT vec_id, -1 - label AS item_id, 'rule' AS matched_by FROM ruled UNION ALL SELECT vec_id, item_id, 'nearest' FROM near WHERE rn = 1""")
+        FROM subject s JOIN item i ON i.label = s.label AND i.vec_id <> s.vec_id WHERE s.label >= 5)
+    SELECT vec_id, -1 - label AS item_id, 'rule' AS matched_by FROM ruled UNION ALL SELECT vec_id, item_id, 'nearest' FROM near WHERE rn = 1
+    UNION ALL SELECT vec_id, NULL, 'none' FROM subject WHERE label >= 5 AND vec_id NOT IN (SELECT vec_id FROM near)""")
 def rule_or_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     subject = e.where("vec_id % 20 = 0").select("vec_id", "label", F.col("embedding").alias("q"))
-    items = e.where("vec_id % 20 != 0").select(F.col("vec_id").alias("item_id"), "label", F.col("embedding").alias("v"))
+    items = e.where("label != 9").select(F.col("vec_id").alias("item_id"), "label", F.col("embedding").alias("v"))  # a category without items
     table_ = spark.createDataFrame([(i, -1 - i) for i in range(5)], "label int, item_id long")
-    matched = subject.join(rules.rules_side(table_), "label").select("vec_id", "item_id")
-    return similarity.matched_or_nearest(subject, matched, items, ["vec_id"], "label")
+    matched = subject.join(sides.small(table_), "label").select("vec_id", "item_id")
+    return similarity.matched_or_nearest(subject, matched, items, ["vec_id"], "label", others=True)
 
 
 @query("""WITH l AS (SELECT l_orderkey, avg(l_quantity) AS m1, avg(l_discount) * 1000 AS m2, avg(l_tax) * 1000 AS m3 FROM lineitem GROUP BY 1),

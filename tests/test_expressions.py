@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.functions import scores, text
-from rulewright.operators import corpus, labels, rules, similarity, splits
+from rulewright.operators import corpus, labels, rules, splits
 from rulewright.sources import readers, sinks
 
 
@@ -111,12 +111,6 @@ def test_rank_classes_are_even(spark):
     assert max(got) - min(got) <= 1
 
 
-def test_global_search_refuses_many_queries(spark):
-    many = spark.range(similarity.BROADCAST_ROWS + 1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("q"))
-    with pytest.raises(ValueError, match="queries"):
-        similarity.knn_global(many, many.toDF("item_id", "v"), 1)
-
-
 def test_files(spark, tmp_path):
     d = spark.createDataFrame([("ds1", "train", "u1", 1), ("ds1", "val", "u2", 2)], "dataset string, split string, user_id string, n int")
     sinks.write_splits(d, str(tmp_path / "out"))
@@ -138,21 +132,3 @@ def test_files(spark, tmp_path):
     assert one(spark, sinks.rewrite_path(F.lit("/v0.2/train/a"), {"v0.2": "v0.3", "train": "val"})) == "/v0.3/val/a"
     with pytest.raises(ValueError, match="missing rule sheets"):
         readers.load_rules({}, ["a"])
-
-
-def test_searches_take_more_queries_than_a_broadcast(spark, monkeypatch):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    vectors = rng.integers(-9, 10, (90, 4)).astype(float)
-    vectors[40:50] = vectors[:10]
-    rows = [(i, str(i % 3), v.tolist()) for i, v in enumerate(vectors)]
-    queries = spark.createDataFrame(rows, "query_id long, label string, q array<double>")
-    items = spark.createDataFrame(rows, "item_id long, label string, v array<double>")
-    columns = ["query_id", "rank", "item_id", "similarity"]
-    want = sorted(similarity.knn_global(queries.drop("label"), items, 5).select(*columns).collect())
-    post = sorted(similarity.knn_postfiltered(queries, items, "label", 5).select("query_id", "item_id").collect())
-    for name, bound in {"BROADCAST_ROWS": 20, "BLOCK_QUERIES": 16, "BLOCK_ITEMS": 13}.items():
-        monkeypatch.setattr(similarity, name, bound)
-    assert sorted(similarity.knn_blocked(queries.drop("label"), items, 5).select(*columns).collect()) == want
-    assert sorted(similarity.knn_postfiltered(queries, items, "label", 5).select("query_id", "item_id").collect()) == post
