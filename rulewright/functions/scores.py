@@ -22,7 +22,7 @@ def age_bounds(text: Column, open_low: int = 0, open_high: int = 999) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", "")
 
     def number(pattern: str, group: int = 1) -> Column:
-        return F.nullif(F.regexp_extract(t, pattern, group), F.lit("")).cast("int")
+        return F.regexp_extract(t, pattern, group).try_cast("int")
 
     most, low, high, least = number(r"^(\d+)\s*세\s*이하"), number(r"^(\d+)\s*-\s*(\d+)\s*세"), number(r"^(\d+)\s*-\s*(\d+)\s*세", 2), number(r"^(\d+)\s*세\s*이상")
     lo = F.when(most.isNotNull(), F.lit(0)).otherwise(F.coalesce(low, least, F.lit(open_low)))
@@ -31,8 +31,8 @@ def age_bounds(text: Column, open_low: int = 0, open_high: int = 999) -> Column:
 
 
 def first_integer(c: Column) -> Column:
-    """First run of digits of a mixed text such as ``30s``."""
-    return F.nullif(F.regexp_extract(c.cast("string"), "[0-9]+", 0), F.lit("")).cast("int")
+    """First run of digits of a mixed text such as ``30s``; null if there is none or it is no integer of 32 bits."""
+    return F.regexp_extract(c.cast("string"), "[0-9]+", 0).try_cast("int")
 
 
 def decade_class(age: Column) -> Column:
@@ -105,8 +105,10 @@ def argmax(a: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    """Shares of the exponentials, taken from the maximum; maximum and sum are made once for the array."""
+    lifted = F.transform(F.array(F.struct(logits.alias("x"), F.array_max(logits).alias("top"))), lambda s: F.transform(s["x"], lambda x: F.exp(x - s["top"])))
+    summed = F.transform(lifted, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda t, y: t + y).alias("sum")))
+    return F.transform(summed, lambda s: F.transform(s["e"], lambda x: x / s["sum"]))[0]
 
 
 def one_hot(label: Column, depth: int) -> Column:

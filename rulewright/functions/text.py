@@ -210,6 +210,11 @@ def worst_names(items: Column, k: int = 3) -> Column:
     return F.transform(F.slice(_by_score(items), 1, k), lambda i: i["name"])
 
 
+def scored(name: Column, score: Column) -> Column:
+    """A scored item as text."""
+    return F.concat(name, F.lit(" "), F.format_string("%.1f", score))
+
+
 def scored_line(items: Column) -> Column:
     """``array<struct<name, score>>`` as one line, lowest score first, then name."""
-    return F.array_join(F.transform(_by_score(items), lambda i: F.concat(i["name"], F.lit(" "), F.format_string("%.1f", i["score"]))), ", ")
+    return F.array_join(F.transform(_by_score(items), lambda i: scored(i["name"], i["score"])), ", ")

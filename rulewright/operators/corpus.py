@@ -37,7 +37,7 @@ def merge_folds(old: DataFrame, new: DataFrame, key: str, fill: list[str], last:
         F.greatest("o.last_seen", "n.last_seen").alias("last_seen"),
         (F.coalesce("o.seen_count", F.lit(0)) + F.coalesce("n.seen_count", F.lit(0))).cast("long").alias("seen_count"),
         *(F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in fill),
-        F.when(F.size(queries) > last, F.slice(queries, -last, last)).otherwise(queries).alias("queries"),
+        F.when(F.size(queries) > last, F.slice(queries, -last, last)).when(F.size(queries) > 0, queries).alias("queries"),
     )
 
 

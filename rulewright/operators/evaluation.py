@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.operators import labels
+from rulewright.operators.labels import join_keys
 
 
 def confusion(df: DataFrame, truth: str, pred: str, classes: list) -> DataFrame:
@@ -41,20 +47,24 @@ def rate(hit: Column, among: Column | None = None) -> Column:
     return F.avg(hit.cast("double") if among is None else F.when(among, hit.cast("double")))
 
 
-def index_quantiles(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """``sorted[n // 4]``, ``sorted[n // 2]`` and ``sorted[3 n // 4]`` with mean, min, max and n.
+def index_quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``sorted[n // 4]``, ``sorted[n // 2]`` and ``sorted[3 n // 4]`` with mean, min, max and n; null values take no part.
 
-    Values are counted first, so only distinct values are sorted in a window.
+    A distributed selection: approximate quantiles of each key bracket its values,
+    exact counts of the brackets tell which one holds each place, and only the
+    values of those brackets are put in order, equal ones as one row.
     """
-    freq = df.groupBy(*keys, value).agg(F.count("*").alias("__f"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = freq.withColumn("__upto", F.sum("__f").over(w)).withColumn("__n", F.sum("__f").over(Window.partitionBy(*keys)))
-    at = {"q1": F.floor(F.col("__n") / 4), "q2": F.floor(F.col("__n") / 2), "q3": F.floor(F.col("__n") * 3 / 4)}
-    held = {k: (F.col("__upto") > i) & (F.col("__upto") - F.col("__f") <= i) for k, i in at.items()}
-    return cum.groupBy(*keys).agg(
-        F.max("__n").alias("n"), *(F.max(F.when(c, F.col(value))).alias(k) for k, c in held.items()), F.min(value).alias("lo"), F.max(value).alias("hi"),
-        (F.sum(F.col(value) * F.col("__f")) / F.max("__n")).alias("mean"),
-    )
+    held = labels.key_chunks(df.select(*keys, value).where(F.col(value).isNotNull()), keys, value)
+    sizes = held.groupBy(*keys, "__chunk").agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(value).alias("sum"))
+    whole = sizes.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("sum").alias("sum"))
+    places = F.array(*(F.struct(F.lit(q).alias("q"), F.floor(F.col("all") * i / 4).alias("i")) for i, q in enumerate(("q1", "q2", "q3"), 1)))
+    asked = join_keys(labels.chunk_offsets(sizes, keys, ["n"]).withColumnRenamed("__n", "before"), sizes.select(*keys, "__chunk", "n"), [*keys, "__chunk"])
+    asked = join_keys(asked, whole.select(*keys, F.col("n").alias("all")), keys).select(*keys, "__chunk", "before", "n", F.inline(places)).where("i >= before AND i < before + n").select(*keys, "__chunk", "q", (F.col("i") - F.col("before")).alias("place"))
+    near = join_keys(held, asked.select(*keys, "__chunk").distinct(), [*keys, "__chunk"]).groupBy(*keys, "__chunk", value).agg(F.count("*").alias("f"))
+    upto = F.sum("f").over(Window.partitionBy(*keys, "__chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = join_keys(near.withColumn("upto", upto), asked, [*keys, "__chunk"]).where("place < upto AND place >= upto - f")
+    found = found.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == q, F.col(value))).alias(q) for q in ("q1", "q2", "q3")))
+    return join_keys(whole, found, keys).select(*keys, "n", "q1", "q2", "q3", "lo", "hi", (F.col("sum") / F.col("n")).alias("mean"))
 
 
 #: Fixed value: the 0.975 quantile of the normal distribution.
@@ -94,34 +104,84 @@ def binomial_tail(cases: DataFrame, keys: list[str], alternative: str = "greater
     return cases.join(tails, keys, "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0)))
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], value: str, order: str, resamples: int, seed: int = 0) -> DataFrame:
-    """Mean and 95 % interval by resampling with an md5 order; values that are all the same have no spread.
+#: Fixed values of the bootstrap's hash: a prime modulus, and multipliers below it of row, replicate and seed.
+PRIME, _ROW, _REPLICATE, _SEED = (1 << 31) - 1, 1_103_515_245, 742_938_285, 950_706_376
+#: Upper ends of the weights 0, 1, 2, .. among the hashes: the Poisson distribution of mean 1, as far as the modulus tells it apart.
+POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+#: Rows that meet all replicates at a time.
+_DRAW_ROWS = 128
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Remainder of numbers below 2^62 by the Mersenne prime, by shifts."""
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
 
-    Every (replicate, draw) picks the row of its hash modulo n, an equi-join on
-    (key, row number); groups are the small tables of an evaluation.
+def draw_weights(rows: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """How often each replicate draws each row (rows x replicates), by a hash: two fifth powers modulo a prime, each a permutation."""
+    x = (rows.astype(np.int64) % PRIME)[:, None]
+    z = _mod(_mod(x * _ROW) + _mod(replicates.astype(np.int64)[None, :] * _REPLICATE) + seed * _SEED % PRIME)
+    for _ in range(2):
+        fourth = _mod(z * z)
+        z = _mod(_mod(_mod(fourth * fourth) * z) + x + replicates[None, :])  # below the modulus again
+    weight = np.zeros(z.shape, np.uint8)
+    for end in POISSON:
+        weight += z >= end
+    return weight
+
+
+def bootstrap_mean(df: DataFrame, keys: list[str], value: str, row: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """Mean and 95 % interval by resampling; values that are all the same have no spread.
+
+    A row is drawn by every replicate as often as a Poisson weight of mean 1, hashed
+    from its integer id ``row`` and the replicate, says: partial sums of any part of
+    the rows add up to the same replicates. Each task holds two sums for each key and
+    replicate, whatever its rows, and only those are shuffled. Null values take no part.
     """
-    w = Window.partitionBy(*keys)
-    rows = df.select(*keys, F.col(value).alias("v"), (F.row_number().over(w.orderBy(order)) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
-    draws = rows.select(*keys, "n", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "draw").cast("binary")), 1, 7), 16, 10).cast("long") % F.col("n")
-    means = draws.withColumn("i", pick).join(rows.select(*keys, "i", "v"), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("v").alias("m"))
+    own = df.select(*keys, F.col(row).cast("long").alias("row"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    replicates = np.arange(resamples)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        for frame in frames:
+            for key, part in frame.groupby(keys, dropna=False, sort=False):
+                both = held.setdefault(key, [np.zeros(resamples), np.zeros(resamples)])
+                for first in range(0, len(part), _DRAW_ROWS):
+                    rows, v = (part[c].to_numpy()[first : first + _DRAW_ROWS] for c in ("row", "v"))
+                    weight = draw_weights(rows, replicates, seed).astype(np.float64)
+                    both[0] += v @ weight
+                    both[1] += weight.sum(0)
+            if len(held) > 256:  # many keys: their sums go out as they are
+                yield from _sums_of(held, keys)
+                held = {}
+        yield from _sums_of(held, keys)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[: len(keys)])
+    drawn = own.mapInPandas(sums, f"{kinds}, s array<double>, w array<double>").select(*keys, F.posexplode(F.arrays_zip("s", "w")).alias("b", "z"))
+    means = drawn.groupBy(*keys, "b").agg(F.try_divide(F.sum("z.s"), F.sum("z.w")).alias("m"))
     bounds = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    whole = rows.groupBy(*keys).agg(F.avg("v").alias("mean"), F.max("n").alias("n"), (F.min("v") == F.max("v")).alias("same"))
-    out = whole.join(bounds, keys)
+    whole = own.groupBy(*keys).agg(F.avg("v").alias("mean"), F.count("*").alias("n"), (F.min("v") == F.max("v")).alias("same"))
+    out = join_keys(whole, bounds, keys)
     return out.select(*keys, "mean", "n", *(F.when(F.col("same"), F.col("mean")).otherwise(F.col(c)).alias(c) for c in ("low", "high")))
 
 
+def _sums_of(held: dict[tuple, list[np.ndarray]], keys: list[str]) -> Iterator[pd.DataFrame]:
+    for key, (s, w) in held.items():
+        yield pd.DataFrame({**{k: [x] for k, x in zip(keys, key, strict=True)}, "s": [s], "w": [w]})
+
+
 def signed_rank(df: DataFrame, keys: list[str], value: str, midpoint: float) -> DataFrame:
     """W+ of the Wilcoxon signed-rank test with tie-averaged ranks, and its normal approximation.
 
-    Null for fewer than five values. Equal absolute differences are counted
-    first, so the window holds distinct ones only.
+    Null for fewer than five values. Equal absolute differences are one row with
+    their number; ranks are running sums inside chunks of a key, plus those before.
     """
     diffs = df.select(*keys, (F.col(value) - F.lit(midpoint)).alias("d"))
     n_all = diffs.groupBy(*keys).agg(F.count("*").alias("n_values"))
     ties = diffs.where("d != 0").groupBy(*keys, F.abs("d").alias("a")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("r", before + (F.col("t") + 1) / 2)
+    upto = labels.running_sums(labels.key_chunks(ties, keys, "a"), F.col("a"), F.col("__chunk"), {"upto": F.col("t")}, keys)
+    ranked = upto.withColumn("r", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(
         F.sum(F.col("r") * F.col("up")).alias("w_plus"), F.sum("t").alias("n"), F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tie_term")
     )
@@ -129,7 +189,7 @@ def signed_rank(df: DataFrame, keys: list[str], value: str, midpoint: float) ->
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48)
     z = F.try_divide(F.col("w_plus") - n * (n + 1) / 4, spread)
     enough = F.col("n_values") >= 5
-    out = n_all.join(sums, keys, "left")
+    out = join_keys(n_all, sums, keys, "left")
     return out.select(*keys, "n_values", F.when(enough, F.col("w_plus")).alias("w_plus"), F.when(enough, z).alias("z"))
 
 
@@ -141,12 +201,30 @@ def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
     return summed.select(score, "tp", "fp")
 
 
-def group_minimum(df: DataFrame, keys: list[str], score: str, name: str) -> DataFrame:
-    """The lowest member of each group, the member list and one line of all, by (score, name)."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(score).alias("score"), F.col(name).alias("name"))))
-    rows = df.groupBy(*keys).agg(ordered.alias("members"))
-    line = F.array_join(F.transform("members", lambda m: F.concat_ws(" ", m["name"], m["score"].cast("string"))), ", ")
-    return rows.select(*keys, F.col("members")[0]["name"].alias("worst"), F.col("members")[0]["score"].alias("worst_score"), F.size("members").alias("n_members"), line.alias("line"))
+def group_minimum(df: DataFrame, keys: list[str], score: str, name: str, line: bool = True) -> DataFrame:
+    """The lowest member of each group by (score, name), their number and, if asked for, one line of all.
+
+    Without the line a group is a grouped minimum; with it the members pass through
+    chunks of their order, so that only the line itself is as long as the group.
+    """
+    first = F.min(F.struct(F.col(score).alias("score"), F.col(name).alias("name")))
+    rows = df.groupBy(*keys).agg(first.alias("first"), F.count("*").cast("int").alias("n_members")).select(*keys, F.col("first.name").alias("worst"), F.col("first.score").alias("worst_score"), "n_members")
+    return join_keys(rows, member_lines(df, keys, score, name, F.concat_ws(" ", F.col(name), F.col(score).cast("string"))), keys) if line else rows
+
+
+def member_lines(df: DataFrame, keys: list[str], score: str, name: str, said: Column) -> DataFrame:
+    """``line``: what is said of each member, lowest (score, name) first, joined by comma; made of lines of the order's chunks."""
+    cut = labels.key_chunks(df.select(*keys, score, name, said.alias("said")), keys, score)
+    member = F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), F.col(name).alias("n"), "said")))
+    parts = cut.groupBy(*keys, "__chunk").agg(F.array_join(F.transform(member, lambda m: m["said"]), ", ").alias("part"))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__chunk", "part"))), lambda p: p["part"]), ", ").alias("line"))
+
+
+def worst_members(df: DataFrame, keys: list[str], score: str, name: str, k: int = 3) -> DataFrame:
+    """``worst``: the names of the k lowest of each group by (score, name); tasks send at most k rows of a group."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(score, name))
+    lowest = df.select(*keys, score, name, rank.alias("rank")).where(F.col("rank") <= k)
+    return lowest.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(name).alias("n")))), lambda m: m["n"]).alias("worst"))
 
 
 def below_treated(df: DataFrame, keys: list[str], score: str, treated: str, name: str, k: int = 3) -> DataFrame:

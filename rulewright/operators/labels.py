@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.operators.sides import small
+
 
 def consensus(labels: DataFrame, user: str, label: str, how: str, ordinal: str | None = None) -> DataFrame:
     """One label per user: mode (ties: smallest), median, max, first, mean or rare (rarest class held)."""
@@ -59,15 +61,42 @@ def chunk_of(value: Column, cuts: list[float] | None) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, some)), lambda c: c < value.cast("double"))) if some else F.lit(0)
 
 
-def running_sums(df: DataFrame, order: Column, chunk: Column, sums: dict[str, Column]) -> DataFrame:
-    """Running sums in an order, without a window over all rows: inside chunks, plus the sums of the chunks before."""
-    cut = df.select("*", *(c.alias(n) for n, c in sums.items()), chunk.alias("__chunk"))
-    whole = cut.groupBy("__chunk").agg(*(F.sum(n).alias(n) for n in sums))
-    earlier = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row for each chunk
-    before = whole.select("__chunk", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}") for n in sums))
-    inside = Window.partitionBy("__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = cut.withColumns({n: F.sum(n).over(inside) for n in sums}).join(before, "__chunk")
-    return joined.select(*df.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on the keys, where null is a key like any other."""
+    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], how).drop(*(f"__{k}" for k in keys))
+
+
+def key_chunks(df: DataFrame, keys: list[str], value: str, chunks: int = 64) -> DataFrame:
+    """Add ``__chunk``, an order-preserving cut of a numeric column at the approximate quantiles of its own key."""
+    cuts = df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(quantile_cuts(value, chunks).alias("__cuts"))
+    met = df.join(small(cuts), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    below = F.aggregate(F.array_distinct("__cuts"), F.lit(0), lambda n, c: n + F.when(c < F.col(value).cast("double"), 1).otherwise(0))
+    return met.select(*df.columns, F.coalesce(below, F.lit(-1)).alias("__chunk"))
+
+
+def chunk_offsets(sizes: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Of a table with a row for each key and ``__chunk``: the sums of the key's earlier chunks, under ``__`` and their name."""
+    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(*keys, "__chunk", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}") for n in sums))
+
+
+def running_sums(df: DataFrame, order: Column, chunk: Column, sums: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """Running sums in an order, of each key if any are given, without a window over all of their rows: inside chunks, plus the sums of the chunks before."""
+    keys = keys or []
+    rest = [c for c in df.columns if c != "__chunk"]
+    cut = df.select(*rest, *(c.alias(n) for n, c in sums.items()), chunk.alias("__chunk"))
+    whole = cut.groupBy(*keys, "__chunk").agg(*(F.sum(n).alias(n) for n in sums))
+    before = chunk_offsets(whole, keys, list(sums))
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = join_keys(cut.withColumns({n: F.sum(n).over(inside) for n in sums}), before, [*keys, "__chunk"])
+    return joined.select(*rest, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, tie: str, number: str = "rn") -> DataFrame:
+    """Row number of each row in its key by (order, tie), ``order`` numeric: numbers inside chunks, plus the sizes of the chunks before."""
+    cut = key_chunks(df, keys, order)
+    return running_sums(cut, F.struct(order, tie), F.col("__chunk"), {number: F.lit(1).cast("long")}, keys)
 
 
 def rank_classes(df: DataFrame, value: str, tie: str, n_bins: int = 10, reverse: bool = False, chunks: int = 64) -> DataFrame:

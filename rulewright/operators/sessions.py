@@ -54,3 +54,16 @@ def stages_done(scores: Column, recommendations: Column, evidence: Column) -> Co
     has = {k: F.coalesce(F.size(v), F.lit(0)) > 0 for k, v in held.items()}
     done = F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in has.items()))), ",")
     return F.struct(done.alias("done"), (has["scores"] & (has["recommendations"] | has["evidence"])).alias("sufficient"))
+
+
+def gap_sessions(df: DataFrame, key: str, ts: str, turn: str, role: str, text: str, gap: str) -> DataFrame:
+    """Sessions of each key in a table: rows of which none follows the one before by more than the gap; every session, the last one too."""
+    w = Window.partitionBy(key).orderBy(ts, turn)
+    silent = F.col(ts) > F.lag(ts).over(w) + F.expr(f"INTERVAL {gap}")
+    islands = df.withColumn("__no", F.sum(F.coalesce(silent, F.lit(False)).cast("int")).over(w))
+    order, user = F.struct(ts, turn), F.col(role) == "user"
+    goal = F.min_by(F.when(user, F.substring(text, 1, 200)), F.when(user & F.col(text).isNotNull(), order))
+    out = islands.groupBy(key, "__no").agg(
+        F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_rows"), F.count_if(user).alias("n_user"), goal.alias("goal"), F.max_by(role, order).alias("last_role")
+    )
+    return out.drop("__no")

@@ -59,7 +59,7 @@ def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
     SELECT event_type, max(n) AS n, max(value) FILTER (i = n // 4) AS q1, max(value) FILTER (i = n // 2) AS q2, max(value) FILTER (i = 3 * n // 4) AS q3, min(value) AS lo, max(value) AS hi, round(avg(value), 4) AS mean FROM r GROUP BY event_type""")
 def index_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = evaluation.index_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", "event_id")
+    q = evaluation.index_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value")
     return q.withColumn("mean", F.round("mean", 4))
 
 
@@ -88,12 +88,17 @@ def binomial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.binomial_tail(cases, ["source"]).select("source", F.round("p_value", 6).alias("p_value"))
 
 
-@query("""WITH e AS (SELECT lang AS k, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
-    b AS (SELECT e.k, e.n, e.i AS draw, unnest(range(200)) AS b FROM e),
-    m AS (SELECT b.k, b.b, avg(e.v) AS m FROM b JOIN e ON e.k = b.k AND e.i = (('0x' || substr(md5(concat_ws('|', '0', b.b, b.draw)), 1, 7))::BIGINT % b.n) GROUP BY ALL)
-    SELECT w.k AS lang, w.mean, w.n, round(quantile_cont(m.m, 0.025), 4) AS low, round(quantile_cont(m.m, 0.975), 4) AS high FROM m JOIN (SELECT k, round(avg(v), 4) AS mean, max(n) AS n FROM e GROUP BY k) w ON w.k = m.k GROUP BY ALL""")
+_P = evaluation.PRIME
+_FIFTH = f"(((z * z % {_P}) * (z * z % {_P}) % {_P}) * z + x + b) % {_P} AS z"
+
+
+@query(f"""WITH e AS (SELECT lang AS k, doc_id % {_P} AS x, n_chars::DOUBLE AS v, unnest(range(10000)) AS b FROM documents),
+    h AS (SELECT k, x, v, b, (x * 1103515245 % {_P} + b * 742938285 % {_P}) % {_P} AS z FROM e), i AS (SELECT k, x, v, b, {_FIFTH} FROM h), j AS (SELECT k, v, b, {_FIFTH} FROM i),
+    m AS (SELECT k, b, sum(w * v) / sum(w) AS m FROM (SELECT k, v, b, {" + ".join(f"(z >= {t})::INT" for t in evaluation.POISSON)} AS w FROM j) GROUP BY ALL),
+    w AS (SELECT lang, round(avg(n_chars), 4) AS mean, count(*) AS n, min(n_chars) = max(n_chars) AS same FROM documents GROUP BY lang)
+    SELECT lang, mean, n, CASE WHEN bool_and(same) THEN mean ELSE round(quantile_cont(m, 0.025), 4) END AS low, CASE WHEN bool_and(same) THEN mean ELSE round(quantile_cont(m, 0.975), 4) END AS high FROM m JOIN w ON w.lang IS NOT DISTINCT FROM m.k GROUP BY lang, mean, n""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluation.bootstrap_mean(table(spark, sf_dir, "documents").select("lang", "doc_id", F.col("n_chars").cast("double").alias("v")), ["lang"], "v", "doc_id", 200)
+    out = evaluation.bootstrap_mean(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], "n_chars", "doc_id")
     return out.select("lang", F.round("mean", 4).alias("mean"), "n", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.functions import scores, text
-from rulewright.operators import filters, rules, splits
+from rulewright.operators import evaluation, filters, rules, splits
 from rulewright.plans.registry import query, table
 from rulewright.sources import readers, sinks
 from rulewright.storage import Workspace
@@ -154,9 +154,10 @@ def value_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT s_nationkey, string_agg(s_name || ' ' || b::BIGINT || '.0', ', ' ORDER BY rn) AS line, string_agg(s_name, ',' ORDER BY rn) FILTER (rn <= 3) AS worst FROM r GROUP BY s_nationkey""")
 def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored items as one line, and the three lowest."""
-    item = F.struct(F.col("s_name").alias("name"), F.round("s_acctbal", 0).alias("score"))
-    items = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(item).alias("items"))
-    return items.select("s_nationkey", text.scored_line(F.col("items")).alias("line"), F.array_join(text.worst_names(F.col("items"), 3), ",").alias("worst"))
+    items = table(spark, sf_dir, "supplier").select("s_nationkey", "s_name", F.round("s_acctbal", 0).alias("score"))
+    lines = evaluation.member_lines(items, ["s_nationkey"], "score", "s_name", text.scored(F.col("s_name"), F.col("score")))
+    worst = evaluation.worst_members(items, ["s_nationkey"], "score", "s_name", 3)
+    return lines.join(worst, "s_nationkey").select("s_nationkey", "line", F.array_join("worst", ",").alias("worst"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'heavy' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'home' END AS value,
@@ -171,13 +172,16 @@ def static_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epoch_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new order of each language's documents in every epoch, the same on every run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    from pyspark.sql import Window
+    orders = [splits.shuffled(docs, ["lang"], "doc_id", 42, e).withColumn("epoch", F.lit(str(e))) for e in (0, 1)]
+    return orders[0].union(orders[1]).select("epoch", "doc_id", (F.col("position") + 1).cast("int").alias("place"))
 
-    def ordered(epoch: int) -> DataFrame:
-        w = Window.partitionBy("lang").orderBy(splits.epoch_order(42, epoch, "doc_id"), "doc_id")
-        return docs.select(F.lit(str(epoch)).alias("epoch"), "doc_id", F.row_number().over(w).alias("place"))
 
-    return ordered(0).union(ordered(1))
+@query("""WITH r AS (SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 100 AS block FROM documents)
+    SELECT doc_id, block * 100 + row_number() OVER (PARTITION BY lang, block ORDER BY ('0x' || substr(md5(concat_ws('|', '42', '1', doc_id)), 1, 7))::BIGINT, doc_id) - 1 AS position FROM r""")
+def buffer_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's documents as a stream that is shuffled through a buffer of 100."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return splits.buffered_shuffle(docs, ["lang"], "doc_id", "doc_id", 100, 42, 1).select("doc_id", "position")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity BETWEEN 10 AND 20 THEN 1 WHEN l_tax * 100 BETWEEN 0 AND 3 THEN 2 WHEN l_quantity BETWEEN 45 AND 100 THEN 3 END AS rule_no FROM lineitem

@@ -86,8 +86,20 @@ def dataset_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified(_labelled(spark, sf_dir), ["source", "toxic"], "doc_id").select("doc_id", "split")
 
 
-@query(f"""WITH g AS (SELECT user_id, event_id, {_md5(42, "user_id")} / 268435456.0::DOUBLE AS cut FROM events)
-    SELECT user_id, event_id, CASE WHEN cut < 0.1 THEN 'test' WHEN cut < 0.19 THEN 'val' ELSE 'train' END AS split FROM g""")
+@query(f"""WITH {_LABELLED}, c AS (SELECT source, toxic, count(*) AS n FROM j GROUP BY ALL),
+    w AS (SELECT *, CASE WHEN n > 1 THEN n ELSE 0 END AS s FROM c), e AS (SELECT *, ceil(sum(s) OVER () * 0.2::DOUBLE)::BIGINT AS want, s * want / sum(s) OVER () AS x FROM w),
+    h AS (SELECT *, floor(x) + (row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, source, toxic) <= want - sum(floor(x)) OVER ())::INT AS held FROM e),
+    w2 AS (SELECT source, toxic, n, held, CASE WHEN held > 1 THEN held ELSE 0 END AS s FROM h), e2 AS (SELECT *, ceil(sum(s) OVER () * 0.5::DOUBLE)::BIGINT AS want, s * want / sum(s) OVER () AS x FROM w2),
+    q AS (SELECT *, floor(x) + (row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, source, toxic) <= want - sum(floor(x)) OVER ())::INT AS test FROM e2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source, toxic ORDER BY {_md5(42, "doc_id")}, doc_id) AS rn FROM j)
+    SELECT doc_id, CASE WHEN n < 2 OR rn > held THEN 'train' WHEN held > 1 AND rn <= test THEN 'test' ELSE 'val' END AS split FROM r JOIN q USING (source, toxic)""")
+def stratified_second_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.stratified_twice(_labelled(spark, sf_dir), ["source", "toxic"], "doc_id").select("doc_id", "split")
+
+
+@query(f"""WITH g AS (SELECT user_id, count(*) AS n, {_md5(42, "user_id")} AS h FROM events GROUP BY user_id),
+    u AS (SELECT user_id, coalesce(sum(n) OVER (ORDER BY h, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS rows FROM g)
+    SELECT user_id, event_id, CASE WHEN before < rows * 0.1::DOUBLE THEN 'test' WHEN before < rows * (0.1::DOUBLE + 0.9::DOUBLE * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM events JOIN u USING (user_id)""")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.grouped(table(spark, sf_dir, "events"), "user_id").select("user_id", "event_id", "split")
 
