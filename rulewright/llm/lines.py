@@ -46,6 +46,8 @@ NAMED = 3
 DEVIATIONS = 7
 #: Lines of an opened bucket that meet in one group; larger buckets are cut into blocks that meet in pairs.
 BLOCK_ROWS = 128
+#: Parts of the band keys that are shuffled one after the other.
+SLICES = 4
 #: Tables up to this many bytes, as counted, are broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -135,16 +137,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.where(f"exists(pair, p -> {_alike('p.x', 'p.y', percent)})").select(F.col("pivot").alias("a"), F.col("line").alias("b"))
 
 
-def _members(signed: DataFrame, ws: Workspace) -> DataFrame:
-    """``key, line, pivot, n``: lines in a bucket with others, its first line and its size."""
-    keyed = signed.select("line", F.explode(F.array("low", "high")).alias("key"))
-    shared = ws.save(keyed.groupBy("key").agg(F.min("line").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "shared")
-    return ws.save(keyed.join(_small(shared, 40), "key").select("key", "line", "pivot", "n"), "members")
+def _members(signed: DataFrame, ws: Workspace) -> list[str]:
+    """Tables of ``key, line, pivot, n``: lines in a bucket with others, its first line and its size.
+
+    The bands are shuffled in ``SLICES`` parts of their keys, one after the other, so that the disk holds a part at a time.
+    """
+    names = []
+    for i in range(SLICES):
+        keyed = signed.select("line", F.explode(F.array("low", "high")).alias("key")).where(f"pmod(key, {SLICES}) = {i}")
+        shared = ws.save(keyed.groupBy("key").agg(F.min("line").alias("pivot"), F.count("*").alias("n")).where("n > 1"), f"shared-{i}")
+        ws.save(keyed.join(_small(shared, 40), "key").select("key", "line", "pivot", "n"), f"members-{i}")
+        ws.drop(f"shared-{i}")
+        names.append(f"members-{i}")
+    return names
 
 
 def _components(docs: DataFrame, signed: DataFrame, ws: Workspace, percent: int) -> DataFrame:
     """``(node, component)`` over distinct lines, for lines that link."""
-    members = _members(signed, ws)
+    slices = _members(signed, ws)
+    members = signed.sparkSession.read.schema("key long, line long, pivot long, n long").parquet(*map(ws.path, slices))
     sketch = ws.save(_sketches(signed, members.select("line").distinct().hint("merge")), "sketches")
     bits = sketch.select("line", *SKETCH)
     x, y = bits.withColumnRenamed("line", "pivot").alias("x"), bits.alias("y")
@@ -181,7 +192,7 @@ def _components(docs: DataFrame, signed: DataFrame, ws: Workspace, percent: int)
     step = f"concat(found, transform({fresh}, q -> struct(x.part as a, q as b)))"
     across = f"explode(flatten(transform(gs, g -> aggregate(g, cast(array() as array<struct<a: bigint, b: bigint>>), (found, x) -> {step}))))"
     more = ws.save(groups.select(F.expr(across).alias("e")).select("e.a", "e.b").distinct(), "bucket-links")
-    ws.drop("members", "texts", "sketches", "pairs", "wanted")
+    ws.drop(*slices, "texts", "sketches", "pairs", "wanted")
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return ws.save(connected_components(known.unionByName(more), ws, "all-cc"), "labels")
 

@@ -15,8 +15,9 @@ import numpy as np
 CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
+#: Words are polynomials of their bytes at two bases, modulo a prime: modulo a power of two, words that differ can be alike at every base.
+_PRIME = (1 << 31) - 1
+_BASES = (1_283_542_109, 777_918_253)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -34,30 +35,34 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 
 def _byte_values() -> np.ndarray:
-    values = constants(256, 7)
+    """A value from 1 to the prime less 1 for each byte and base; A-Z count as a-z."""
+    values = (constants(512, 7) % _U(_PRIME - 1)).astype(np.int64).reshape(2, 256) + 1
     lower = np.arange(256)
     lower[65:91] += 32
-    return values[lower]
+    return values[:, lower]
 
 
 _VALUE = _byte_values()
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Remainder by the Mersenne prime of numbers from 0 to below 2^62, by shifts."""
+    x = (x & _PRIME) + (x >> 31)
+    return x - np.where(x >= _PRIME, _PRIME, 0)
+
+
 class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
+    """Powers of the bases and of their inverses, grown on demand."""
 
-    up = np.ones(1, _U)
-    down = np.ones(1, _U)
+    held: dict[int, np.ndarray] = {}
 
     @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << int(n - 1).bit_length()
-            for name, base in (("up", _BASE), ("down", _BASE_INV)):
-                steps = np.full(size, base, _U)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
-        return cls.up[:n], cls.down[:n]
+    def of(cls, base: int, n: int) -> np.ndarray:
+        powers = cls.held.get(base)
+        while powers is None or len(powers) < n:
+            powers = np.ones(1, np.int64) if powers is None else np.concatenate((powers, _mod(powers * pow(base, len(powers), _PRIME))))
+            cls.held[base] = powers
+        return powers[:n]
 
 
 def word_bounds(data: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +75,14 @@ def word_bounds(data: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.n
 
 def span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """Hashes of byte spans of one buffer; equal bytes give equal hashes wherever they lie."""
-    up, down = _Powers.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=total[1:])
-    return [mix((total[end] - total[start]) * down[start]) for start, end in spans]
+    out = [np.zeros(len(start), np.int64) for start, _ in spans]
+    for base, value in zip(_BASES, _VALUE, strict=True):
+        total = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(_mod(value[data] * _Powers.of(base, len(data))), out=total[1:])  # below 2^62 up to 2^31 bytes
+        down = _Powers.of(pow(base, -1, _PRIME), len(data) + 1)
+        for i, (start, end) in enumerate(spans):
+            out[i] = out[i] << 31 | _mod(_mod(total[end] - total[start]) * down[start])
+    return [mix(x.astype(_U)) for x in out]
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

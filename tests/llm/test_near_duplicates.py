@@ -194,3 +194,16 @@ def test_op10_recall_at_the_threshold(docs):
     got = {r["doc_id"]: r["text"] for r in lines.drop_repeated(docs(rows)).collect()}
     assert all(got[i] == said for i, said in rows if i % 2 == 0)
     assert sum(got[i] != "" for i, said in rows if i % 2) <= 6
+
+
+def test_op1_words_that_differ_stay_apart(docs):
+    # Thue-Morse words and their complements: alike under every polynomial hash modulo a power of two.
+    def pair(n):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        return ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+
+    rows = [t for n in (1024, 2048, 4096) for t in pair(n)]
+    rows += [f"one two {w} three four five six" for w in pair(2048)]
+    df = docs([(i, t) for i, t in enumerate(rows)])
+    assert all(r["kept"] for r in minhash.near_duplicates(df, width=4, percent=80).collect())
+    assert minhash.keep_first(df, width=5, percent=80).count() == len(rows)
