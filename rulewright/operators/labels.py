@@ -135,6 +135,17 @@ def pair_views(left: DataFrame, right: DataFrame, key: str, pattern: str, to: st
     return keyed(left, "left").join(keyed(right, "right"), "pair_key", "full")
 
 
+def pair_halves(df: DataFrame, key: str, name: str, marks: dict[str, str]) -> DataFrame:
+    """Rows of one table whose name holds the first side's mark, paired by key with those that hold the second's; columns are named by side."""
+    halves = [df.where(F.contains(F.col(name), F.lit(mark))).select(F.col(key), *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c != key)) for side, mark in marks.items()]
+    return halves[0].join(halves[1], key)
+
+
+def fill_labels(df: DataFrame, columns: list[str], missing: int = -1) -> DataFrame:
+    """Label columns as integers, with a mark where there is none or it is no number."""
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(missing)).cast("int") for c in columns})
+
+
 def intersect_keys(key: str, *filters: DataFrame) -> DataFrame:
     """Keys that pass every independent filter."""
     return reduce(lambda a, b: a.join(b, key, "left_semi"), (f.select(key).distinct() for f in filters))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.functions import scores, text
-from rulewright.operators import evaluation, filters, rules, splits
+from rulewright.operators import evaluation, filters, labels, rules, splits
 from rulewright.plans.registry import query, table
 from rulewright.sources import readers, sinks
 from rulewright.storage import Workspace
@@ -92,9 +92,9 @@ def manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One split of every dataset, from the directories of a manifest."""
     ws = Workspace(spark, "manifest")
     docs = table(spark, sf_dir, "documents").select("source", "n_chars", F.when(F.col("doc_id") % 4 == 0, "val").otherwise("train").alias("split"))
-    names = [r["source"] for r in docs.where("split = 'val'").select("source").distinct().collect()]  # the directories of the manifest
-    docs.select("n_chars", F.col("source").alias("dataset"), "split").write.partitionBy("dataset", "split").json(ws.path("data"))
-    found = readers.read_manifest_folders(spark, [f"{ws.path('data')}/dataset={n}" for n in names], "val", "n_chars long")
+    sinks.write_splits(docs.select("n_chars", F.col("source").alias("dataset"), "split"), ws.path("data"))
+    manifest = docs.where("split = 'val'").select(F.col("source").alias("dataset")).distinct()
+    found = readers.read_manifest_table(spark, ws.path("data"), manifest, "val", "n_chars long")
     return found.groupBy(F.col("dataset").alias("source"), "split").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -113,10 +113,9 @@ def entity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many files of nested JSON to one row per entity; the later file wins."""
     ws = Workspace(spark, "entities")
     s = table(spark, sf_dir, "supplier").select("s_name", "s_nationkey", F.round("s_acctbal", 2).cast("string").alias("balance"))
-    first = s.select((F.col("s_nationkey") % 5).alias("file"), "s_name", F.create_map(F.lit("balance"), "balance", F.lit("nation"), F.lit("early")).alias("m"))
-    later = s.where("s_nationkey % 2 = 0").select((10 + F.col("s_nationkey") % 5).alias("file"), "s_name", F.create_map(F.lit("nation"), F.concat(F.lit("n"), "s_nationkey")).alias("m"))
-    files = first.union(later).groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s_name", "m")))).alias("value"))
-    files.select("value", F.concat(F.lit("F_"), F.lpad(F.col("file").cast("string"), 2, "0")).alias("name")).write.partitionBy("name").text(ws.path("files"))
+    first = s.select(F.lit(0).alias("run"), F.col("s_name").alias("id"), F.create_map(F.lit("balance"), "balance", F.lit("nation"), F.lit("early")).alias("fields"))
+    later = s.where("s_nationkey % 2 = 0").select(F.lit(1).alias("run"), F.col("s_name").alias("id"), F.create_map(F.lit("nation"), F.concat(F.lit("n"), "s_nationkey")).alias("fields"))
+    sinks.write_entity_files(first.unionByName(later), ws.path("files"), 50)
     return readers.read_entity_files(spark, ws.path("files"), ["balance", "nation"])
 
 
@@ -193,12 +192,12 @@ def rule_prefixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.first_weighted(table(spark, sf_dir, "lineitem"), table_, ["c1"], names).select("l_orderkey", "l_linenumber", "rule_no")
 
 
-_SIDES = "(VALUES ('pitch', 0.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('pitch', 2.0, 6.0, 0.5, 1.0, 1.0), ('yaw', -4.0, 0.0, 2.0, 0.0, 0.0), ('yaw', 0.0, 4.0, -1.0, 0.0, 0.0), ('ratio', 0.5, 1.5, 3.0, 0.25, 0.88)) AS p(axis, lo, hi, a, b, anchor)"
+_SIDES = "(VALUES ('tilt', 0.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('tilt', 2.0, 6.0, 0.5, 1.0, 1.0), ('turn', -4.0, 0.0, 2.0, 0.0, 0.0), ('turn', 0.0, 4.0, -1.0, 0.0, 0.0), ('width', 0.5, 1.5, 3.0, 0.25, 0.75)) AS p(axis, lo, hi, a, b, anchor)"
 
 
 @query(f"""WITH p AS (SELECT * FROM {_SIDES}), e AS (SELECT axis, min(lo) AS low, max(hi) AS top, min(anchor) AS anchor FROM p GROUP BY axis),
-    x AS (SELECT l_orderkey, l_linenumber, side, axis, v FROM (SELECT l_orderkey, l_linenumber, 'left' AS side, round(l_discount * 100, 2) AS pitch, round(-(l_tax * 100 - 4), 2) AS yaw, round(l_quantity / 25, 4) AS ratio FROM lineitem
-        UNION ALL SELECT l_orderkey, l_linenumber, 'right', round(l_discount * 100, 2), round(l_tax * 100 - 4, 2), round(l_quantity / 25, 4) FROM lineitem) UNPIVOT (v FOR axis IN (pitch, yaw, ratio))),
+    x AS (SELECT l_orderkey, l_linenumber, side, axis, v FROM (SELECT l_orderkey, l_linenumber, 'left' AS side, round(l_discount * 100, 2) AS tilt, round(-(l_tax * 100 - 4), 2) AS turn, round(l_quantity / 25, 4) AS width FROM lineitem
+        UNION ALL SELECT l_orderkey, l_linenumber, 'right', round(l_discount * 100, 2), round(l_tax * 100 - 4, 2), round(l_quantity / 25, 4) FROM lineitem) UNPIVOT (v FOR axis IN (tilt, turn, width))),
     c AS (SELECT l_orderkey, l_linenumber, side, axis, least(greatest(v, low), top) AS v, least(greatest(anchor, low), top) AS w, top FROM x JOIN e USING (axis)),
     d AS (SELECT c.l_orderkey, c.l_linenumber, c.side, sum((p1.a * c.v + p1.b) - (p2.a * c.w + p2.b)) AS delta FROM c
         JOIN p p1 ON p1.axis = c.axis AND c.v >= p1.lo AND (c.v < p1.hi OR (c.v = c.top AND p1.hi = c.top)) JOIN p p2 ON p2.axis = c.axis AND c.w >= p2.lo AND (c.w < p2.hi OR (c.w = c.top AND p2.hi = c.top)) GROUP BY ALL),
@@ -208,11 +207,11 @@ def anchored_side_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values corrected by anchored piecewise lines on three axes, scored 0 to 10 and summed by side and in all."""
     li, zero = table(spark, sf_dir, "lineitem"), F.lit(100)
     turn = F.col("l_tax") * 100 - 4
-    sides = [li.select("l_orderkey", "l_linenumber", F.lit(s).alias("side"), F.round(F.col("l_discount") * zero, 2).alias("pitch"), F.round(turn * k, 2).alias("yaw"), F.round(F.col("l_quantity") / 25, 4).alias("ratio"), (F.col("l_quantity") / 10).alias("raw")) for s, k in (("left", -1), ("right", 1))]
+    sides = [li.select("l_orderkey", "l_linenumber", F.lit(s).alias("side"), F.round(F.col("l_discount") * zero, 2).alias("tilt"), F.round(turn * k, 2).alias("turn"), F.round(F.col("l_quantity") / 25, 4).alias("width"), (F.col("l_quantity") / 10).alias("raw")) for s, k in (("left", -1), ("right", 1))]
     both = sides[0].union(sides[1])
-    bins = spark.createDataFrame([("pitch", 0.0, 2.0, 1.0, 0.0), ("pitch", 2.0, 6.0, 0.5, 1.0), ("yaw", -4.0, 0.0, 2.0, 0.0), ("yaw", 0.0, 4.0, -1.0, 0.0), ("ratio", 0.5, 1.5, 3.0, 0.25)], "axis string, lo double, hi double, a double, b double")
+    bins = spark.createDataFrame([("tilt", 0.0, 2.0, 1.0, 0.0), ("tilt", 2.0, 6.0, 0.5, 1.0), ("turn", -4.0, 0.0, 2.0, 0.0), ("turn", 0.0, 4.0, -1.0, 0.0), ("width", 0.5, 1.5, 3.0, 0.25)], "axis string, lo double, hi double, a double, b double")
     keys = ["l_orderkey", "l_linenumber", "side"]
-    delta = rules.anchored_delta(both.unpivot(keys, ["pitch", "yaw", "ratio"], "axis", "v"), bins, {"pitch": 1.0, "yaw": 0.0, "ratio": 0.88}, keys, "axis", "v")
+    delta = rules.anchored_delta(both.unpivot(keys, ["tilt", "turn", "width"], "axis", "v"), bins, {"tilt": 1.0, "turn": 0.0, "width": 0.75}, keys, "axis", "v")
     score = scores.robust_score(F.col("raw") - F.col("delta"), F.lit(-4.0), F.lit(8.0), True)
     scored = both.select(*keys, "raw").join(delta, keys).select("l_orderkey", "side", score.alias("score"))
     sums = scored.groupBy("l_orderkey").agg(*(F.sum(F.when(F.col("side") == s, F.col("score"))).alias(s) for s in ("left", "right")), F.sum("score").alias("total"))
@@ -229,3 +228,33 @@ def binomial_tail_below(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cases = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") > 1500).alias("k"), F.count("*").alias("n")).withColumn("p0", F.lit(0.6))
     return evaluation.binomial_tail(cases, ["source"], "less").select("source", F.round("p_value", 6).alias("p_value"))
+
+
+@query("""SELECT doc_id, coalesce(quality, -1)::INT AS quality, coalesce(toxic, -1)::INT AS toxic FROM documents LEFT JOIN labels USING (doc_id)""")
+def filled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing labels as -1, all labels as integers."""
+    given = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+    return labels.fill_labels(table(spark, sf_dir, "documents").select("doc_id").join(given, "doc_id", "left"), ["quality", "toxic"])
+
+
+_SECTORS = 7
+
+
+@query(f"""SELECT p_partkey, 's' || s AS sector, ((p_size + s) % 6 - 1)::INT AS label, 'img' || p_partkey || '_' || s AS path FROM part, range({_SECTORS}) r(s) WHERE (p_size + s) % 6 <> 0 AND (p_partkey + s) % 4 <> 0""")
+def unpivot_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven sectors of a wide table, each with a label and an image, without sectors that lack one."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    wide = table(spark, sf_dir, "part").select("p_partkey", *(c for s in range(_SECTORS) for c in (((size + s) % 6 - 1).cast("int").alias(f"l{s}"), F.when((key + s) % 4 != 0, F.concat(F.lit("img"), key, F.lit(f"_{s}"))).otherwise("").alias(f"p{s}"))))
+    long = labels.unpivot_structs(wide, ["p_partkey"], {f"s{s}": {"label": f"l{s}", "path": f"p{s}"} for s in range(_SECTORS)}, (F.col("label") != -1) & (F.col("path") != ""))
+    return long.withColumnRenamed("side", "sector")
+
+
+@query("""WITH i AS (SELECT 'c' || o_custkey || '_' || o_orderkey % 50 AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'left_' ELSE 'right_' END || o_orderkey AS name, o_totalprice AS label FROM orders)
+    SELECT l.id, l.name AS left_name, l.label AS left_label, r.name AS right_name, r.label AS right_label FROM i l JOIN i r ON l.id = r.id WHERE contains(l.name, 'left') AND contains(r.name, 'right')""")
+def paired_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left and right rows of one label table, paired again by id."""
+    order = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), "o_custkey", F.lit("_"), order % 50).alias("id"), F.concat(F.when(order % 2 == 0, "left_").otherwise("right_"), order).alias("name"), F.col("o_totalprice").alias("label")
+    )
+    return labels.pair_halves(rows, "id", "name", {"left": "left", "right": "right"})

@@ -13,11 +13,11 @@ from rulewright.sources import readers, sinks
 from rulewright.storage import Workspace
 
 
-@query("""SELECT source_id, target_id, feature_name, min(score) AS score FROM (SELECT s_suppkey AS source_id, c_custkey AS target_id, c_mktsegment AS feature_name, c_acctbal AS score FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 25 = c_custkey % 25) GROUP BY ALL""")
+@query("""SELECT o_orderkey AS source_id, c_custkey AS target_id, c_mktsegment AS feature_name, c_acctbal AS score FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderkey % 25 = c_custkey % 25""")
 def case_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 25).alias("code"), F.col("c_mktsegment").alias("feature_name"), F.col("c_acctbal").alias("score"))
-    found = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rule_id"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 25).alias("code"))
-    return rules.contribution_edges(cases, found, ["nation", "code"])
+    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_custkey").alias("subject"), (F.col("c_custkey") % 25).alias("code"), F.col("c_mktsegment").alias("feature_name"), F.col("c_acctbal").alias("score"))
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rule_id"), F.col("o_custkey").alias("subject"), (F.col("o_orderkey") % 25).alias("code"))
+    return rules.contribution_edges(cases, found, ["subject", "code"])
 
 
 @query("""SELECT o_orderkey, s_suppkey FROM (SELECT o_orderkey, s_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY s_suppkey) AS rn FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 3 = o_orderkey % 3) WHERE rn = 1""")

@@ -136,8 +136,8 @@ def json_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as CSV with rounded numbers, read back without the last column."""
     ws = Workspace(spark, "csv")
-    sinks.write_csv(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), "c_name"), ws.path("out"), 1)
-    return readers.read_csv(spark, ws.path("out"), "id string, balance double, c_name string", drop_last=True)
+    to = sinks.write_csv(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), "c_name"), ws.path("out"), 1, "20240101_120000")
+    return readers.read_csv(spark, to, "id string, balance double, c_name string", drop_last=True)
 
 
 @query("""SELECT doc_id::VARCHAR AS pmid, 'Doc ' || doc_id AS title, 'Part one. Part two.' AS abstract, 'Kim A, Lee B, Park C' || CASE WHEN doc_id % 2 = 0 THEN ', et al.' ELSE '' END AS authors, (2000 + doc_id % 24)::INT AS year,
@@ -177,12 +177,10 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_brand, count(*) AS n, min(row_no) AS first_row, max(rule_id) AS last_id FROM (SELECT p_brand, p_partkey AS row_no, 'feature::' || p_brand || '::' || p_type || '::C' || p_size || '::' || p_partkey AS rule_id FROM (SELECT p_brand, p_partkey, replace(p_type, ' ', '_') AS p_type, p_size FROM part )) GROUP BY p_brand""")
 def load_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets of different layouts in one rule table."""
-    part = table(spark, sf_dir, "part")
-    columns = [F.col("p_partkey").alias("row_no"), F.col("p_type").alias("age_group"), F.concat(F.lit("C"), "p_size").alias("code")]
-    layouts = {"1": [F.lit("1-5점").alias("condition_1")], "2": [F.lit("a").alias("condition_a"), F.lit("b").alias("condition_b")]}
-    brands = [r["p_brand"] for r in part.select("p_brand").distinct().collect()]  # the names of the sheets
-    sheets = {b: part.where(F.col("p_brand") == b).select(*columns, *layouts.get(b[-1], layouts["1"])) for b in brands}
-    rules = readers.load_rules(sheets, sorted(brands)[:1])
+    two = F.endswith(F.col("p_brand"), F.lit("2"))
+    conditions = [F.when(two, "a").otherwise("1-5점").alias("condition_1"), F.when(two, "b").alias("condition_2")]
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("row_no"), F.col("p_type").alias("age_group"), F.concat(F.lit("C"), "p_size").alias("code"), *conditions)
+    rules = readers.load_tagged_rules(rows, "p_brand", ["Brand#11"])
     keyed = rules.withColumn("rule_id", F.regexp_replace("rule_id", "^feature::Brand(?=[0-9])", "feature::Brand#"))
     return keyed.groupBy(F.col("source_sheet").alias("p_brand")).agg(F.count("*").alias("n"), F.min("row_no").alias("first_row"), F.max("rule_id").alias("last_id"))
 

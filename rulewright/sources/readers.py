@@ -6,10 +6,11 @@ import warnings
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.functions import text
+from rulewright.operators.sides import small
 
 #: The columns of the one rule table.
 RULE_COLUMNS = ["feature_name", "age_group", "condition_1", "condition_2", "condition_3", "code", "output_text", "customer_desc", "clinician_desc"]
@@ -30,11 +31,18 @@ def read_manifests(spark: SparkSession, directories: list[str], task: str, split
     return df.withColumn("dataset", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).withColumn("split", F.regexp_extract(path, r"_([a-z]+)\.json$", 1))
 
 
-def read_manifest_folders(spark: SparkSession, directories: list[str], split: str, schema: str) -> DataFrame:
-    """As ``read_manifests``, for directories that ``sinks.write_splits`` wrote: ``{directory}/split={split}``."""
-    df = read_json_records(spark, [f"{d}/split={split}" for d in directories], schema, multi_line=False)
-    path = F.col("_metadata.file_path")
-    return df.withColumn("dataset", F.regexp_extract(path, r"dataset=([^/]+)/", 1)).withColumn("split", F.regexp_extract(path, r"split=([^/]+)/", 1))
+def read_manifest_table(spark: SparkSession, root: str, manifest: DataFrame, split: str, schema: str) -> DataFrame:
+    """One split of the datasets that a table ``manifest(dataset)`` names, from folders that ``sinks.write_splits`` wrote below one root.
+
+    Folders are partitions, so only the split is listed for reading, and only the
+    manifest's datasets are read. A dataset without any folder of the split is an error.
+    """
+    found = spark.read.schema(f"{schema}, dataset string, split string").json(root).where(F.col("split") == split)
+    wanted = manifest.select("dataset").distinct()
+    missing = wanted.join(found.select("dataset").distinct(), "dataset", "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"missing datasets: {', '.join(str(r['dataset']) for r in missing)}")
+    return found.join(small(wanted), "dataset", "left_semi")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, drop_last: bool = False) -> DataFrame:
@@ -80,18 +88,29 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def normalise_sheet(sheet: DataFrame, feature: str, source: str) -> DataFrame:
-    """A rule sheet of one, two or three condition columns in the one rule schema, numbered by row."""
+def normalise_sheet(sheet: DataFrame, feature: Column, source: Column) -> DataFrame:
+    """Rule sheets of one, two or three condition columns in the one rule schema, numbered by row."""
     conditions = [c for c in sheet.columns if c.startswith("condition")]
     named = {f"condition_{i + 1}": text.clean(F.col(c)) for i, c in enumerate(sorted(conditions))}
     own = {c: text.clean(F.col(c)) for c in sheet.columns if c in RULE_COLUMNS and not c.startswith("condition")}
-    columns = [(own | named | {"feature_name": F.lit(feature)}).get(c, F.lit("")).alias(c) for c in RULE_COLUMNS]
-    keyed = sheet.select("row_no", *columns).withColumn("source_sheet", F.lit(source))
+    columns = [(own | named | {"feature_name": feature}).get(c, F.lit("")).alias(c) for c in RULE_COLUMNS]
+    keyed = sheet.select("row_no", *columns, source.alias("source_sheet"))
     raw = text.join_conditions(*(F.col(f"condition_{i}") for i in (1, 2, 3)))
-    key = text.surrogate_key(F.lit("feature"), text.slug(F.lit(feature)), text.slug(F.col("age_group")), text.slug(F.col("code")), F.col("row_no").cast("string"))
+    key = text.surrogate_key(F.lit("feature"), text.slug(F.col("feature_name")), text.slug(F.col("age_group")), text.slug(F.col("code")), F.col("row_no").cast("string"))
     return keyed.withColumn("raw_condition", raw).withColumn("rule_id", key)
 
 
+def load_tagged_rules(rows: DataFrame, sheet: str, required: Iterable[str] = ()) -> DataFrame:
+    """Any number of sheets that lie in one table, told apart by the column ``sheet``, in one pass.
+
+    Condition columns that a sheet's layout lacks are null in its rows. A required sheet without rows is an error.
+    """
+    missing = set(required) - {r[0] for r in rows.where(F.col(sheet).isin(list(required))).select(sheet).distinct().collect()} if required else ()
+    if missing:
+        raise ValueError(f"missing rule sheets: {', '.join(sorted(missing))}")
+    return normalise_sheet(rows, F.col(sheet), F.col(sheet))
+
+
 def load_rules(sheets: dict[str, DataFrame], required: list[str], optional: Iterable[str] = ()) -> DataFrame:
     """All sheets as one rule table; a missing required sheet is an error, a missing optional one a warning."""
     missing = [s for s in required if s not in sheets]
@@ -99,7 +118,7 @@ def load_rules(sheets: dict[str, DataFrame], required: list[str], optional: Iter
         warnings.warn(f"missing rule sheet: {name}", stacklevel=2)
     if missing:
         raise ValueError(f"missing rule sheets: {', '.join(missing)}")
-    return reduce(DataFrame.unionByName, (normalise_sheet(df, name, name) for name, df in sheets.items()))
+    return reduce(DataFrame.unionByName, (normalise_sheet(df, F.lit(name), F.lit(name)) for name, df in sheets.items()))
 
 
 def read_composite(sheet: DataFrame, names: list[str]) -> DataFrame:

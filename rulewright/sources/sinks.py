@@ -11,10 +11,27 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.repartition("dataset", "split").write.mode("overwrite").partitionBy("dataset", "split").json(path)
 
 
-def write_csv(df: DataFrame, path: str, places: int = 4) -> None:
-    """CSV with a header, floats rounded, nulls empty."""
+def write_csv(df: DataFrame, path: str, places: int = 4, run: str | None = None) -> str:
+    """CSV with a header, floats rounded, nulls empty; returns the folder, stamped with the run if one is named.
+
+    Files begin with the byte-order mark that spreadsheets look for. Spark has no
+    option for it, so the first column's name begins with it; readers that are given a schema do not see the name.
+    """
     rounded = [F.round(c, places).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
-    df.select(*rounded).write.mode("overwrite").csv(path, header=True, nullValue="")
+    to = path if run is None else f"{path.rstrip('/')}_{run}"
+    df.select(*rounded).withColumnRenamed(df.columns[0], f"\ufeff{df.columns[0]}").write.mode("overwrite").csv(to, header=True, nullValue="")
+    return to
+
+
+def write_entity_files(df: DataFrame, path: str, rows: int) -> None:
+    """``(run, id, fields map<string,string>)`` as files of one JSON object ``{id: fields}`` each, of about ``rows`` entities; a later run sorts behind.
+
+    The number of files follows that of the entities, so no file and no row outgrows a task. Ids must be unique in a run.
+    """
+    parts = max(1, -(-df.count() // rows))
+    name = F.format_string("F_%02d_%06d", "run", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    files = df.groupBy(name.alias("name")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "fields")))).alias("value"))
+    files.repartition("name").write.mode("overwrite").partitionBy("name").text(path)
 
 
 def append_run(df: DataFrame, path: str, run_ts: str) -> None:
