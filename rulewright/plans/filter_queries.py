@@ -249,12 +249,12 @@ def unpivot_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumnRenamed("side", "sector")
 
 
-@query("""WITH i AS (SELECT 'c' || o_custkey || '_' || o_orderkey % 50 AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'left_' ELSE 'right_' END || o_orderkey AS name, o_totalprice AS label FROM orders)
+@query("""WITH i AS (SELECT 'pair' || o_orderkey // 2 AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'left_' ELSE 'right_' END || o_orderkey AS name, o_totalprice AS label FROM orders)
     SELECT l.id, l.name AS left_name, l.label AS left_label, r.name AS right_name, r.label AS right_label FROM i l JOIN i r ON l.id = r.id WHERE contains(l.name, 'left') AND contains(r.name, 'right')""")
 def paired_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The left and right rows of one label table, paired again by id."""
     order = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("c"), "o_custkey", F.lit("_"), order % 50).alias("id"), F.concat(F.when(order % 2 == 0, "left_").otherwise("right_"), order).alias("name"), F.col("o_totalprice").alias("label")
+        F.concat(F.lit("pair"), F.floor(order / 2)).alias("id"), F.concat(F.when(order % 2 == 0, "left_").otherwise("right_"), order).alias("name"), F.col("o_totalprice").alias("label")
     )
     return labels.pair_halves(rows, "id", "name", {"left": "left", "right": "right"})
