@@ -91,10 +91,14 @@ def query_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey) AS flags, list(l_linestatus ORDER BY l_linenumber, l_partkey) AS st FROM lineitem GROUP BY 1)
     SELECT l_orderkey, regexp_matches(array_to_string(flags, ''), 'N.*R') AS subsequence, list_contains(flags, 'N') AND len(list_distinct(flags)) = 1 AS same_set, len(flags)::INT AS n FROM t""")
 def action_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))), lambda x: x["l_returnflag"])
-    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(flags.alias("flags"))
-    same = F.array_sort(F.array_distinct("flags")) == F.array(F.lit("N"))
-    return t.select("l_orderkey", text.is_subsequence(F.array(F.lit("N"), F.lit("R")), F.col("flags")).alias("subsequence"), same.alias("same_set"), F.size("flags").alias("n"))
+    # Nulls stand last, and rows that the order leaves tied stay as they lie in the table, which is where DuckDB's stable sort leaves them.
+    order = [*(x for c in ("l_linenumber", "l_partkey") for x in (F.isnull(c).alias(f"no_{c}"), F.col(c))), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*order, "l_returnflag").alias("line"))
+    flags = F.transform(F.array_sort(F.collect_list("line")), lambda x: x["l_returnflag"])
+    t = lines.groupBy("l_orderkey").agg(flags.alias("flags")).withColumn("known", F.array_compact("flags"))
+    # Without a flag that is known the order is not known either.
+    ordered = F.when(F.size("known") > 0, text.is_subsequence(F.array(F.lit("N"), F.lit("R")), F.col("known")))
+    return t.select("l_orderkey", ordered.alias("subsequence"), (F.array_distinct("known") == F.array(F.lit("N"))).alias("same_set"), F.size("flags").alias("n"))
 
 
 @query("""SELECT c_custkey, c_nationkey % 2 = 0 AS right_args, 'nation=''' || c_nationkey || ''', segment=''' || c_mktsegment || '''' AS args, CASE WHEN length(c_name) > 12 THEN substr(c_name, 1, 12) || '...' ELSE c_name END AS short,
