@@ -31,6 +31,8 @@ STEPS = 100
 RIDGE = 1e-4
 #: Features of fewer labelled documents than this are left out of the fit.
 MIN_DOCS = 4
+#: Features that the fit works on at a time: the driver holds those of the whole sample in one array only, at four bytes each.
+RUN_CELLS = 1 << 19
 
 _SEPARATORS = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 #: For runs of signs: everything but printable ASCII signs.
@@ -60,15 +62,33 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.searchsorted(cell, np.arange(len(part) + 1) * BUCKETS), cell % BUCKETS
 
 
+def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts with some ``RUN_CELLS`` features in all, so that no array but the features themselves has a place for each of them."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + RUN_CELLS, side="right")) - 1)
+        yield first, last
+        first = last
+
+
 def _margin(offsets: np.ndarray, buckets: np.ndarray, weights: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Weighted feature sum of each text."""
     out = np.zeros(len(offsets) - 1)
-    some = np.flatnonzero(np.diff(offsets))
-    if len(some):
-        out[some] = np.add.reduceat(weights[buckets], offsets[:-1][some])
+    for a, b in _runs(offsets):
+        some = a + np.flatnonzero(np.diff(offsets[a : b + 1]))
+        if len(some):
+            out[some] = np.add.reduceat(weights[buckets[offsets[a] : offsets[b]]], offsets[some] - offsets[a])
     return out * scale
 
 
+def _sums(offsets: np.ndarray, buckets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each bucket the sum of the values of the texts that have it."""
+    total = np.zeros(BUCKETS)
+    for a, b in _runs(offsets):
+        total += np.bincount(buckets[offsets[a] : offsets[b]], np.repeat(values[a:b], np.diff(offsets[a : b + 1])), BUCKETS)
+    return total
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -92,9 +112,9 @@ def _fit(offsets: np.ndarray, buckets: np.ndarray, before: np.ndarray, y: np.nda
     n, positive = len(y), y.sum()
     if positive in (0, n):
         return Link(np.zeros(BUCKETS), np.zeros(before.shape[1]), -40.0 if positive == 0 else 40.0)
-    scale, counts = 1 / np.sqrt(np.maximum(1, full)), np.diff(offsets)
-    held = np.bincount(buckets, np.repeat(y, counts), BUCKETS)
-    rest = np.bincount(buckets, minlength=BUCKETS) - held
+    scale = 1 / np.sqrt(np.maximum(1, full))
+    held = _sums(offsets, buckets, y)
+    rest = _sums(offsets, buckets, np.ones(n)) - held
     odds = np.log((held + 1) / (positive + 2)) - np.log((rest + 1) / (n - positive + 2))
     weight = np.where(y > 0, 0.5 / positive, 0.5 / (n - positive))
     length = _margin(offsets, buckets, odds * odds, scale * scale) + (before * before).sum(1) + 1
@@ -103,7 +123,7 @@ def _fit(offsets: np.ndarray, buckets: np.ndarray, before: np.ndarray, y: np.nda
     mw, mv, mb = 0.0 * w, 0.0 * v, 0.0
     for _ in range(STEPS):
         error = (_sigmoid(_margin(offsets, buckets, w * odds, scale) + before @ v + b) - y) * weight
-        mw = 0.9 * mw + odds * np.bincount(buckets, np.repeat(error * scale, counts), BUCKETS) + RIDGE * w
+        mw = 0.9 * mw + odds * _sums(offsets, buckets, error * scale) + RIDGE * w
         mv = 0.9 * mv + before.T @ error + RIDGE * v
         mb = 0.9 * mb + error.sum()
         w, v, b = w - step * mw, v - step * mv, b - step * mb
@@ -111,9 +131,9 @@ def _fit(offsets: np.ndarray, buckets: np.ndarray, before: np.ndarray, y: np.nda
 
 
 def _take(offsets: np.ndarray, buckets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.diff(offsets)[rows]
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    return ends, buckets[np.repeat(offsets[:-1][rows] - ends[:-1], sizes) + np.arange(ends[-1])]
+    """The features of the texts that a mask chooses."""
+    sizes = np.diff(offsets)
+    return np.concatenate(([0], np.cumsum(sizes[rows]))), buckets[np.repeat(rows, sizes)]
 
 
 def _group(offsets: np.ndarray, buckets: np.ndarray) -> np.ndarray:
@@ -124,16 +144,22 @@ def _group(offsets: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     """
     n = len(offsets) - 1
     root, some = np.arange(n), np.flatnonzero(np.diff(offsets))
-    sets = [frozenset(x.tolist()) for x in np.split(buckets, offsets[1:-1])]
     for band in range(8):
-        if not len(some):
-            break
-        minima = [np.minimum.reduceat(mix((buckets.astype(np.uint64) + np.uint64(1)) * k), offsets[:-1][some]) for k in constants(3, 500 + band)]
+        minima = np.zeros((3, n), np.uint64)
+        for a, b in _runs(offsets):
+            here = some[(some >= a) & (some < b)]
+            if len(here):
+                cells = buckets[offsets[a] : offsets[b]].astype(np.uint64) + np.uint64(1)
+                for row, k in zip(minima, constants(3, 500 + band), strict=True):
+                    row[here] = np.minimum.reduceat(mix(cells * k), offsets[here] - offsets[a])
         first: dict[tuple, int] = {}
-        for i, key in zip(some.tolist(), zip(*(m.tolist() for m in minima), strict=True), strict=True):
+        for i, key in zip(some.tolist(), map(tuple, minima[:, some].T.tolist()), strict=True):
             j = first.setdefault(key, i)
             a, b = root[i], root[j]
-            if a != b and 1.8 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j])):
+            if a == b:
+                continue
+            x, y = (buckets[offsets[d] : offsets[d + 1]] for d in (i, j))
+            if 1.8 * len(np.intersect1d(x, y, assume_unique=True)) >= 0.8 * (len(x) + len(y)):
                 root[root == max(a, b)] = min(a, b)
     return root
 
@@ -141,10 +167,10 @@ def _group(offsets: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 def fit_chain(offsets: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> list[Link]:
     """The chain for ``labels`` (documents x categories), later models trained on out-of-fold probabilities."""
     full = np.diff(offsets)
-    common = np.bincount(buckets, minlength=BUCKETS) >= MIN_DOCS
-    keep = common[buckets]
-    offsets, buckets = np.concatenate(([0], np.cumsum(keep)))[offsets], buckets[keep]
     n = len(labels)
+    common = _sums(offsets, buckets, np.ones(n)) >= MIN_DOCS
+    kept = _margin(offsets, buckets, common.astype(float), np.ones(n)).astype(np.int64)
+    offsets, buckets = np.concatenate(([0], np.cumsum(kept))), buckets[common[buckets]]
     fold = _group(offsets, buckets) % FOLDS
     before, chain = np.zeros((n, 0)), []
     for c in range(labels.shape[1]):
@@ -153,7 +179,7 @@ def fit_chain(offsets: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> l
         if c + 1 < labels.shape[1]:
             held = np.zeros(n)
             for f in range(FOLDS):
-                a, h = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                a, h = fold != f, fold == f
                 part = _fit(*_take(offsets, buckets, a), before[a], y[a], full[a])
                 o, k = _take(offsets, buckets, h)
                 held[h] = _sigmoid(_margin(o, k, part.weights, 1 / np.sqrt(np.maximum(1, full[h]))) + before[h] @ part.earlier + part.bias)
@@ -179,7 +205,9 @@ def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
     column = table.column("buckets").combine_chunks()
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     labels = table.column("labels").combine_chunks().flatten().to_numpy().reshape(-1, len(categories))
-    return fit_chain(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), column.flatten().to_numpy().astype(np.int64), labels)
+    buckets = [column.flatten().to_numpy()]
+    del table, column  # so that the fit can let go of rare features
+    return fit_chain(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), buckets.pop(), labels)
 
 
 def predict(docs: DataFrame, chain: list[Link], categories: list[str], text_col: str = "text") -> DataFrame:

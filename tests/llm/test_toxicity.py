@@ -100,3 +100,19 @@ def test_op2_edges(docs, empty, spark):
     assert got[100]["p_junk"] == got[101]["p_junk"]
     assert toxicity.classify(empty, labels).collect() == []
     assert toxicity.classify(docs([(1, "a")]), labels.limit(0)).count() == 1
+
+
+def test_fit_holds_the_sample_once(monkeypatch):
+    """Besides the features themselves (8 MB here) the fit needs no memory that grows with them."""
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    rng = np.random.default_rng(1)
+    n, each = 1000, 2000
+    buckets = np.sort(rng.integers(0, toxicity.BUCKETS // each, (n, each)) + np.arange(each) * (toxicity.BUCKETS // each), axis=1).astype(np.int32).reshape(-1)
+    tracemalloc.start()
+    chain = toxicity.fit_chain(np.arange(n + 1) * each, buckets, rng.integers(0, 2, (n, 2)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(chain) == 2
+    assert peak < 80e6
