@@ -31,7 +31,8 @@ UNKNOWN = "und"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
-_BLOCK_CHARS = 1 << 19
+#: Characters that are scored at a time; the arrays of a block take some 300 bytes for each.
+_BLOCK_CHARS = 1 << 16
 
 
 @lru_cache(maxsize=1)

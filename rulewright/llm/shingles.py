@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are worked on at a time; the arrays of a chunk take some 200 times as many.
+CHUNK_BYTES = 1 << 17
 
 _U = np.uint64
 #: Words are polynomials of their bytes at two bases, modulo a prime: modulo a power of two, words that differ can be alike at every base.

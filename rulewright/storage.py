@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -55,22 +56,26 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
         """Write ``df`` and return the table read back, with the same columns.
 
         The table replaces the shuffle files of the job that made it, so Spark is
         told to delete those when the write ends; else they stay until the driver
-        happens to collect its garbage.
+        happens to collect its garbage. ``batch_rows`` bounds the Arrow batches
+        that the job hands to Python, for rows that hold whole texts.
         """
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+        wanted = {_CLEANUP: "true"} | ({_BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
         try:
+            for k, v in wanted.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

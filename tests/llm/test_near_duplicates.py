@@ -4,7 +4,9 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from compare import SF
 from pyspark.sql import functions as F
 
@@ -207,3 +209,41 @@ def test_op1_words_that_differ_stay_apart(docs):
     df = docs([(i, t) for i, t in enumerate(rows)])
     assert all(r["kept"] for r in minhash.near_duplicates(df, width=4, percent=80).collect())
     assert minhash.keep_first(df, width=5, percent=80).count() == len(rows)
+
+
+def test_memory_of_a_worker_is_that_of_a_chunk():
+    """The arrays of signatures and of language scores are those of a bounded piece of text, whatever the batch holds."""
+    import tracemalloc
+
+    from rulewright.llm import langid, shingles
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 700)) for _ in range(600)]
+    model = langid.Model(["a", "b"], np.ones(2), (np.array([1, 2]), np.array([0, 1]), np.array([1, 1])))
+    model.score(texts[:1])
+    n = 0
+    tracemalloc.start()
+    for _ in shingles.shingle_sets([t.encode() for t in texts], 5):
+        n += 1
+    signed = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    model.score(texts)
+    scored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 2
+    assert signed < 40e6
+    assert scored < 60e6
+
+
+def test_workspace_bounds_the_batches_of_one_write(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    ws = Workspace(spark, "batches")
+    out = ws.save(spark.range(50, numPartitions=1).mapInArrow(sizes, "n long"), "bounded", 7)
+    assert max(r["n"] for r in out.collect()) <= 7
+    assert spark.conf.get(key) == before
