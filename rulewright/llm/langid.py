@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.llm.names import fresh
+from rulewright.storage import TEXT_ROWS, Workspace
 
 ORDERS = 4
 BUCKETS = 1 << 16
@@ -194,8 +195,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is found with at least the given probability."""
+    """The documents whose language is found with at least the given probability, written and read again."""
     model = train(docs.where(F.coalesce(fold() != 2, F.lit(True))))
     lang, score = fresh(docs, "lang_found", "lang_score")
     scored = predict(docs, model, lang_out=lang, score_out=score)
-    return scored.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = scored.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return Workspace(docs.sparkSession, "langid").save(kept, "kept", TEXT_ROWS)

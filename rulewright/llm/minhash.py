@@ -31,10 +31,7 @@ from pyspark.sql import functions as F
 from rulewright.llm.components import connected_components
 from rulewright.llm.names import fresh
 from rulewright.llm.shingles import constants, mix, shingle_sets
-from rulewright.storage import Workspace
-
-#: Rows of an Arrow batch that holds whole texts or shingle sets.
-BATCH_ROWS = 1000
+from rulewright.storage import TEXT_ROWS, Workspace
 
 SIGNATURE = "id long, t1 long, t2 long, n_shingles long, k1 long, k2 long, bands array<long>"
 
@@ -198,7 +195,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, permutations: int, rows
     """Per row ``id, t1, t2, n_shingles`` and ``best``, the id and text name of the first row of its component."""
     ws = Workspace(docs.sparkSession, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), *_name(text_col), F.col(text_col).alias("text"))
-    sig = ws.save(signatures(docs, width, permutations, rows), "signatures", BATCH_ROWS)
+    sig = ws.save(signatures(docs, width, permutations, rows), "signatures", TEXT_ROWS)
     live = sig.where("n_shingles > 0 and id is not null")
     row = F.struct("id", "t1", "t2")
     reps = live.groupBy("k1", "k2").agg(F.min(row).alias("rep")).select("k1", "k2", "rep", F.monotonically_increasing_id().alias("node"))
@@ -212,12 +209,12 @@ def _labelled(docs: DataFrame, width: int, percent: int, permutations: int, rows
     texts = ws.save(docs.join(wanted.hint("merge"), ["id", "t1", "t2"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = ws.save(_pair_links(pairs, texts, width, percent), "pair-links", BATCH_ROWS)
+    links = ws.save(_pair_links(pairs, texts, width, percent), "pair-links", TEXT_ROWS)
     labels = ws.save(connected_components(links, ws, "pair-cc"), "pair-labels")
     marked = members.join(labels.withColumnRenamed("component", "part"), "node", "left").select("key", "node", "n_shingles", F.coalesce("part", "node").alias("part"))
     open_keys = marked.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
     opened = ws.save(marked.join(open_keys, "key").dropDuplicates(["key", "node"]), "opened")
-    more = ws.save(_bucket_links(opened, texts, width, percent), "bucket-links", BATCH_ROWS)
+    more = ws.save(_bucket_links(opened, texts, width, percent), "bucket-links", TEXT_ROWS)
     ws.drop("one", "texts", "members", "opened")
     both = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
     labels = ws.save(connected_components(both, ws, "all-cc"), "labels")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.llm.bpe import codec
-from rulewright.storage import Workspace
+from rulewright.storage import TEXT_ROWS, Workspace
 
 SEQUENCE = 1024
 WINDOW = 64 * SEQUENCE
@@ -184,7 +184,7 @@ def pack(
     docs = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(text_col, F.lit("")).alias("text"))
     docs = _queued(docs, weights).select("id", "queue", "source", "text")
     weights = weights and {f"={s}": w for s, w in weights.items()}
-    coded = ws.save(tokenize(docs, path, separator), "coded")
+    coded = ws.save(tokenize(docs, path, separator), "coded", TEXT_ROWS)
     sums = ws.save(coded.groupBy("queue", "task").agg(F.sum("n").alias("n")), "sums")
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # as many rows as there are queues: OWN_QUEUES, SHARED and the caller's weights at most
     before = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

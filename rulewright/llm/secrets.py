@@ -16,11 +16,12 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulewright.storage import TEXT_ROWS, Workspace
+
 #: In the order in which spans of equal start are listed.
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "der", "ssh")
@@ -226,11 +227,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """All documents, with their secrets masked and ``n_chars`` counted again; other columns stay."""
+    """All documents, with their secrets masked and ``n_chars`` counted again; other columns stay. A null text stays null.
+
+    The result is written and read again, so that the texts go to Python in batches of ``TEXT_ROWS``.
+    """
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else mask(t, scan(t)))
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else mask(t, scan(t)) for t in texts.to_pylist()], pa.string())
 
     out = docs.withColumn("text", masked("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = out.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return Workspace(docs.sparkSession, "secrets").save(out, "masked", TEXT_ROWS)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOT: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch that holds whole texts or shingle sets.
+TEXT_ROWS = 1000
 
 
 def scratch_root(spark: SparkSession) -> str:

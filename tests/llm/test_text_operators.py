@@ -151,6 +151,23 @@ def test_op3_edges(docs, empty):
     assert secrets.mask_documents(empty).collect() == []
 
 
+def test_masking_reads_whole_texts_in_small_batches(docs, monkeypatch):
+    asked, save = [], secrets.Workspace.save
+
+    def recorded(ws, df, name, batch_rows=None):
+        asked.append(batch_rows)
+        return save(ws, df, name, batch_rows)
+
+    monkeypatch.setattr(secrets.Workspace, "save", recorded)
+    monkeypatch.setattr(secrets, "TEXT_ROWS", 7)
+    df = docs([(i, f"line {i} token=abcdef{i:03d}") for i in range(40)] + [(40, None)]).withColumn("a.b", F.lit(3))
+    out = secrets.mask_documents(df)
+    assert out.columns == df.columns
+    found = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert found == {i: f"line {i} [SECRET]" for i in range(40)} | {40: None}
+    assert asked == [7]
+
+
 # Language identification
 
 
