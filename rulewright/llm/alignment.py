@@ -70,13 +70,18 @@ def _reads(table: pa.Array, size: np.ndarray, ids: np.ndarray, edges: np.ndarray
     return np.array([data[a:b] == w for a, b, w in zip(ends, ends[1:], wanted, strict=False)], bool)
 
 
+def _before(ends: np.ndarray) -> np.ndarray:
+    """For each byte up to the last end: the number of ends up to it, which is the token that begins there or holds it."""
+    return np.cumsum(np.bincount(ends, minlength=1), dtype=np.int32)
+
+
 def group_numbers(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group of each token, from 0, by pointer jumping; ends of tokens are bytes, ascending, the last ones equal."""
     n = len(a_end)
-    to_a = np.searchsorted(a_end, b_end)  # the A token that holds the last byte of a B token
-    own = np.arange(n, n + len(b_end))
+    to_a = _before(a_end)[b_end - 1]  # the A token that holds the last byte of a B token
+    own = np.arange(n, n + len(b_end), dtype=np.int32)
     last = a_end[to_a] == b_end if n else np.zeros(0, bool)
-    to = np.concatenate((n + np.searchsorted(b_end, a_end), np.where(last, own, to_a)))
+    to = np.concatenate((np.int32(n) + _before(b_end)[a_end - 1], np.where(last, own, to_a)))
     while True:
         further = to[to]
         if np.array_equal(further, to):
@@ -88,8 +93,9 @@ def group_numbers(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.
 
 def overlaps(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All overlapping pairs as positions of A tokens and of B tokens, in order."""
-    first = np.searchsorted(b_end, np.concatenate(([0], a_end[:-1])), side="right")
-    many = np.searchsorted(b_end, a_end) - first + 1
+    upto = _before(b_end)
+    first = upto[np.concatenate((np.zeros(min(1, len(a_end)), np.int64), a_end[:-1]))]
+    many = upto[a_end - 1] - first + 1
     at = np.cumsum(many) - many
     return np.repeat(np.arange(len(a_end)), many), np.repeat(first - at, many) + np.arange(int(many.sum()))
 
@@ -110,7 +116,9 @@ def _linked(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         group = group_numbers(a_end, b_end)[0]
         at, bt = overlaps(a_end, b_end)
         step = np.where(np.diff(group[at], prepend=-1) > 0, _BOTH, np.where(np.diff(at, prepend=-1) > 0, _A, _B)).astype(np.uint8)
-        pair, place, uses = np.unique(a[at].astype(np.int64) << 32 | b[bt], return_inverse=True, return_counts=True)
+        found = pa.array(a[at].astype(np.int64) << 32 | b[bt]).dictionary_encode()
+        pair, place = found.dictionary.to_numpy(), found.indices.to_numpy()
+        uses = np.bincount(place, minlength=len(pair))
         order = np.argsort(-uses, kind="stable")
         rank = np.empty(len(pair), np.uint32)
         rank[order] = np.arange(len(pair), dtype=np.uint32)
@@ -218,10 +226,34 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     return _placed(docs, a_path, b_path, id_col, text_col, lists, "a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>")
 
 
-def group_text(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
-    """Groups as text: ids of A and of B by comma, the sides by ``|``, groups by ``;``."""
-    a_text, b_text = list(map(str, a)), list(map(str, b))
-    return ";".join(",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts, strict=False))
+@lru_cache(maxsize=2)
+def _numerals(size: int) -> tuple[pa.Array, np.ndarray]:
+    """The numbers below ``size`` with the mark behind an A id, in and at the end of a group, then behind a B id; and their lengths."""
+    texts = [f"{i}{mark}".encode() for marks in (",|", ",;") for i in range(size) for mark in marks]
+    return pa.array(texts, pa.large_binary()), np.array(list(map(len, texts)), np.int64)
+
+
+def _group_texts(found: dict) -> Iterator[memoryview]:
+    """Each document's groups as text: ids of A and of B by comma, the sides by ``|``, groups by ``;``.
+
+    Every id is a numeral with the mark behind it, taken from a table of both;
+    only a document's last mark is left out.
+    """
+    sides, groups = [found[c] for c in ("a_ids", "b_ids")], found["a_cuts"][1]
+    # The tokens of a side up to the end of each group of the block.
+    cuts = [x + np.repeat(edge[:-1], np.diff(groups)) for (x, _), (_, edge) in zip((found["a_cuts"], found["b_cuts"]), sides, strict=True)]
+    others = [np.concatenate((np.zeros(min(1, len(cuts[1])), np.int64), cuts[1][:-1])), cuts[0]]
+    size = 1 << max(int(ids.max(initial=1)).bit_length() for ids, _ in sides)
+    taken = np.zeros(sum(len(ids) for ids, _ in sides), np.int64)
+    for k, ((ids, _), cut, other) in enumerate(zip(sides, cuts, others, strict=True)):
+        code = 2 * ids.astype(np.int64)
+        code[cut - 1] += 1
+        taken[np.arange(len(ids)) + np.repeat(other, np.diff(cut, prepend=0))] = code + 2 * size * k
+    book, length = _numerals(size)
+    ends = np.concatenate(([0], np.cumsum(length[taken])))[sides[0][1] + sides[1][1]].tolist()
+    data = memoryview(book.take(pa.array(taken)).buffers()[2] or b"").cast("B")
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield data[a : max(a, b - 1)]
 
 
 def digest(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,10 +261,6 @@ def digest(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
 
     def hashed(found: dict) -> dict:
         sizes = {name: np.diff(found[c][1]) for name, c in (("n_a", "a_ids"), ("n_b", "b_ids"), ("n_groups", "a_cuts"))}
-        texts = []
-        for i in range(len(sizes["n_a"])):
-            own = [x[edge[i] : edge[i + 1]].tolist() for x, edge in found.values()]
-            texts.append(hashlib.sha256(group_text(*own).encode()).hexdigest() if own[0] else "")
-        return {**sizes, "groups_sha256": texts}
+        return {**sizes, "groups_sha256": [hashlib.sha256(t).hexdigest() if t else "" for t in _group_texts(found)]}
 
     return _placed(docs, a_path, b_path, id_col, text_col, hashed, "n_a long, n_b long, n_groups long, groups_sha256 string")

@@ -123,3 +123,22 @@ def test_pointer_jumping_equals_common_ends():
         at, bt = alignment.overlaps(a, b)
         low = lambda ends: np.concatenate(([0], ends[:-1]))
         assert set(zip(at.tolist(), bt.tolist(), strict=True)) == {(i, j) for i in range(len(a)) for j in range(len(b)) if low(a)[i] < b[j] and low(b)[j] < a[i]}
+
+
+def test_group_texts_equal_a_loop_over_tokens():
+    """The text of a block's groups comes from one take on a table of numerals."""
+    draw = random.Random(5)
+    for _ in range(100):
+        docs = []
+        for _ in range(draw.randint(0, 6)):
+            n = draw.randint(0, 5)
+            sizes = [[draw.randint(1, 3) for _ in range(n)] for _ in range(2)]
+            docs.append([[[draw.randrange(50_257 if k == 0 else 32_000) for _ in range(n)] for n in side] for k, side in enumerate(sizes)])
+        found = {}
+        for k, name in enumerate("ab"):
+            ids = [[i for g in d[k] for i in g] for d in docs]
+            cuts = [np.cumsum([len(g) for g in d[k]]).tolist() for d in docs]
+            for c, lists in ((f"{name}_ids", ids), (f"{name}_cuts", cuts)):
+                found[c] = np.array([i for x in lists for i in x], np.int64), np.cumsum([0, *map(len, lists)])
+        want = [";".join("|".join(",".join(map(str, g)) for g in pair) for pair in zip(*d, strict=True)) for d in docs]
+        assert [bytes(t).decode() for t in alignment._group_texts(found)] == want
