@@ -21,8 +21,8 @@ Members of a band bucket are verified against the bucket's first line by exact
 Jaccard similarity and united: each line against one such line, then against
 the others that are still in a different component. Buckets that still hold
 several components are opened again and all pairs of different components
-are verified inside groups of bounded size, of which only the pairs of
-components that link come out. One line of each component stays.
+are verified inside groups of bounded size, each pair in one of the buckets
+that hold both lines; only the pairs of components that link come out. One line of each component stays.
 """
 
 from __future__ import annotations
@@ -66,7 +66,8 @@ def _shingles(line: Column) -> Column:
 def _lines(docs: DataFrame, *kept: str) -> DataFrame:
     """``pos``, the compared line ``said`` and its keys ``k1, k2``, for lines that are not blank."""
     lines = docs.select(*kept, F.posexplode(F.split("text", "\n")).alias("pos", "said"))
-    lines = lines.select(*kept, "pos", F.lower(F.btrim("said", F.lit(" \t\r"))).alias("said")).where("said != ''")
+    # Blank lines are told before the lower case is made, which would else be made twice.
+    lines = lines.select(*kept, "pos", F.btrim("said", F.lit(" \t\r")).alias("said")).where("said != ''").withColumn("said", F.lower("said"))
     return lines.select("*", F.xxhash64("said").alias("k1"), F.xxhash64("said", F.lit(17)).alias("k2"))
 
 
@@ -152,6 +153,31 @@ def _members(signed: DataFrame, ws: Workspace) -> list[str]:
     return names
 
 
+def _compared(opened: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``ms, pairs``: blocks of members of opened buckets, and the places of those that are to be verified with each other.
+
+    Two lines are verified if their components differ and their sketches are close, and in the least of the opened buckets that hold both.
+    """
+    buckets = opened.groupBy("line").agg(F.collect_list("key").alias("keys"))
+    own = opened.join(texts.hint("merge"), "line").join(buckets.hint("merge"), "line").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    member = F.struct("part", "block", "keys", *SKETCH, "said").alias("m")
+    groups = own.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(member).alias("ms"))
+    apart = f"y.part > x.part and (low = high or x.block != y.block) and {_close('x', 'y', percent)} and array_min(array_intersect(x.keys, y.keys)) = key"
+    places = f"transform(filter(transform(ms, (y, j) -> if({apart}, j, -1)), j -> j >= 0), j -> struct(i as x, j as y))"
+    return groups.select("ms", F.expr(f"flatten(transform(ms, (x, i) -> {places}))").alias("pairs"))
+
+
+def _bucket_links(compared: DataFrame, percent: int) -> DataFrame:
+    """The pairs of components ``(a, b)`` that a verified pair of lines links."""
+    used = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["x"], p["y"]))))
+    # The array of one list binds it, so that it is made once.
+    sets = F.flatten(F.transform(F.array(used), lambda u: F.transform("ms", lambda m, i: F.struct(m["part"].alias("part"), F.when(F.array_contains(u, i), _shingles(m["said"])).alias("sh")))))
+    # The pairs are exploded, so that their sets are compared by generated code; an inner explode is preceded by a filter that makes the pairs twice.
+    each = compared.select("pairs", sets.alias("gs")).select("gs", F.explode_outer("pairs").alias("p"))
+    return each.where(_alike("get(gs, p.x)", "get(gs, p.y)", percent)).select(F.expr("get(gs, p.x).part").alias("a"), F.expr("get(gs, p.y).part").alias("b")).distinct()
+
+
 def _components(docs: DataFrame, signed: DataFrame, ws: Workspace, percent: int) -> DataFrame:
     """``(node, component)`` over distinct lines, for lines that link."""
     slices = _members(signed, ws)
@@ -179,20 +205,9 @@ def _components(docs: DataFrame, signed: DataFrame, ws: Workspace, percent: int)
 
     marked = members.where("n > 2").join(labels, members["line"] == labels["node"], "left").select("key", "line", F.coalesce("component", "line").alias("part"))
     several = marked.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("blocks")).where("lo != hi")
-    opened = marked.join(several.select("key", "blocks"), "key").join(texts.hint("merge"), "line").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")))
-    opened = opened.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    member = F.struct("part", "block", *SKETCH, "said").alias("m")
-    groups = opened.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(member).alias("ms"))
-    shingled = F.transform("ms", lambda m: F.struct(*(m[c].alias(c) for c in ("part", "block", *SKETCH)), _shingles(m["said"]).alias("sh")))
-    groups = groups.select("low", "high", F.array(shingled).alias("gs"))
-    # Of two components one link is enough: what is found is carried on, and not looked for again.
-    apart = f"y.part > x.part and (low = high or x.block != y.block) and {_close('x', 'y', percent)}"
-    parts = f"array_distinct(transform(filter(g, y -> {apart}), y -> y.part))"
-    fresh = f"filter({parts}, q -> not array_contains(found, struct(x.part as a, q as b)) and exists(g, y -> y.part = q and {apart} and {_alike('x', 'y', percent)}))"
-    step = f"concat(found, transform({fresh}, q -> struct(x.part as a, q as b)))"
-    across = f"explode(flatten(transform(gs, g -> aggregate(g, cast(array() as array<struct<a: bigint, b: bigint>>), (found, x) -> {step}))))"
-    more = ws.save(groups.select(F.expr(across).alias("e")).select("e.a", "e.b").distinct(), "bucket-links")
-    ws.drop(*slices, "texts", "sketches", "pairs", "wanted")
+    opened = ws.save(marked.join(several.select("key", "blocks"), "key"), "opened")
+    more = ws.save(_bucket_links(_compared(opened, texts, percent), percent), "bucket-links")
+    ws.drop(*slices, "texts", "sketches", "pairs", "wanted", "opened")
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return ws.save(connected_components(known.unionByName(more), ws, "all-cc"), "labels")
 

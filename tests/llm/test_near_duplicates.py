@@ -182,6 +182,20 @@ def test_op10_rows_that_are_equal_are_one_document(docs):
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, SHORT), (3, "own"), (3, "own")]
 
 
+def test_op10_pairs_of_opened_buckets_are_compared_once(spark):
+    """Lines that meet in several opened buckets, in one block or two, are verified with each other in one of them, and never within a component."""
+    said = {1: SHORT, 2: f"{SHORT}!", 3: SHORT.replace("lazy", "idle").replace("quick", "speedy"), 4: f"{SHORT}?"}
+    part = {1: 1, 2: 2, 3: 3, 4: 2}
+    texts = spark.createDataFrame([(i, t, 0, 0, 0, 0) for i, t in said.items()], ["line", "said", *lines.SKETCH])
+    for blocks in (1, 2, 3):
+        held = {7: (1, 2, 3, 4), 8: (1, 2, 3), 9: (1, 2, 4)}
+        opened = spark.createDataFrame([(k, i, part[i], blocks) for k, of in held.items() for i in of], "key long, line long, part long, blocks long")
+        compared = lines._compared(opened, texts, 80)
+        met = Counter(tuple(sorted((r["ms"][p["x"]]["said"], r["ms"][p["y"]]["said"]))) for r in compared.collect() for p in r["pairs"])
+        assert met == {tuple(sorted((said[i], said[j]))): 1 for i, j in combinations(said, 2) if part[i] != part[j]}
+        assert [tuple(r) for r in lines._bucket_links(compared, 80).collect()] == [(1, 2)]
+
+
 def test_op10_recall_at_the_threshold(docs):
     """Pairs of similarity 0.8 to 0.82 with 5 to 40 shingles, made from distinct characters: about 2e-4 to 1e-3 of them may be missed."""
     import random
